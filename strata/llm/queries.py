@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import quality_rules
+from strata.llm import mixing, quality_rules, token_files
 from strata.llm.common import stored
 
 
@@ -22,7 +22,23 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "m.*", "base_failed", "kept", "char_distance", "word_distance")
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = stored(mixing.sized(_table(spark, sf_dir, "documents")).select(F.col("row.doc_id").alias("doc_id"), "size", "source", "h", "block"), "sized")
+    plan = stored(mixing.drawn(rows), "drawn")
+    return mixing.placed(rows, plan).select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"), "source", "shards")
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = _table(spark, sf_dir, "documents")
+    manifest = token_files.write_tokens(docs, token_files.token_folder(spark), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_files.read_tokens(manifest)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_token_files": op3_token_files,
+    "op4_mixing": op4_mixing,
     "op10_quality_rules": op10_quality_rules,
 }
 
