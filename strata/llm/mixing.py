@@ -2,7 +2,7 @@
 
 Documents fall into blocks of their source by a hash of their id. A source's target is met by whole
 passes over its blocks and, for the rest, by its blocks in a permuted order; in the block where the rest
-ends, documents are drawn in hash order. Every drawn block is one unit. The tree deals the units
+ends, documents are drawn in hash order, and one document that fits best what is then missing. Every drawn block is one unit. The tree deals the units
 to the output shards: each node sends a uniform subset of exact size to its left half, so that what a
 half gets of each source follows the multivariate hypergeometric distribution, and the quotas stay
 exact. Within a shard, documents are put in a hashed order. Everything is DataFrame expressions over
@@ -69,7 +69,8 @@ def targets(blocks: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
 def drawn(rows: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """One row for each source and block: ``source_size``, ``target``, ``passes`` (whole ones), ``cut``
-    (documents with a hash up to it are drawn once more; null: none) and ``shards`` (one for each draw)."""
+    (documents with a hash up to it are drawn once more; null: none), ``last`` (so is the one with this
+    hash) and ``shards`` (one for each draw)."""
     blocks = stored(rows.groupBy("source", "block").agg(F.sum("size").alias("size")), "blocks")
     goals = targets(blocks, mix)
     same = Window.partitionBy("source")
@@ -86,13 +87,28 @@ def drawn(rows: DataFrame, mix: Mix = Mix()) -> DataFrame:
     docs = rows.join(cut, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
     docs = docs.groupBy("s", "b", "left", "h").agg(F.sum("size").alias("size"))
     until = F.sum("size").over(Window.partitionBy("s", "b").orderBy("h").rowsBetween(Window.unboundedPreceding, 0))
-    cuts = docs.withColumn("upto", until).where(F.col("upto") - F.col("size") / 2 <= F.col("left")).groupBy("s", "b").agg(F.max("h").alias("cut"))
+    cuts = docs.withColumn("upto", until).where(F.col("upto") - F.col("size") / 2 <= F.col("left")).groupBy("s", "b").agg(F.max("h").alias("cut"), F.max("upto").alias("got"))
     plan = plan.join(cuts, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")), "left").drop("s", "b")
     plan = plan.withColumn("cut", F.when(F.col("part") == "all", F.lit("g")).when(F.col("part") == "cut", F.col("cut")))  # "g" is beyond all hex digits
-    units = plan.withColumn("draw", F.explode(F.sequence(F.lit(0), F.col("passes")))).where((F.col("draw") < F.col("passes")) | F.col("cut").isNotNull())
+    got = F.when(F.col("part") == "all", F.col("size")).when(F.col("part") == "cut", F.coalesce("got", F.lit(0))).otherwise(F.lit(0))
+    plan = stored(plan.withColumn("short", F.col("rest") - F.sum(got).over(same)).drop("got"), "cut")
+    plan = plan.join(_last(rows, plan), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")), "left").drop("s", "b")
+    units = plan.withColumn("draw", F.explode(F.sequence(F.lit(0), F.col("passes")))).where((F.col("draw") < F.col("passes")) | F.col("cut").isNotNull() | F.col("last").isNotNull())
     dealt = deal(units.select("source", "block", "draw"), mix).groupBy("source", "block").agg(F.sort_array(F.collect_list(F.struct("draw", "shard"))).alias("dealt"))
     plan = plan.alias("p").join(dealt.alias("d"), F.col("p.source").eqNullSafe(F.col("d.source")) & (F.col("p.block") == F.col("d.block")), "left")
-    return plan.select("p.source", "p.block", "source_size", "target", "passes", "cut", F.coalesce(F.col("dealt.shard"), F.array().cast("array<int>")).alias("shards"))
+    return plan.select("p.source", "p.block", "source_size", "target", "passes", "cut", "last", F.coalesce(F.col("dealt.shard"), F.array().cast("array<int>")).alias("shards"))
+
+
+def _last(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """``s``, ``b``, ``last``: of each source the one document not drawn that brings the rest nearest to its quota."""
+    plan = plan.where("rest > 0").select(F.col("source").alias("s"), F.col("block").alias("b"), "cut", "short")
+    left = rows.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")) & (F.col("cut").isNull() | (F.col("h") > F.col("cut"))))
+    best = left.groupBy("s", "short").agg(F.min(F.struct(F.abs(F.col("short") - F.col("size")).alias("off"), "h", "b")).alias("best"))
+    best = best.select(F.col("s").alias("ls"), F.col("best.b").alias("lb"), F.col("best.h").alias("last"))
+    # rows that repeat an id are drawn together or not at all
+    same = left.join(best, F.col("s").eqNullSafe(F.col("ls")) & (F.col("b") == F.col("lb")) & (F.col("h") == F.col("last")))
+    same = same.groupBy("s", "b", "last", "short").agg(F.sum("size").alias("adds"))
+    return same.where(F.abs(F.col("short") - F.col("adds")) < F.abs("short")).select("s", "b", "last")
 
 
 def deal(units: DataFrame, mix: Mix = Mix()) -> DataFrame:
@@ -117,7 +133,8 @@ def placed(rows: DataFrame, plan: DataFrame, mix: Mix = Mix()) -> DataFrame:
     if plan.count() <= mix.broadcast_rows:
         plan = F.broadcast(plan)
     out = rows.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
-    n = F.col("passes") + F.coalesce((F.col("h") <= F.col("cut")).cast("int"), F.lit(0))
+    more = F.coalesce(F.col("h") <= F.col("cut"), F.lit(False)) | F.coalesce(F.col("h") == F.col("last"), F.lit(False))
+    n = F.col("passes") + more.cast("int")
     return out.select(*rows.columns, "source_size", "target", F.slice("shards", F.lit(1), n).alias("shards"))
 
 
