@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import decontaminate, mixing, quality_rules, token_files
+from strata.llm import decontaminate, minhash, mixing, quality_rules, token_files
 from strata.llm.common import stored
 
 
@@ -22,6 +22,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "m.*", "base_failed", "kept", "char_distance", "word_distance")
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), minhash.Near(shingle=3, percent=85))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stored(mixing.sized(_table(spark, sf_dir, "documents")).select(F.col("row.doc_id").alias("doc_id"), "size", "source", "h", "block"), "sized")
     plan = stored(mixing.drawn(rows), "drawn")
@@ -42,6 +46,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_duplicates": op1_near_duplicates,
     "op3_token_files": op3_token_files,
     "op4_mixing": op4_mixing,
     "op5_decontamination": op5_decontamination,
