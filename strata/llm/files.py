@@ -22,7 +22,7 @@ def whole_file(uri: str):
     system.create_dir(folder, recursive=True)
     hidden = f"{folder}/.{name}.{uuid.uuid4().hex}.tmp"
     try:
-        with system.open_output_stream(hidden) as out:
+        with system.open_output_stream(hidden, compression=None) as out:
             yield out
         system.move(hidden, path)
     except BaseException:

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import decontaminate, minhash, mixing, quality_rules, token_files
-from strata.llm.common import stored
+from strata.llm import decontaminate, minhash, mixing, quality_rules, token_files, warc
+from strata.llm.common import scratch_path, stored
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,12 +45,26 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archives(_table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
+    return warc.read_archives(manifest, html=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op3_token_files": op3_token_files,
     "op4_mixing": op4_mixing,
     "op5_decontamination": op5_decontamination,
+    "op6_warc": op6_warc,
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_warc": """
+        with p as (select page_id, strlen(coalesce(html, '')) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
+             f as (select *, min(page_id) over (partition by payload_digest) as first from p)
+        select page_id, payload_bytes, payload_digest,
+               case when payload_bytes >= 100 and page_id <> first then 'revisit' else 'response' end as record_type,
+               case when payload_bytes >= 100 and page_id <> first then first end as refers_to
+        from f""",
+}
