@@ -10,7 +10,6 @@ unpacked by numpy at once.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -18,6 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,9 +31,9 @@ BLOCK_IDS = 1 << 16
 #: A file is closed after the document that fills it.
 FILE_IDS = 1 << 23
 
-#: No token of a byte-level BPE spans a place between a character and one space before a character: the
-#: texts between such places can be encoded alone.
-SEAM = re.compile(r"(?<=\S)(?= \S)")
+#: A byte-level BPE never joins what stands before a single space and a character with these, so texts can be
+#: encoded in pieces from one space to the next. Texts in which a space has white space beside it are not cut.
+SPACES = r" [\s\x0b\x85\pZ]|[\s\x0b\x85\pZ] "
 
 
 def width(vocabulary: int) -> int:
@@ -128,32 +128,96 @@ class TokenFile:
 class Encoder:
     """Encodes texts piece by piece, and keeps the ids of pieces it has met within a bound."""
 
-    KEPT_CHARS = 4_000_000
+    KEPT = 400_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.ids: dict[str, bytes] = {}
-        self.chars = 0
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        if self.chars > self.KEPT_CHARS:
-            self.ids, self.chars = {}, 0
-        known, pieces = self.ids, [SEAM.split(t) for t in texts]
-        fresh = list({p for ps in pieces for p in ps if p not in known})
-        for p, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-            known[p] = np.array(e.ids, "<u4").tobytes()
-            self.chars += len(p)
-        return [b"".join(map(known.__getitem__, ps)) for ps in pieces]
+        # ids of pieces as bytes; the older half is let go when the newer is full
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _direct(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    @staticmethod
+    def _parts(piece: str) -> list[str]:
+        """The piece cut around a line feed between characters, and before a full stop or comma behind a letter."""
+        parts = piece.partition("\n")
+        if parts[1] and (parts[0][-1:].isspace() or not parts[0] or not parts[2] or parts[2][0].isspace()):
+            parts = (piece, "", "")
+        out = []
+        for p in parts:
+            if len(p) > 2 and p[-1] in ".," and p[-2] < "\u0250" and p[-2].isalpha():
+                out += [p[:-1], p[-1]]
+            elif p:
+                out.append(p)
+        return out
+
+    def pieces(self, pieces: list[str]) -> list[bytes]:
+        if len(self.new) > self.KEPT:
+            self.old, self.new = self.new, {}
+        new, old = self.new, self.old
+        cut = {}
+        for p in pieces:
+            if p not in new:
+                if p in old:
+                    new[p] = old[p]
+                else:
+                    cut[p] = self._parts(p)
+        fresh = set()
+        for parts in cut.values():
+            for q in parts:
+                if q not in new:
+                    if q in old:
+                        new[q] = old[q]
+                    else:
+                        fresh.add(q)
+        fresh = list(fresh)
+        new.update(zip(fresh, self._direct(fresh)))
+        for p, parts in cut.items():
+            if p not in new:
+                new[p] = b"".join([new[q] for q in parts])
+        return [new[p] for p in pieces]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's ids end)."""
+        plain = pc.invert(pc.match_substring_regex(texts, SPACES))
+        lists = pc.split_pattern(pc.if_else(plain, texts, ""), " ")
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.values.dictionary_encode()
+        codes, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        firsts = [words[c] for c in codes[offsets[:-1]].tolist()]
+        known = self.pieces([f" {w}" for w in words]) + (self.pieces(firsts) if firsts else [])
+        rough = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
+        for i, ids in zip(rough.tolist(), self._direct([texts[i].as_py() for i in rough.tolist()])):
+            known[len(words) + i] = ids
+        # the first piece of a text has no space before it
+        codes[offsets[:-1]] = len(words) + np.arange(len(texts))
+        lengths = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        flat, begins = np.frombuffer(b"".join(known), "<u4"), np.cumsum(lengths) - lengths
+        counts = lengths[codes]
+        ends = np.cumsum(counts)
+        at = np.repeat(begins[codes] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
+        return flat[at], np.append(0, ends)[offsets[1:]]
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One for each worker process, with what it has kept."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 MANIFEST = "partition int, seq int, path string, n_docs long, n_ids long, n_bytes long"
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", file_ids: int = FILE_IDS, batch: int = 64) -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", file_ids: int = FILE_IDS, batch: int = 512) -> DataFrame:
     """Writes the ids of all documents, each with ``end_id`` behind it, by ascending key, and returns the manifest.
 
     Documents are dealt to tasks by ranges of the key, so files in the manifest's order (``partition``,
@@ -161,18 +225,25 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key:
     A null text has no ids but the end.
     """
 
+    def documents(batches: Iterator[pa.RecordBatch], end: np.ndarray) -> Iterator[tuple[int | None, np.ndarray]]:
+        for b in batches:
+            for s in range(0, b.num_rows, batch):
+                part = b.slice(s, batch)
+                ids, ends = encoder(tokenizer).encode(pa.concat_arrays([part.column(1)]))
+                for key, own in zip(part.column(0).to_pylist(), np.split(ids, ends[:-1])):
+                    yield key, np.concatenate([own, end])
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, partition, seq = Encoder(tokenizer), TaskContext.get().partitionId(), 0
-        bits = width(encoder.tokenizer.get_vocab_size())
-        end = np.array([end_id], "<u4").tobytes()
-        rows = ((k, ids) for b in batches for s in range(0, b.num_rows, batch) for k, ids in zip(b.column(0).slice(s, batch).to_pylist(), encoder.encode(b.column(1).slice(s, batch).to_pylist())))
+        partition, seq = TaskContext.get().partitionId(), 0
+        bits = width(encoder(tokenizer).tokenizer.get_vocab_size())
+        rows = documents(batches, np.array([end_id], "<u4"))
         row = next(rows, None)
         while row is not None:
             uri = f"{folder}/part-{partition:06d}-{seq:05d}.tok"
             with whole_file(uri) as out:
                 writer = TokenWriter(out, bits)
                 while row is not None and writer.n_ids < file_ids:
-                    writer.add(row[0], np.frombuffer(row[1] + end, "<u4"))
+                    writer.add(*row)
                     row = next(rows, None)
                 writer.close()
                 n_bytes = out.tell()
