@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import decontaminate, minhash, mixing, quality_rules, token_files, warc
+from strata.llm import decontaminate, minhash, mixing, quality_rules, repeats, token_files, warc
 from strata.llm.common import scratch_path, stored
 
 
@@ -50,12 +50,17 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(manifest, html=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.cut_repeats(_table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op3_token_files": op3_token_files,
     "op4_mixing": op4_mixing,
     "op5_decontamination": op5_decontamination,
     "op6_warc": op6_warc,
+    "op8_substring_dedup": op8_substring_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
 
