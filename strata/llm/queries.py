@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import decontaminate, minhash, mixing, quality_rules, repeats, token_files, warc
+from strata.llm import decontaminate, language_id, minhash, mixing, quality_model, quality_rules, repeats, token_files, warc
 from strata.llm.common import scratch_path, stored
 
 
@@ -54,13 +54,28 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.cut_repeats(_table(spark, sf_dir, "documents")).drop("kept_text")
 
 
+def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return quality_model.judge(_table(spark, sf_dir, "documents"), trusted)
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+    model = language_id.train(docs.where(~held_out))
+    found = language_id.predict(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op3_token_files": op3_token_files,
     "op4_mixing": op4_mixing,
     "op5_decontamination": op5_decontamination,
     "op6_warc": op6_warc,
+    "op7_quality_model": op7_quality_model,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,
 }
 
