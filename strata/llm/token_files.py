@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from strata.llm.common import scratch_path, stored, text_of
 from strata.llm.files import opened, whole_file
+from strata.llm.tokens import slices
 
 TRAILER = struct.Struct("<8sIIQQQ")  # magic, bits, ids in a block, ids, documents, where the index starts
 MAGIC = b"STRTOK01"
@@ -138,10 +139,31 @@ class Encoder:
         # ids of pieces as bytes; the older half is let go when the newer is full
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.feed = self._direct(["\n"])[0]
 
     def _direct(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _fresh(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+        """The ids of pieces: many at once with line feeds between, where a line feed is one id that nothing joins."""
+        lines, alone = [], []
+        for p in pieces:
+            joins = "\n" in p or not p or p[-1].isspace() or p[:2][-1].isspace() or any(t in p for t in self.added)
+            (alone if joins else lines).append(p)
+        if len(self.feed) != 4:
+            lines, alone = [], pieces
+        yield from zip(alone, self._direct(alone))
+        feed = int.from_bytes(self.feed, "little")
+        for s in range(0, len(lines), 4000):
+            part = lines[s : s + 4000]
+            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.append(np.flatnonzero(ids == feed), len(ids)) * 4
+            data, begin = ids.tobytes(), 0
+            for p, end in zip(part, ends.tolist(), strict=True):
+                yield p, data[begin:end]
+                begin = end + 4
+
     @staticmethod
     def _parts(piece: str) -> list[str]:
         """The piece cut around a line feed between characters, and before a full stop or comma behind a letter."""
@@ -160,25 +182,24 @@ class Encoder:
         if len(self.new) > self.KEPT:
             self.old, self.new = self.new, {}
         new, old = self.new, self.old
-        cut = {}
+        cut, fresh = {}, set()
         for p in pieces:
             if p not in new:
                 if p in old:
                     new[p] = old[p]
+                elif "\n" in p or p[-1:] in ".,":
+                    cut[p] = parts = self._parts(p)
+                    for q in parts:
+                        if q not in new:
+                            if q in old:
+                                new[q] = old[q]
+                            else:
+                                fresh.add(q)
                 else:
-                    cut[p] = self._parts(p)
-        fresh = set()
-        for parts in cut.values():
-            for q in parts:
-                if q not in new:
-                    if q in old:
-                        new[q] = old[q]
-                    else:
-                        fresh.add(q)
-        fresh = list(fresh)
-        new.update(zip(fresh, self._direct(fresh)))
+                    fresh.add(p)
+        new.update(self._fresh(list(fresh)))
         for p, parts in cut.items():
-            if p not in new:
+            if parts != [p]:
                 new[p] = b"".join([new[q] for q in parts])
         return [new[p] for p in pieces]
 
@@ -217,7 +238,7 @@ def encoder(path: str) -> Encoder:
 MANIFEST = "partition int, seq int, path string, n_docs long, n_ids long, n_bytes long"
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", file_ids: int = FILE_IDS, batch: int = 512) -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", file_ids: int = FILE_IDS, batch_bytes: int = 8_000_000) -> DataFrame:
     """Writes the ids of all documents, each with ``end_id`` behind it, by ascending key, and returns the manifest.
 
     Documents are dealt to tasks by ranges of the key, so files in the manifest's order (``partition``,
@@ -227,8 +248,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key:
 
     def documents(batches: Iterator[pa.RecordBatch], end: np.ndarray) -> Iterator[tuple[int | None, np.ndarray]]:
         for b in batches:
-            for s in range(0, b.num_rows, batch):
-                part = b.slice(s, batch)
+            for part in slices(b, most_bytes=batch_bytes):
                 ids, ends = encoder(tokenizer).encode(pa.concat_arrays([part.column(1)]))
                 for key, own in zip(part.column(0).to_pylist(), np.split(ids, ends[:-1])):
                     yield key, np.concatenate([own, end])
