@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import decontaminate, language_id, minhash, mixing, quality_model, quality_rules, repeats, token_files, warc
+from strata.llm import decontaminate, language_id, minhash, mixing, pii, quality_model, quality_rules, repeats, token_files, warc
 from strata.llm.common import scratch_path, stored
 
 
@@ -67,8 +67,13 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
+    "op2_pii": op2_pii,
     "op3_token_files": op3_token_files,
     "op4_mixing": op4_mixing,
     "op5_decontamination": op5_decontamination,
