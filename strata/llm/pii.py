@@ -38,7 +38,7 @@ class Bootstrap:
     #: A pattern needs so many distinct known instances of a kind, and this confidence; an instance this score.
     least_known: int = 5
     least_confidence: float = 0.8
-    least_score: float = 0.9
+    least_score: float = 0.8
 
 
 def _luhn(digits: Column) -> Column:
