@@ -1,10 +1,15 @@
-"""Corpus pipeline: documents in, token files out."""
+"""Corpus pipeline: documents in, token files out.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept. Its result is written and
+read again as the next one's documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import quality_rules
+from strata.llm import decontaminate, minhash, mixing, quality_rules, token_files
 from strata.llm.common import stored
 
 
@@ -13,7 +18,28 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs)
 
 
-STAGES = [("quality", quality)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """MinHash near-dedup on five-word shingles at a similarity of 0.8: one document of each group stays."""
+    return minhash.keep_one(docs, minhash.Near(shingle=5, percent=80))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination: documents of which test items make a twentieth of the words or more go."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing sources to target weights: documents come as often as they are drawn."""
+    return mixing.mix_documents(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files: the ids of all documents by ascending doc_id, bit-packed; per document, what the files hold."""
+    manifest = token_files.write_tokens(docs, token_files.token_folder(spark), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_files.read_tokens(manifest)
+
+
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mix", mix), ("tokens", tokens)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,4 +49,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
+#: Tokens and hashes are beyond SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
