@@ -1 +1,5 @@
+"""Queries over the driver's tables, each with its SQL where there is one."""
 
+from strata.plans import ingest, silver
+
+REGISTRIES = [ingest.query, silver.query]
