@@ -1,5 +1,5 @@
 """Queries over the driver's tables, each with its SQL where there is one."""
 
-from strata.plans import ingest, silver
+from strata.plans import gold, ingest, silver, telemetry
 
-REGISTRIES = [ingest.query, silver.query]
+REGISTRIES = [gold.query, ingest.query, silver.query, telemetry.query]
