@@ -114,8 +114,9 @@ def sample(docs: DataFrame, training: Training, key: str, text: str, lang: str)
 
 def train(docs: DataFrame, training: Training = Training(), key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
     """A model of the labelled rows of ``docs``, or None if there are none. Rows with a null label are left out."""
-    rows = sorted(sample(docs, training, key, text, lang).collect(), key=lambda r: (r["key"], r["lang"]))
-    rows = [(r["lang"], np.array(r["buckets"], np.int64), np.array(r["counts"], np.float64)) for r in rows if len(r["buckets"])]
+    found = sample(docs, training, key, text, lang).toArrow().combine_chunks().sort_by([("key", "ascending"), ("lang", "ascending")])
+    lists = [[found[c].chunk(0)[i].values.to_numpy() for i in range(len(found))] if len(found) else [] for c in ("buckets", "counts")]
+    rows = [(name, b.astype(np.int64), n.astype(np.float64)) for name, b, n in zip(found["lang"].to_pylist(), *lists) if len(b)]
     if not rows:
         return None
     languages = sorted({r[0] for r in rows})
