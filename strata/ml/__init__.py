@@ -1 +1 @@
-
+"""Models: features, folds, out-of-fold scores, a registry, inference."""
