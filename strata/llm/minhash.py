@@ -9,9 +9,11 @@ values are skipped. The coordinates of joined pairs are then counted, pairs belo
 the rest are confirmed on their full sets of shingles.
 
 A value that very many classes share is not joined with itself. Its classes are first compared with the
-one whose values are the most common of all, the centre of the group if there is one. What this leaves
-in more than one component is compared pair by pair between components if the list is short; a
-longer list is split by a second common value, and then a third, before that.
+one whose values are the most common of all, the centre of the group if there is one. Lists that this leaves in
+more than one component give the classes that are left to compare. Of these, only pairs from different components
+can add anything, and only those whose full sets agree early: tokens are ordered from the rarest to the most
+frequent, and a pair must have its first common token so early in both sets that the overlap can still be
+reached. Sizes are joined in buckets, so a set meets only those of a size that its place leaves possible.
 """
 
 from __future__ import annotations
@@ -39,10 +41,6 @@ class Near:
     percent: int = 80
     size: int = 48
     miss: float = 1e-7
-    #: Lists of at most so many classes are compared pair by pair.
-    short_list: int = 48
-    #: Values in common that a long list is split by before it is compared pair by pair all the same.
-    levels: int = 3
     #: Tables of ids of at most so many rows are broadcast; larger ones are joined by shuffle.
     broadcast_ids: int = 500_000
 
@@ -147,49 +145,60 @@ def _ordered(x: str, y: str) -> list:
 
 def links(docs: DataFrame, classes: DataFrame, near: Near, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``a``, ``b``: links between classes; enough of them to join all that any links join."""
-    spark, t = docs.sparkSession, near.least
+    t = near.least
     posted = classes.select("id", F.explode("sig").alias("value"))
     shared = posted.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     own = posted.join(shared, "value").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "value"))).alias("values"))
     own = own.where(F.size("values") >= t).withColumn("weight", F.aggregate("values", F.lit(0).cast("long"), lambda s, v: s + v["n"]))
     own = stored(own, "prefixes")
 
-    # a list is the classes that have a value, or at a deeper level several values, in their prefixes
-    prefix = lambda level: F.slice(F.col("values.value"), F.lit(1), F.size("values") - (t - level))
-    lists = own.select("id", "weight", F.explode(prefix(1)).alias("list"))
-    sizes = lists.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("list")
-    lists = stored(lists.join(sizes, "list"), "lists")
+    # a list is the classes that have a value in their prefixes
+    lists = own.select("id", "weight", F.explode(F.slice(F.col("values.value"), F.lit(1), F.size("values") - (t - 1))).alias("list"))
+    centres = lists.groupBy("list").agg(F.max(F.struct("weight", (-F.col("id")).alias("id"))).alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    lists = stored(lists.join(centres.select("list", (-F.col("top.id")).alias("centre")), "list").select("id", "list", "centre"), "lists")
     sets = stored(full_sets(docs, stored(lists.select("id").distinct(), "ids"), near, key, text), "sets")
-
-    found = spark.createDataFrame([], "a long, b long")
-    tried = spark.createDataFrame([], "a long, b long")
-    for level in range(1, near.levels + 1):
-        centres = lists.groupBy("list").agg(F.max(F.struct("weight", (-F.col("id")).alias("id"))).alias("top"))
-        pairs = lists.join(centres.select("list", (-F.col("top.id")).alias("centre")), "list").where("id <> centre").select(*_ordered("id", "centre")).distinct()
-        pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = tried.union(pairs)
-        found = stored(found.union(_confirm(pairs, classes, sets, near)), "found")
-        lists = stored(_mixed(lists, components(found)), "mixed")
-        short = lists.where(F.col("n") <= near.short_list) if level < near.levels else lists
-        pairs = short.alias("x").join(short.alias("y"), "list").where("x.component < y.component").select(*_ordered("x.id", "y.id")).distinct()
-        pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = tried.union(pairs)
-        found = stored(found.union(_confirm(pairs, classes, sets, near)), "found")
-        lists = lists.where(F.col("n") > near.short_list).select("list", "id", "weight")
-        if level == near.levels or lists.isEmpty():
-            return found
-        # those of a long list that agree in one more value are a list of the next level
-        deeper = lists.join(own.select("id", F.explode(prefix(level + 1)).alias("value")), "id")
-        deeper = deeper.select("id", "weight", F.xxhash64("list", "value").alias("list"))
-        sizes = deeper.groupBy("list").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("list")
-        lists = stored(deeper.join(sizes, "list"), "lists")
-
-
-def _mixed(lists: DataFrame, groups: DataFrame) -> DataFrame:
-    """The rows of lists that have more than one component, with ``component`` and the list's size ``n``."""
-    rows = lists.select("list", "id", "weight").join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = rows.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    return rows.join(mixed.select("list", "n"), "list")
+    pairs = lists.where("id <> centre").select(*_ordered("id", "centre")).distinct()
+    found = stored(_confirm(pairs, classes, sets, near), "centre-links")
+
+    rows = lists.select("list", "id").join(components(found), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = rows.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("list")
+    left = stored(rows.join(mixed, "list").select("id", "component").distinct(), "left")
+    more = _confirm(stored(_early_pairs(sets.join(left, "id"), near), "early-pairs"), classes, sets, near)
+    return stored(found.union(more), "links")
+
+
+def _early_pairs(sets: DataFrame, near: Near) -> DataFrame:
+    """``a``, ``b``: pairs of ``id``, ``component``, ``set`` from different components whose sets may be similar enough,
+    as far as their sizes and the places of a common token among their rarest tokens tell."""
+    p, q = near.percent, 100 + near.percent
+    tokens = stored(sets.select("id", F.explode("set").alias("token")), "tokens")
+    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    ranked = tokens.join(often, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("tokens"))
+    # tokens of one set only come first: they have places, but can match nothing
+    rows = sets.select("id", "component", F.size("set").alias("size")).join(ranked, "id")
+    reach = F.col("size") - F.ceil(F.col("size") * p / 100) + 1
+    alone = F.col("size") - F.size("tokens")
+    rows = rows.select("id", "component", "size", alone.alias("alone"), F.posexplode(F.slice("tokens", F.lit(1), F.greatest(F.lit(0), (reach - alone).cast("int")))).alias("i", "t"))
+    rows = stored(rows.select("id", "component", "size", (F.col("alone") + F.col("i")).alias("place"), F.col("t.token").alias("token")), "places")
+
+    bucket = lambda n: F.floor(F.log(n) / F.log(F.lit(1.02))).cast("int")
+    shorter = rows.where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * 2 * p / q)).withColumn("bucket", bucket(F.col("size")))
+    # with its first common token here, the other set has at most so many tokens, and at least the share of these
+    most = F.least(F.col("size"), F.floor((F.col("size") - F.col("place")) * q / p - F.col("size")))
+    longer = rows.withColumns({"most": most, "least": F.ceil(F.col("size") * p / 100)}).where("least <= most")
+    longer = longer.withColumn("bucket", F.explode(F.sequence(bucket(F.col("least")), bucket(F.col("most")))))
+    # of a list, nearly all may be of one component: its rows only meet those of others
+    each = shorter.select("token", "bucket", "component").union(longer.select("token", "bucket", "component")).groupBy("token", "bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    main = each.groupBy("token", "bucket").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").drop("kinds")
+    main = stored(main, "mixed")
+    x, y = (df.join(main, ["token", "bucket"]) for df in (shorter, longer))
+    same = ["token", "bucket"]
+    enough = (1 + F.least(F.col("x.size") - F.col("x.place") - 1, F.col("y.size") - F.col("y.place") - 1)) * q >= (F.col("x.size") + F.col("y.size")) * p
+    fits = (F.col("x.size") <= F.col("y.size")) & (F.col("x.component") != F.col("y.component")) & enough
+    on = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in same]
+    one = x.where("component = main").alias("x").join(y.where("component <> main").alias("y"), [*on, fits])
+    two = x.where("component <> main").alias("x").join(y.alias("y"), [*on, fits])
+    return one.select(*_ordered("x.id", "y.id")).union(two.select(*_ordered("x.id", "y.id"))).distinct()
 
 
 def near_duplicates(docs: DataFrame, near: Near = Near(), key: str = "doc_id", text: str = "text") -> DataFrame:
