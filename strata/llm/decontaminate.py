@@ -264,8 +264,8 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, limits: Limits = Limits
 
 
 def cut_spans(docs: DataFrame, items: DataFrame, limits: Limits = Limits(), text: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``clean_text``: the text with each hit span of words, and what stands
-    between its words, replaced by one space; a contaminated document's is null, as is a null text's."""
+    """All columns of ``docs`` and ``clean_text``: the text without the words of hit spans and what stands between
+    these words; a contaminated document's is null, as is a null text's."""
     found = find(docs, items, limits, text=text)
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     body = F.col(f"row.{text}")
@@ -273,8 +273,8 @@ def cut_spans(docs: DataFrame, items: DataFrame, limits: Limits = Limits(), text
     def without(words_and_gaps):
         words, gaps = words_and_gaps["words"], words_and_gaps["gaps"]
         hit = lambda i: F.exists("spans", lambda s: (s["start"] <= i) & (i < s["end"]))
-        first = lambda i: F.when(hit(i - 1), F.lit("")).otherwise(F.lit(" "))
-        parts = F.transform(words, lambda w, i: F.when(hit(i), first(i)).otherwise(F.concat(F.when(hit(i - 1), F.lit("")).otherwise(F.get(gaps, i)), w)))
+        inner = lambda i: hit(i) & hit(i - 1)
+        parts = F.transform(words, lambda w, i: F.when(inner(i), F.lit("")).otherwise(F.concat(F.get(gaps, i), F.when(hit(i), F.lit("")).otherwise(w))))
         return F.concat(F.array_join(parts, ""), F.element_at(gaps, -1))
 
     split = F.struct(F.regexp_extract_all(body, F.lit(word), F.lit(0)).alias("words"), F.split(body, word, -1).alias("gaps"))
