@@ -21,10 +21,10 @@ def code():
 CODE = "case event_type when 'purchase' then 2 when 'click' then 102 when 'signup' then null else 0 end"
 
 
-@query("""select event_id, user_id, round(epoch(ts) - min(epoch(ts)) over (partition by user_id), 3) as offset_s, row_number() over (order by epoch_us(ts) - min_us, user_id, event_id) as place from (select *, min(epoch_us(ts)) over (partition by user_id) as min_us from events)""")
+@query("""select event_id, user_id, (epoch_us(ts) - min_us) / 1e6 as offset_s, row_number() over (order by epoch_us(ts) - min_us, user_id, event_id) as place from (select *, min(epoch_us(ts)) over (partition by user_id) as min_us from events)""")
 def replay_order(spark, d):
     rows = replay.with_offset(table(spark, d, "events").select("event_id", "user_id", "ts"), "user_id", "ts")
-    return replay.numbered(rows, ["offset_us", "user_id", "event_id"]).select("event_id", "user_id", F.round(F.col("offset_us") / 1e6, 3).alias("offset_s"), "place")
+    return replay.numbered(rows, ["offset_us", "user_id", "event_id"]).select("event_id", "user_id", (F.col("offset_us") / 1e6).alias("offset_s"), "place")
 
 
 @query("""select event_id, late, delay_s, cast(timestamp '2030-01-01' + interval 1 second * (event_id * 2 + delay_s) as timestamp) as emit_at from (select event_id, (event_id * 7919 + 17) % 1000 < 50 as late,
