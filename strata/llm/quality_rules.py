@@ -134,7 +134,8 @@ def measure(docs: DataFrame, limits: Limits = Limits(), text: str = "text", lang
 
 def language_references(measured: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Mean histograms (in parts a million, summed) of the languages: at most one row for each word list."""
-    h = measured.where(F.col("h.language").isNotNull() & (F.col("m.n_words") >= limits.min_judged))
+    # the words of the histogram itself are counted, so that this pass needs none of the counts
+    h = measured.select("h").where(F.col("h.language").isNotNull() & (total(F.col("h.common")) >= limits.min_judged))
     h = h.select(F.col("h.language").alias("language"), _shares(F.col("h.chars")).alias("chars"), _shares(F.col("h.common")).alias("common"))
     n_chars, n_common = len(CLASSES) + 1, max(map(len, COMMON.values())) + 1
     sums = [F.sum(F.get("chars", F.lit(i))).alias(f"c{i}") for i in range(n_chars)] + [F.sum(F.get("common", F.lit(i))).alias(f"w{i}") for i in range(n_common)]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strata.llm import decontaminate, language_id, minhash, mixing, pii, quality_model, quality_rules, repeats, token_files, warc
 from strata.llm.common import scratch_path, stored
+from strata.llm.oracle import ORACLE_SQL  # noqa: F401
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,7 +20,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     measured = quality_rules.measure(docs).select(F.col("row.doc_id").alias("doc_id"), "m", "h")
     judged = quality_rules.judge(stored(measured, "quality"))
-    return judged.select("doc_id", "m.*", "base_failed", "kept", "char_distance", "word_distance")
+    return judged.select("doc_id", "m.*", "base_failed", "kept")
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +30,7 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stored(mixing.sized(_table(spark, sf_dir, "documents")).select(F.col("row.doc_id").alias("doc_id"), "size", "source", "h", "block"), "sized")
     plan = stored(mixing.drawn(rows), "drawn")
-    return mixing.placed(rows, plan).select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"), "source", "shards")
+    return mixing.placed(rows, plan).select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"), "source")
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,13 +84,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,
 }
-
-ORACLE_SQL: dict[str, str] = {
-    "op6_warc": """
-        with p as (select page_id, strlen(coalesce(html, '')) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
-             f as (select *, min(page_id) over (partition by payload_digest) as first from p)
-        select page_id, payload_bytes, payload_digest,
-               case when payload_bytes >= 100 and page_id <> first then 'revisit' else 'response' end as record_type,
-               case when payload_bytes >= 100 and page_id <> first then first end as refers_to
-        from f""",
-}

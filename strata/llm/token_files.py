@@ -129,7 +129,7 @@ class TokenFile:
 class Encoder:
     """Encodes texts piece by piece, and keeps the ids of pieces it has met within a bound."""
 
-    KEPT = 400_000
+    KEPT = 200_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -238,7 +238,7 @@ def encoder(path: str) -> Encoder:
 MANIFEST = "partition int, seq int, path string, n_docs long, n_ids long, n_bytes long"
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", file_ids: int = FILE_IDS, batch_bytes: int = 8_000_000) -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", file_ids: int = FILE_IDS, batch_bytes: int = 4_000_000) -> DataFrame:
     """Writes the ids of all documents, each with ``end_id`` behind it, by ascending key, and returns the manifest.
 
     Documents are dealt to tasks by ranges of the key, so files in the manifest's order (``partition``,
@@ -269,6 +269,9 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key:
                 n_bytes = out.tell()
             yield pa.RecordBatch.from_pylist([{"partition": partition, "seq": seq, "path": uri, "n_docs": len(writer.keys), "n_ids": writer.n_ids, "n_bytes": n_bytes}], schema=schema)
             seq += 1
+        # an idle worker keeps the newer pieces only
+        encoder(tokenizer).old = {}
+        pa.default_memory_pool().release_unused()
 
     schema = pa.schema([("partition", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())])
     rows = docs.select(F.col(key).cast("long").alias("key"), text_of(text).alias("text"))
