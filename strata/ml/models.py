@@ -68,6 +68,11 @@ def stump(label: str, weight: str = "weight") -> Estimator:
     return DecisionTreeClassifier(labelCol=label, weightCol=weight, maxDepth=1, seed=7)
 
 
+def majority(train: DataFrame, label: str) -> DataFrame:
+    """One row: the label found most often, the least of equals."""
+    return train.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), label).limit(1).select(F.col(label).alias("predicted"))
+
+
 def out_of_fold(rows: DataFrame, features: Features, estimator: Estimator, folds: int) -> DataFrame:
     """``rows`` (with ``fold``) and ``prediction``, each by a model of the other folds."""
     out = None
