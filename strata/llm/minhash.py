@@ -205,7 +205,7 @@ def near_duplicates(docs: DataFrame, near: Near = Near(), key: str = "doc_id", t
     """Per row of ``docs``: key, ``n_shingles``, ``component_id`` (the least key reachable) and ``kept``.
 
     A text with fewer words than a shingle is one shingle; a null text or one without words has none and is
-    linked with nothing. Repeated rows get the same component. Keys name documents: if a key repeats with
+    linked with nothing. Repeated rows get the same component. A row with a null key is never dropped. Keys name documents: if a key repeats with
     another text, both texts count as one document, compared by one of them.
     """
     signed = stored(sign(docs, near, key, text), "signed")

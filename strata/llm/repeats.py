@@ -27,6 +27,10 @@ from strata.llm.files import opened
 from strata.llm.tokens import PLAIN, coded_words, hash_each, mix, run_hashes, slices
 
 
+#: Ids below this stand for null keys.
+NULLS = -(2**62)
+
+
 @dataclass(frozen=True)
 class Repeats:
     window: int = 13
@@ -155,10 +159,12 @@ def cut_repeats(docs: DataFrame, how: Repeats = Repeats(), key: str = "doc_id",
     """Per document: key, ``n_words``, ``n_removed``, ``kept_sha256`` and ``kept_text`` (its words that stay, one space
     between them; null where nothing is cut).
 
-    Windows are judged on the input. Null texts have no words. Keys name documents; rows that repeat a key
-    are documents of their own that no row of this key is earlier than. Null keys come first.
+    Windows are judged on the input. Null texts have no words. Keys name documents: a row that repeats a key repeats
+    its text, and neither is earlier. Rows with a null key come before all others, in an order of their texts' hashes
+    (so keys below NULLS can't be used).
     """
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("id"), text_of(text).alias("text"))
+    body = text_of(text)
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), NULLS - 1 - F.pmod(F.xxhash64(body), F.lit(-NULLS - 2))).alias("id"), body.alias("text"))
     gone = stored(copies(rows), "copies")
     starts = stored(repeated_windows(rows, gone, how), "starts")
 
@@ -189,4 +195,4 @@ def cut_repeats(docs: DataFrame, how: Repeats = Repeats(), key: str = "doc_id",
     all_gone = F.col("kind").isNotNull() & (F.col("n_words") >= how.window)
     plain = plain.select("id", "n_words", F.when(all_gone, F.col("n_words")).otherwise(F.lit(0)).alias("n_removed"), F.when(all_gone, none).otherwise(F.col("sha")).alias("kept_sha256"), F.when(all_gone, F.lit("")).otherwise(nothing).alias("kept_text"))
     out = cut.unionByName(plain)
-    return out.select(F.when(F.col("id") != -(2**63), F.col("id")).alias(key), "n_words", "n_removed", "kept_sha256", "kept_text")
+    return out.select(F.when(F.col("id") >= NULLS, F.col("id")).alias(key), "n_words", "n_removed", "kept_sha256", "kept_text")

@@ -51,4 +51,6 @@ def test_odd_documents(spark):
     assert len(out) == docs.count()
     by = {r["doc_id"]: r for r in out if r["doc_id"] in (0, 1, 7)}
     assert by[0]["n_words"] == by[1]["n_words"] == 0 and by[7]["n_removed"] == by[7]["n_words"] == 300
+    two = spark.createDataFrame([(None, prose(40, 1)), (None, prose(40, 2)), (5, prose(40, 2) + " end")], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in repeats.cut_repeats(two).collect()) == [(0, 0), (0, 0), (5, 40)]
     assert repeats.cut_repeats(empty_documents(spark)).count() == 0
