@@ -8,11 +8,15 @@ from __future__ import annotations
 import argparse
 import datetime
 import sys
+import uuid
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from strata.operators.contracts import Contract, load_pending
 from strata.plans import REGISTRIES
 from strata.session import Settings, session
-from strata.sources import files
+from strata.sources import catalog, files, landing, manifest
 from strata.sources.sinks import Tables
 
 
@@ -24,6 +28,14 @@ def main(argv: list[str] | None = None) -> int:
     one.add_argument("query")
     one.add_argument("tables", help="folder of the tables")
     one.add_argument("--out", help="Parquet folder")
+    ingest = commands.add_parser("ingest", help="lands the resources of catalog packages and logs the attempts")
+    ingest.add_argument("catalog", help="JSON files")
+    ingest.add_argument("root", help="landing folder, a URI")
+    ingest.add_argument("--format", action="append", default=[])
+    ingest.add_argument("--include", action="append", default=[])
+    ingest.add_argument("--exclude", action="append", default=[])
+    ingest.add_argument("--only")
+    ingest.add_argument("--dry-run", action="store_true")
     raw = commands.add_parser("raw", help="loads a delimited file into a raw table, replacing that resource")
     raw.add_argument("path")
     raw.add_argument("table")
@@ -48,6 +60,21 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     spark = session(settings)
     tables = Tables(spark)
+    if args.command == "ingest":
+        now = datetime.datetime.now(datetime.timezone.utc).replace(tzinfo=None)
+        found = catalog.selected(catalog.package_resources(spark, args.catalog), args.include, args.exclude, args.format, args.only)
+        log = tables.read("ops_manifest")
+        log = spark.createDataFrame([], manifest.SCHEMA) if log is None else log
+        if args.dry_run:
+            manifest.decisions(found, log).select("resource_id", "name", "decision").show(truncate=False)
+            return 0
+        # attempts are made once: what they say is kept before it is logged
+        made = landing.land(found, log, args.root, now.date().isoformat()).persist()
+        order = F.row_number().over(Window.orderBy("resource_id")) + (log.agg(F.max("id")).first()[0] or 0)
+        rows = made.withColumns({"id": order.cast("long"), "run_id": F.lit(uuid.uuid4().hex), "dataset": F.lit(args.catalog), "ingest_date": F.lit(now.date()), "started_at": F.lit(now), "finished_at": F.lit(now)})
+        tables.append("ops_manifest", rows.select(*[F.col(f.name).cast(f.dataType) for f in manifest.SCHEMA]))
+        manifest.run_summary(made).show()
+        return int(made.where("status = 'failed'").count() > 0)
     if args.command == "raw":
         found = files.hashed_files(spark, args.path).first()
         if args.dry_run:

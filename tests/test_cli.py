@@ -21,3 +21,36 @@ def test_raw_to_silver(spark, tmp_path, capsys):
     assert main(["run", "nothing", "/x"]) == 2
     assert main(["run", "dim_calendar", "/x", "--out", str(tmp_path / "out")]) == 0
     assert spark.read.parquet(str(tmp_path / "out")).count() == 84
+
+
+def test_ingest(spark, tmp_path, capsys):
+    import json
+
+    (tmp_path / "a.csv").write_bytes(b"x" * 10)
+    (tmp_path / "Ñandú b.csv").write_bytes(b"y" * 20)
+    root = f"file://{tmp_path}/land"
+
+    def catalog(*rows):
+        (tmp_path / "p.json").write_text(json.dumps({"result": {"resources": [dict(zip(("id", "name", "url", "format", "size", "last_modified"), r)) for r in rows]}}))
+
+    def run():
+        return main(["ingest", str(tmp_path / "p.json"), root, "--format", "csv"])
+
+    def statuses():
+        return {r["resource_id"]: r["status"] for r in spark.table("ops_manifest").orderBy("id").collect()}
+
+    catalog(("a", "A", f"file://{tmp_path}/a.csv", "CSV", "10", "m1"), ("b", "B", f"file://{tmp_path}/Ñandú b.csv", "csv", None, None), ("c", "C", f"file://{tmp_path}/none.csv", "csv", "1", "m"), ("d", "D", f"file://{tmp_path}/a.csv", "shp", "1", "m"))
+    assert run() == 1
+    assert statuses() == {"a": "ok", "b": "ok", "c": "failed"}
+    files = {str(p.relative_to(tmp_path / "land")).split("/")[0]: p for p in (tmp_path / "land").rglob("*.csv")}
+    assert files["resource_id=a"].read_bytes() == b"x" * 10 and files["resource_id=b"].name == "nandu-b.csv"
+    # a is known to be the same, b turns out to be, c still fails
+    assert run() == 1
+    assert statuses() == {"a": "unchanged", "b": "unchanged", "c": "failed"}
+    (tmp_path / "none.csv").write_bytes(b"")
+    (tmp_path / "a.csv").write_bytes(b"z" * 10)
+    catalog(("a", "A", f"file://{tmp_path}/a.csv", "CSV", "10", "m2"), ("c", "C", f"file://{tmp_path}/none.csv", "csv", "1", "m"))
+    assert main(["ingest", str(tmp_path / "p.json"), root, "--dry-run"]) == 0
+    assert run() == 0
+    assert statuses()["a"] == "ok" and statuses()["c"] == "ok"
+    assert spark.table("ops_manifest").where("resource_id = 'c' and status = 'ok'").first()["bytes"] == 0
