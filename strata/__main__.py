@@ -68,13 +68,14 @@ def main(argv: list[str] | None = None) -> int:
         if args.dry_run:
             manifest.decisions(found, log).select("resource_id", "name", "decision").show(truncate=False)
             return 0
-        # attempts are made once: what they say is kept before it is logged
-        made = landing.land(found, log, args.root, now.date().isoformat()).persist()
+        made, run_id = landing.land(found, log, args.root, now.date().isoformat()), uuid.uuid4().hex
         order = F.row_number().over(Window.orderBy("resource_id")) + (log.agg(F.max("id")).first()[0] or 0)
-        rows = made.withColumns({"id": order.cast("long"), "run_id": F.lit(uuid.uuid4().hex), "dataset": F.lit(args.catalog), "ingest_date": F.lit(now.date()), "started_at": F.lit(now), "finished_at": F.lit(now)})
+        rows = made.withColumns({"id": order.cast("long"), "run_id": F.lit(run_id), "dataset": F.lit(args.catalog), "ingest_date": F.lit(now.date()), "started_at": F.lit(now), "finished_at": F.lit(now)})
+        # the attempts are made by this write, once; what they came to is read from the log
         tables.append("ops_manifest", rows.select(*[F.col(f.name).cast(f.dataType) for f in manifest.SCHEMA]))
-        manifest.run_summary(made).show()
-        return int(made.where("status = 'failed'").count() > 0)
+        logged = tables.read("ops_manifest").where(F.col("run_id") == run_id)
+        manifest.run_summary(logged).show()
+        return int(logged.where("status = 'failed'").count() > 0)
     if args.command == "raw":
         found = files.hashed_files(spark, args.path).first()
         if args.dry_run:
