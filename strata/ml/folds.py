@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.streaming.replay import numbered
@@ -35,8 +35,10 @@ def permuted(rows: DataFrame, key: str, column: str, seed: int) -> DataFrame:
     return by_key.join(values, F.col("place") == F.col("_p")).withColumn(column, F.col("_v")).select(*rows.columns)
 
 
-def weights_by_class(label: str) -> Column:
-    """Balanced weights: rows / (classes * rows of the class)."""
+def with_weights(rows: DataFrame, label: str) -> DataFrame:
+    """``weight``: rows / (classes * rows of the class), so that all classes weigh the same."""
+    counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    # one row a class
     every = Window.partitionBy()
-    classes = F.size(F.collect_set(label).over(every))
-    return F.count(F.lit(1)).over(every) / (classes * F.count(F.lit(1)).over(Window.partitionBy(label)))
+    weights = counts.select(F.col(label).alias("_label"), (F.sum("_n").over(every) / (F.count(F.lit(1)).over(every) * F.col("_n"))).alias("weight"))
+    return rows.join(weights, F.col(label) == F.col("_label")).drop("_label")

@@ -92,6 +92,21 @@ def test_folds_never_split_groups_and_are_balanced(spark):
     assert sorted(r["y"] for r in again.collect()) == [float(i) for i in range(600)] and again.where("y = id").count() < 30
 
 
+def test_weights_and_classifiers(spark):
+    rows = spark.range(300).selectExpr("id", "cast(id as double) as x", "case when id < 250 then 0.0 when id < 280 then 1.0 else 2.0 end as label")
+    out = folds.with_weights(rows, "label")
+    sums = {r["label"]: r["w"] for r in out.groupBy("label").agg(F.sum("weight").alias("w")).collect()}
+    assert all(w == pytest.approx(100) for w in sums.values())
+    assert models.majority(rows, "label").first()["predicted"] == 0.0
+    from pyspark.ml import Pipeline
+
+    features = models.Features(("x",))
+    for estimator, least in ((models.forest("label"), 0.95), (models.stump("label"), 0.6)):
+        found = Pipeline(stages=[*features.stages(), estimator]).fit(out).transform(out)
+        assert found.where("prediction = label").count() >= least * 300
+        assert found.select(models.class_probabilities().alias("p")).select(F.array_max("p")).first()[0] <= 1
+
+
 def test_promotion_and_registry(spark, tmp_path):
     rows = folds.with_folds(spark.range(300).selectExpr("id", "id % 10 as g", "case when id % 7 = 0 then null else cast(id % 50 as double) end as x", "cast(id % 3 as string) as c", "cast(id % 50 as double) as y"), "g", 2)
     features = models.Features(("x",), ("c",))
