@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STATISTICS = ("mean", "std", "min", "max", "slope", "delta")
@@ -22,13 +22,15 @@ def windowed(rows: DataFrame, series: str, ts: str, width_s: int, step_s: int |
     Windows are half open and begin every step from the series' first time; the last ones that the series doesn't fill are
     left out. ``step`` is a column that is constant in a series.
     """
-    own = Window.partitionBy(series)
-    at = F.unix_micros(F.col(ts).cast("timestamp")) / 1_000_000
-    rows = rows.withColumn("dt", at - F.min(at).over(own)).withColumn("_last", F.max("dt").over(own)).withColumn("_step", F.lit(step_s) if step is None else step)
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    # bounds are summed in each task first and joined, so a very long series isn't brought to one task
+    bounds = rows.groupBy(F.col(series).alias("_series")).agg(F.min(at).alias("_from"), F.max(at).alias("_to"))
+    rows = rows.join(bounds, F.col(series) == F.col("_series"))
+    rows = rows.withColumn("dt", (at - F.col("_from")) / 1_000_000).withColumn("_last", (F.col("_to") - F.col("_from")) / 1_000_000).withColumn("_step", F.lit(step_s) if step is None else step)
     first = F.greatest(F.lit(0), F.floor((F.col("dt") - width_s) / F.col("_step")) + 1)
     rows = rows.withColumn("k", F.explode(F.sequence(first.cast("long"), F.floor(F.col("dt") / F.col("_step")).cast("long"))))
     rows = rows.withColumn("window_start", F.col("k") * F.col("_step")).where(F.col("window_start") + width_s <= F.col("_last"))
-    return rows.drop("_last", "_step")
+    return rows.drop("_last", "_step", "_series", "_from", "_to")
 
 
 def statistics(sensor: str, t: str = "dt") -> list[Column]:

@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 def with_offset(rows: DataFrame, series: str, ts: str) -> DataFrame:
     """``offset_us`` since the first time of the series."""
     at = F.unix_micros(F.col(ts).cast("timestamp"))
-    return rows.withColumn("offset_us", at - F.min(at).over(Window.partitionBy(series)))
+    first = rows.groupBy(F.col(series).alias("_series")).agg(F.min(at).alias("_from"))
+    return rows.join(first, F.col(series) == F.col("_series")).withColumn("offset_us", at - F.col("_from")).drop("_series", "_from")
 
 
 def looped(rows: DataFrame, times: int, series: str) -> DataFrame:
     """The rows several times, each round a second after the last row of the one before it."""
-    last = F.max("offset_us").over(Window.partitionBy(series))
-    return rows.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(times - 1)))).withColumn("offset_us", F.col("offset_us") + F.col("round") * (last + 1_000_000))
+    last = rows.groupBy(F.col(series).alias("_series")).agg(F.max("offset_us").alias("_last"))
+    rows = rows.join(last, F.col(series) == F.col("_series")).withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
+    return rows.withColumn("offset_us", F.col("offset_us") + F.col("round") * (F.col("_last") + 1_000_000)).drop("_series", "_last")
 
 
 def numbered(rows: DataFrame, order: Sequence[str]) -> DataFrame:
