@@ -133,10 +133,12 @@ def measure(docs: DataFrame, limits: Limits = Limits(), text: str = "text", lang
 
 
 def language_references(measured: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """Mean histograms (in parts a million, summed) of the languages: at most one row for each word list."""
-    # the words of the histogram itself are counted, so that this pass needs none of the counts
-    h = measured.select("h").where(F.col("h.language").isNotNull() & (total(F.col("h.common")) >= limits.min_judged))
-    h = h.select(F.col("h.language").alias("language"), _shares(F.col("h.chars")).alias("chars"), _shares(F.col("h.common")).alias("common"))
+    """Mean histograms (in parts a million, summed) of the languages: at most one row for each word list, and one with a
+    null language."""
+    # the words of the histogram itself are counted, so that this pass needs none of the counts; what is too short has
+    # nulls, as a filter would be pushed below the histograms and make them again
+    h = measured.select("h").select("h.*", (total(F.col("h.common")) >= limits.min_judged).alias("long"))
+    h = h.select("language", F.when(F.col("long"), _shares(F.col("chars"))).alias("chars"), F.when(F.col("long"), _shares(F.col("common"))).alias("common"))
     n_chars, n_common = len(CLASSES) + 1, max(map(len, COMMON.values())) + 1
     sums = [F.sum(F.get("chars", F.lit(i))).alias(f"c{i}") for i in range(n_chars)] + [F.sum(F.get("common", F.lit(i))).alias(f"w{i}") for i in range(n_common)]
     return h.groupBy("language").agg(*sums).select(
@@ -169,17 +171,19 @@ def judge(measured: DataFrame, limits: Limits = Limits()) -> DataFrame:
     the common words; with none of them there, or no reference of the language, the distances are null and
     reject nothing. Repeated rows are judged alike. An empty table gives an empty one.
     """
-    # at most len(COMMON) rows of fixed width: a bound that no input moves
+    # at most len(COMMON) + 1 rows of fixed width: a bound that no input moves
     refs = F.broadcast(language_references(measured, limits))
     failed = (F.col("m.n_words") < limits.min_words) | (100 * F.col("m.n_repeat_words") > limits.max_repeat_percent * F.col("m.n_words"))
-    judged = (F.col("m.n_words") >= limits.min_judged) & F.col("ref_language").isNotNull()
-    rows = measured.join(refs, F.col("h.language") == F.col("ref_language"), "left").select(
+    judged = (F.col("m.n_words") >= limits.min_judged) & F.col("h.language").isNotNull() & F.get("ref_chars", F.lit(0)).isNotNull()
+    # null-safe, or a filter for nulls would be pushed below the references' histograms
+    rows = measured.join(refs, F.col("h.language").eqNullSafe(F.col("ref_language")), "left").select(
         *measured.columns, failed.alias("base_failed"),
         F.when(judged, _distance(F.col("h.chars"), F.col("ref_chars"))).alias("char_distance"),
         F.when(judged, _distance(F.col("h.common"), F.col("ref_common"))).alias("word_distance"),
     )
     far = (F.coalesce("char_distance", F.lit(0.0)) > limits.max_char_distance) | (F.coalesce("word_distance", F.lit(0.0)) > limits.max_word_distance)
-    return rows.withColumn("kept", ~F.col("base_failed") & ~far)
+    # one condition on both sides of the join: apart, the first would be pushed below it and count the words again
+    return rows.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(~far))
 
 
 def keep_good(docs: DataFrame, limits: Limits = Limits(), text: str = "text", lang: str = "lang") -> DataFrame:
