@@ -28,9 +28,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import packed, stored, text_of
+from strata.llm.common import stored, text_of
 from strata.llm.graph import components
-from strata.llm.tokens import LOWER, coded_words, hash_each, mix, run_hashes
+from strata.llm.tokens import LOWER, coded_words, hash_each, mix, run_hashes, slices
 
 
 @dataclass(frozen=True)
@@ -91,8 +91,7 @@ def sign(docs: DataFrame, near: Near, key: str = "doc_id", text: str = "text") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for s in range(0, b.num_rows, 512):
-                part = b.slice(s, 512)
+            for part in slices(b):
                 sets, sizes, keys = shingle_sets(part.column(1), n)
                 sig = signatures(sets, sizes, k)
                 ends = np.concatenate([[0], np.cumsum((sizes > 0) * k)]).astype(np.int32)
@@ -116,8 +115,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, near: Near, key: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for s in range(0, b.num_rows, 512):
-                part = b.slice(s, 512)
+            for part in slices(b):
                 sets, sizes, _ = shingle_sets(part.column(1), n)
                 ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 values = np.concatenate(sets).view(np.int64) if len(sets) else np.empty(0, np.int64)
