@@ -67,7 +67,7 @@ def _seeds(rows: DataFrame, how: Repeats) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in slices(b):
+            for part in slices(b, most_bytes=2_000_000):
                 w = Windows(part.column(1), how)
                 place, first = np.unique(w.place, return_index=True)
                 text = w.text[first]
@@ -97,7 +97,7 @@ def _windows(rows: DataFrame, how: Repeats, path: str | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in slices(b):
+            for part in slices(b, most_bytes=2_000_000):
                 w = Windows(part.column(1), how)
                 if path is not None:
                     known, own = _read_hashes(path), w.anchor.view(np.int64)
@@ -170,14 +170,14 @@ def cut_repeats(docs: DataFrame, how: Repeats = Repeats(), key: str = "doc_id",
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in slices(b):
+            for part in slices(b, most_bytes=2_000_000):
                 words = [t.encode().translate(PLAIN).split() for t in part.column(1).to_pylist()]
                 out = [(len(w), hashlib.sha256(b" ".join(w)).hexdigest()) for w in words]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([n for n, _ in out], pa.int64()), pa.array([s for _, s in out], pa.string())], ["id", "n_words", "sha"])
 
     def less(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in slices(b):
+            for part in slices(b, most_bytes=2_000_000):
                 out = []
                 for t, s in zip(part.column(1).to_pylist(), part.column(2)):
                     n, removed, kept = _rest(t.encode().translate(PLAIN), s.values.to_numpy(), how.window)
