@@ -129,7 +129,7 @@ class TokenFile:
 class Encoder:
     """Encodes texts piece by piece, and keeps the ids of pieces it has met within a bound."""
 
-    KEPT = 200_000
+    KEPT = 400_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -221,7 +221,10 @@ class Encoder:
         flat, begins = np.frombuffer(b"".join(known), "<u4"), np.cumsum(lengths) - lengths
         counts = lengths[codes]
         ends = np.cumsum(counts)
-        at = np.repeat(begins[codes] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
+        n = int(ends[-1]) if len(ends) else 0
+        small = np.int32 if max(n, len(flat)) < 1 << 31 else np.int64
+        at = np.repeat((begins[codes] - (ends - counts)).astype(small), counts)
+        at += np.arange(n, dtype=small)
         return flat[at], np.append(0, ends)[offsets[1:]]
 
 
@@ -238,7 +241,7 @@ def encoder(path: str) -> Encoder:
 MANIFEST = "partition int, seq int, path string, n_docs long, n_ids long, n_bytes long"
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", file_ids: int = FILE_IDS, batch_bytes: int = 4_000_000) -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", file_ids: int = FILE_IDS, batch_bytes: int = 8_000_000) -> DataFrame:
     """Writes the ids of all documents, each with ``end_id`` behind it, by ascending key, and returns the manifest.
 
     Documents are dealt to tasks by ranges of the key, so files in the manifest's order (``partition``,
