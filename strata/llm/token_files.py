@@ -149,15 +149,18 @@ class Encoder:
         """The ids of pieces: many at once with line feeds between, where a line feed is one id that nothing joins."""
         lines, alone = [], []
         for p in pieces:
-            joins = "\n" in p or not p or p[-1].isspace() or p[:2][-1].isspace() or any(t in p for t in self.added)
-            (alone if joins else lines).append(p)
+            (alone if "\n" in p or not p or p[-1].isspace() or p[:2][-1].isspace() else lines).append(p)
         if len(self.feed) != 4:
             lines, alone = [], pieces
         yield from zip(alone, self._direct(alone))
         feed = int.from_bytes(self.feed, "little")
         for s in range(0, len(lines), 4000):
             part = lines[s : s + 4000]
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            text = "\n".join(part)
+            if any(t in text for t in self.added):  # what stands beside a special token may join a line feed
+                yield from zip(part, self._direct(part))
+                continue
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             ends = np.append(np.flatnonzero(ids == feed), len(ids)) * 4
             data, begin = ids.tobytes(), 0
             for p, end in zip(part, ends.tolist(), strict=True):
@@ -272,8 +275,6 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key:
                 n_bytes = out.tell()
             yield pa.RecordBatch.from_pylist([{"partition": partition, "seq": seq, "path": uri, "n_docs": len(writer.keys), "n_ids": writer.n_ids, "n_bytes": n_bytes}], schema=schema)
             seq += 1
-        # an idle worker keeps the newer pieces only
-        encoder(tokenizer).old = {}
         pa.default_memory_pool().release_unused()
 
     schema = pa.schema([("partition", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())])
