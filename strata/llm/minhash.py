@@ -91,7 +91,7 @@ def sign(docs: DataFrame, near: Near, key: str = "doc_id", text: str = "text") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in slices(b):
+            for part in slices(b, most_bytes=1_500_000):
                 sets, sizes, keys = shingle_sets(part.column(1), n)
                 sig = signatures(sets, sizes, k)
                 ends = np.concatenate([[0], np.cumsum((sizes > 0) * k)]).astype(np.int32)
@@ -115,7 +115,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, near: Near, key: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in slices(b):
+            for part in slices(b, most_bytes=1_500_000):
                 sets, sizes, _ = shingle_sets(part.column(1), n)
                 ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 values = np.concatenate(sets).view(np.int64) if len(sets) else np.empty(0, np.int64)
