@@ -3,8 +3,9 @@
 Each document has a histogram of character classes and one of its language's most common words. The
 references are the mean histograms of all documents of a language that are long enough. A document
 that is long enough is rejected when the Jensen-Shannon distance of either histogram from its
-reference exceeds a limit. All of it is DataFrame expressions: no row is
-shuffled but the few sums of each task.
+reference exceeds a limit. A text without common words is never far from its reference, most words of which
+are other words too; so for lack of common words the limit follows from the reference. All of it is
+DataFrame expressions: no row is shuffled but the few sums of each task.
 """
 
 from __future__ import annotations
@@ -39,6 +40,10 @@ class Limits:
     min_judged: int = 50
     max_char_distance: float = 0.30
     max_word_distance: float = 0.60
+    #: A text with fewer common words than its reference may be as far as one with this part of the reference's,
+    #: if so many would be expected in it: of fewer, chance alone may leave none. None: no such limit.
+    least_common: float | None = 0.10
+    min_expected: int = 10
 
 
 def repeated_words(words: Column, window: int) -> Column:
@@ -126,6 +131,20 @@ def _distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), total(terms, "double")))
 
 
+def _word_limit(ref: Column, part: float) -> Column:
+    """The distance from ``ref`` of the same histogram with only ``part`` of its common words, the rest being other words."""
+
+    def less(common: Column) -> Column:
+        kept = F.transform(common, lambda x: x * part)
+        return F.concat(kept, F.array(total(ref, "double") - total(kept, "double")))
+
+    return let(F.transform(F.slice(ref, 1, F.size(ref) - 1), lambda x: x.cast("double")), lambda common: _distance(less(common), ref))
+
+
+def _common_share(common: Column) -> Column:
+    return let(total(common), lambda n: (n - F.element_at(common, -1)) / F.greatest(n, F.lit(1)))
+
+
 def measure(docs: DataFrame, limits: Limits = Limits(), text: str = "text", lang: str = "lang") -> DataFrame:
     """``row`` (all columns of ``docs``), ``m`` (the counts) and ``h`` (the histograms) of each row."""
     body = text_of(text)
@@ -165,23 +184,27 @@ def counts(text: Column, limits: Limits = Limits()) -> Column:
 
 
 def judge(measured: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """What ``measure`` gave, with ``base_failed``, ``char_distance``, ``word_distance`` and ``kept``.
+    """What ``measure`` gave, with ``base_failed``, ``char_distance``, ``word_distance``, ``word_limit`` and ``kept``.
 
     A null text counts as an empty one: no words, so it fails. A null or unknown language is taken from
     the common words; with none of them there, or no reference of the language, the distances are null and
     reject nothing. Repeated rows are judged alike. An empty table gives an empty one.
     """
     # at most len(COMMON) + 1 rows of fixed width: a bound that no input moves
-    refs = F.broadcast(language_references(measured, limits))
+    refs = language_references(measured, limits)
+    limit = F.lit(limits.max_word_distance) if limits.least_common is None else _word_limit(F.col("ref_common"), limits.least_common)
+    refs = F.broadcast(refs.withColumns({"word_limit": limit, "ref_share": _common_share(F.col("ref_common"))}))
     failed = (F.col("m.n_words") < limits.min_words) | (100 * F.col("m.n_repeat_words") > limits.max_repeat_percent * F.col("m.n_words"))
     judged = (F.col("m.n_words") >= limits.min_judged) & F.col("h.language").isNotNull() & F.get("ref_chars", F.lit(0)).isNotNull()
+    lacks = (F.col("ref_share") * total(F.col("h.common")) >= limits.min_expected) & (_common_share(F.col("h.common")) < F.col("ref_share"))
     # null-safe, or a filter for nulls would be pushed below the references' histograms
     rows = measured.join(refs, F.col("h.language").eqNullSafe(F.col("ref_language")), "left").select(
         *measured.columns, failed.alias("base_failed"),
         F.when(judged, _distance(F.col("h.chars"), F.col("ref_chars"))).alias("char_distance"),
         F.when(judged, _distance(F.col("h.common"), F.col("ref_common"))).alias("word_distance"),
+        F.when(judged & lacks, F.least(F.col("word_limit"), F.lit(limits.max_word_distance))).otherwise(F.lit(limits.max_word_distance)).alias("word_limit"),
     )
-    far = (F.coalesce("char_distance", F.lit(0.0)) > limits.max_char_distance) | (F.coalesce("word_distance", F.lit(0.0)) > limits.max_word_distance)
+    far = (F.coalesce("char_distance", F.lit(0.0)) > limits.max_char_distance) | (F.coalesce("word_distance", F.lit(0.0)) > F.col("word_limit"))
     # one condition on both sides of the join: apart, the first would be pushed below it and count the words again
     return rows.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(~far))
 

@@ -44,6 +44,24 @@ def test_divergent_text_goes_and_prose_stays(spark):
     assert kept == set(range(40))
 
 
+def test_text_without_common_words_goes_by_the_word_distance_alone(spark):
+    def text(i, common):
+        return " ".join(["the", "of", "and", "to", "in"][k // 5 % 5] if common and k % 5 == 0 else f"w{i}{k}" for k in range(200))
+
+    rows = [(i, text(i, True), "en") for i in range(40)] + [(100, text(100, False), "en"), (101, text(101, False), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = {r["doc_id"]: r for r in quality_rules.judge(quality_rules.measure(docs)).select("row.doc_id", "base_failed", "char_distance", "word_distance", "word_limit", "kept").collect()}
+    assert {i for i, r in out.items() if r["kept"]} == {*range(40), 101}
+    r = out[100]
+    assert not r["base_failed"] and r["char_distance"] < 0.30 and r["word_limit"] < r["word_distance"] < 0.60
+
+
+def test_where_common_words_are_rare_their_lack_rejects_nothing(spark):
+    rows = [(i, " ".join(["the" if i % 2 and k == 7 else f"w{i}{k}" for k in range(60)]), "en") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert quality_rules.keep_good(docs).count() == 40
+
+
 def test_empty_table(spark):
     assert quality_rules.keep_good(empty_documents(spark)).count() == 0
 
