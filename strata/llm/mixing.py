@@ -138,11 +138,36 @@ def placed(rows: DataFrame, plan: DataFrame, mix: Mix = Mix()) -> DataFrame:
     return out.select(*rows.columns, "source_size", "target", F.slice("shards", F.lit(1), n).alias("shards"))
 
 
+def emitted(rows: DataFrame, plan: DataFrame, mix: Mix = Mix()) -> DataFrame:
+    """The columns of ``rows`` (of ``sized``) and ``shard``: each row as often as it is drawn, by shard and in a hashed order there."""
+    out = placed(rows, plan, mix).select(*rows.columns, F.posexplode("shards").alias("draw", "shard"))
+    order = _hash(mix, F.lit("order"), F.col("h"), F.col("draw"))
+    # a shard can be larger than a task should be: its hashed order is cut into ranges
+    return out.withColumn("order", order).repartitionByRange("shard", "order").sortWithinPartitions("shard", "order").select(*rows.columns, "shard")
+
+
 def mix_documents(docs: DataFrame, mix: Mix = Mix(), key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The rows of the mix: those of ``docs``, each as often as it is drawn, by shard and in a hashed order there."""
     columns = sized(docs, mix, key, text, source).drop("row")
     plan = stored(drawn(stored(columns, "sized"), mix), "drawn")
-    rows = placed(sized(docs, mix, key, text, source), plan, mix).select("row", "h", F.posexplode("shards").alias("draw", "shard"))
-    order = _hash(mix, F.lit("order"), F.col("h"), F.col("draw"))
-    # a shard can be larger than a task should be: its hashed order is cut into ranges
-    return rows.withColumn("order", order).repartitionByRange("shard", "order").sortWithinPartitions("shard", "order").select("row.*")
+    return emitted(sized(docs, mix, key, text, source), plan, mix).select("row.*")
+
+
+def accounted(docs: DataFrame, mix: Mix = Mix(), key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """Per document: key, ``size``, ``source_size``, ``target``, ``taken`` (words that the mix has of it) and ``source``.
+
+    The mix is made, texts and all; of each row that it emits, the key and the words of its text are written, by shard in their
+    order, and ``taken`` is summed from what was written. Rows of one key, source and size share it evenly.
+    """
+    rows = sized(docs, mix, key, text, source)
+    sizes = stored(rows.select(F.col(f"row.`{key}`").alias("key"), "size", "source", "h", "block"), "sized")
+    plan = stored(drawn(sizes, mix), "drawn")
+    words = F.regexp_count(F.coalesce(F.col(f"row.`{text}`").cast("string"), F.lit("")), F.lit(WORD)).cast("long")
+    mixed = stored(emitted(rows, plan, mix).select("shard", F.col(f"row.`{key}`").alias("k"), F.col("source").alias("s"), words.alias("n")), "mix")
+    mixed = mixed.groupBy("k", "s", "n").agg(F.sum("n").alias("words"))
+    same = sizes.groupBy("key", "source", "size").agg(F.count(F.lit(1)).alias("rows"))
+    alike = F.col("key").eqNullSafe(F.col("k")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("n"))
+    got = mixed.join(same, alike).select("k", "s", "n", F.expr("words div rows").alias("taken"))
+    goals = plan.select(F.col("source").alias("gs"), "source_size", "target").distinct()
+    out = sizes.join(got, alike, "left").join(goals, F.col("source").eqNullSafe(F.col("gs")))
+    return out.select(F.col("key").alias(key), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source")

@@ -29,9 +29,7 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = stored(mixing.sized(_table(spark, sf_dir, "documents")).select(F.col("row.doc_id").alias("doc_id"), "size", "source", "h", "block"), "sized")
-    plan = stored(mixing.drawn(rows), "drawn")
-    return mixing.placed(rows, plan).select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"), "source")
+    return mixing.accounted(_table(spark, sf_dir, "documents"))
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,3 +68,21 @@ def test_odd_documents(spark):
     assert mixing.mix_documents(empty_documents(spark)).count() == 0
     nothing = spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")
     assert mixing.mix_documents(nothing).count() == 0
+
+
+def test_taken_is_what_the_mix_emits(spark, monkeypatch):
+    docs = corpus(spark, 100).union(corpus(spark, 100).where("doc_id < 5"))
+    rows = mixing.sized(docs).select("row.doc_id", "size", "source", "h", "block")
+    want = mixing.placed(rows, mixing.drawn(rows)).selectExpr("doc_id", "size", "source_size", "target", "size * size(shards) as taken", "source").collect()
+    assert sorted(map(str, mixing.accounted(docs).collect())) == sorted(map(str, want))
+    real = mixing.emitted
+    # a mix that lacks a shard differs from its plan, and that shows
+    monkeypatch.setattr(mixing, "emitted", lambda *a: real(*a).where("shard > 0"))
+    assert sorted(map(str, mixing.accounted(docs).collect())) != sorted(map(str, want))
+
+
+def test_taken_of_odd_documents(spark):
+    docs = odd_documents(spark)
+    out = mixing.accounted(docs).collect()
+    assert len(out) == docs.count() and all(r["taken"] % max(r["size"], 1) == 0 for r in out)
+    assert mixing.accounted(empty_documents(spark)).count() == 0
