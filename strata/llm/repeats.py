@@ -1,10 +1,9 @@
 """Substring dedup: passages of a minimum length that an earlier document has too are cut from later ones.
 
 Seeds are winnowed anchors: of every window of ``window`` words, the run of ``anchor`` words with the least hash, so
-a window that two documents share has the same anchor in both. Documents are joined on the anchors; anchors of one
-document only are dropped. From each shared anchor the match is extended both ways, to the windows of which it is
-the anchor, and a window is confirmed where its whole word sequence starts in an earlier document. Runs
-of confirmed windows are the maximal repeats. No pair of documents is ever made: seeds and windows are grouped
+a window that two documents share has the same anchor in both. Anchors of one document only are dropped, and with
+them their windows. No match is extended against another text: each window left is grouped by a 96-bit hash of its
+words, and confirmed where an earlier document is in its group. Runs of confirmed windows are what is cut. No pair of documents is ever made: seeds and windows are grouped
 by their key with the least document of each, in part before the shuffle, so a passage that very many
 documents share costs a row for each of them.
 """
