@@ -64,6 +64,15 @@ def test_spans_are_cut(spark):
     assert rows[2] is None
 
 
+def test_length_limit(spark):
+    item = prose(19, 9)
+    docs = spark.createDataFrame([(1, f"{prose(400, 8)} {item}"), (2, prose(400, 7))], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    for max_run, bad in ((0, False), (19, False), (18, True)):
+        found = {r["doc_id"]: r["contaminated"] for r in decontaminate.find(docs, items, decontaminate.Limits(max_run=max_run)).select("row.doc_id", "contaminated").collect()}
+        assert found == {1: bad, 2: False}
+
+
 def test_odd_documents(spark):
     docs, items = odd_documents(spark), spark.createDataFrame([(1, "one two")], "item_id long, text string")
     kept = decontaminate.drop_contaminated(docs, items)
