@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata.functions.columns import safe_key
+from strata.sources.scratch import spread
 from strata.sources.manifest import ERROR_CHARS, FAILED, OK, UNCHANGED, decisions, latest_attempts
 
 PIECE = 8 << 20
@@ -80,4 +81,6 @@ def land(resources: DataFrame, manifest: DataFrame, root: str, ingest_date: str)
     last = latest_attempts(manifest, (OK, UNCHANGED)).select(F.col("resource_id").alias("_id"), F.col("sha256").alias("last_sha256"))
     rows = decisions(with_landing_key(resources, ingest_date), manifest).join(last, F.col("resource_id") == F.col("_id"), "left")
     rows = rows.select("resource_id", "name", "url", "size", "last_modified", "landing_key", "decision", "last_sha256")
-    return rows.repartition("resource_id").mapInPandas(run, ATTEMPT)
+    # what is to be read counts, not how short the rows are
+    expected = rows.agg(F.sum("size")).first()[0]
+    return spread(rows, expected).mapInPandas(run, ATTEMPT)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strata.sources.scratch import stored
+
 
 def with_offset(rows: DataFrame, series: str, ts: str) -> DataFrame:
     """``offset_us`` since the first time of the series."""
@@ -23,14 +25,31 @@ def looped(rows: DataFrame, times: int, series: str) -> DataFrame:
 
 
 def numbered(rows: DataFrame, order: Sequence[str]) -> DataFrame:
-    """``place`` in the order of all rows, from 1, without bringing them to one task: the places in each range of a
-    range-partitioned sort, plus the rows of the ranges before it."""
-    ranged = rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
-    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    """``place`` in the order of all rows, from 1, without bringing them to one task: the place in each range of a
+    range-partitioned sort, plus the rows of the ranges before it.
+
+    The ranges are stored with their numbers before anything is counted: ranges made twice may have other bounds, and rows
+    would be lost or numbered twice. Rows equal in ``order`` are one range's, and numbered in any order.
+    """
+    # the number that Spark gives a row has the range above 33 bits, and the place in it below them
+    at = F.monotonically_increasing_id()
+    ranged = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", at), "ranges")
+    ranged = ranged.withColumn("_range", F.shiftright("_at", 33))
     # one row a range
     sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select(F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return ranged.withColumn("_own", own).join(before, F.col("_range") == F.col("_r")).withColumn("place", F.col("_before") + F.col("_own")).drop("_range", "_own", "_r", "_before", "_n")
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = sizes.select(F.col("_range").alias("_r"), before.alias("_before"))
+    place = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return ranged.join(before, F.col("_range") == F.col("_r")).withColumn("place", place).drop("_at", "_range", "_r", "_before")
+
+
+def write_ordered(rows: DataFrame, order: Sequence[str], path: str) -> DataFrame:
+    """Writes JSON files whose names are in the order of their rows: the files of a later range come later, so a file source
+    that takes the oldest names first replays the order. Returns the rows with their ``place``."""
+    placed = stored(numbered(rows, order), "placed")
+    body = placed.select([c for c in placed.columns if c != "place"] + ["place"])
+    body.repartitionByRange("place").sortWithinPartitions("place").drop("place").write.mode("overwrite").json(path)
+    return placed
 
 
 def late_plan(rows: DataFrame, key: str, offset_s: str, base: str, permille: int = 50, least_s: int = 30, most_s: int = 120) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from strata.sources.scratch import scratch_path
+
 
 @dataclass(frozen=True)
 class Pace:
@@ -72,19 +74,6 @@ def finish(*queries: StreamingQuery) -> None:
         raise failed
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, where every executor can write; a temporary one in local mode."""
-    import tempfile
-    import uuid
-
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="strata-")
-    return f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     # the file source takes folders: the one file of the table is picked by name
@@ -93,13 +82,13 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_tumbling(spark: SparkSession, sf_dir: str, width: str, watermark: str) -> DataFrame:
     events = _events(spark, sf_dir).select(F.col("ts").cast("timestamp").alias("event_time"), F.col("event_type").alias("series"), "value", F.col("user_id").alias("code"))
-    folder = shared_folder(spark)
+    folder = scratch_path(spark, "stream")
     finish(start_tumbling(events, f"{folder}/out", f"{folder}/checkpoint", ["value"], Pace(watermark, width)))
     return spark.read.parquet(f"{folder}/out")
 
 
 def run_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _events(spark, sf_dir).withColumn("event_time", F.col("ts").cast("timestamp"))
-    folder = shared_folder(spark)
+    folder = scratch_path(spark, "stream")
     finish(start_raw(events, f"{folder}/out", f"{folder}/checkpoint"))
     return spark.read.parquet(f"{folder}/out").select("event_id", "ts", "user_id", "event_type", "value")
