@@ -9,6 +9,7 @@ unpacked by numpy at once.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -22,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.llm.common import scratch_path, stored, text_of
+from strata.llm.common import scratch_path, spread, stored, text_of
 from strata.llm.files import opened, whole_file
 from strata.llm.tokens import slices
 
@@ -35,6 +36,11 @@ FILE_IDS = 1 << 23
 #: A byte-level BPE never joins what stands before a single space and a character with these, so texts can be
 #: encoded in pieces from one space to the next. Texts in which a space has white space beside it are not cut.
 SPACES = r" [\s\x0b\x85\pZ]|[\s\x0b\x85\pZ] "
+#: Nor does it join a letter and the ASCII mark or line feed behind it, or a lone line feed and what stands beside it. Texts
+#: that have the mark of a cut themselves are not cut.
+CUT = "\x00"
+TAIL = "([A-Za-z\u00c0-\u024f])([!-/:-@\\[-`{-~\n])"
+FEED = r"([^\s\x0b\x85\pZ])\n([^\s\x0b\x85\pZ])"
 
 
 def width(vocabulary: int) -> int:
@@ -126,109 +132,121 @@ class TokenFile:
         self.file.close()
 
 
+def _gathered(flat: np.ndarray, begins: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the runs of ``flat`` that ``codes`` name, one after the other, and where each ends)."""
+    counts = lengths[codes]
+    ends = np.cumsum(counts)
+    n = int(ends[-1]) if len(ends) else 0
+    small = np.int32 if max(n, len(flat)) < 1 << 31 else np.int64
+    at = np.repeat((begins[codes] - (ends - counts)).astype(small), counts)
+    at += np.arange(n, dtype=small)
+    return flat[at], ends
+
+
 class Encoder:
-    """Encodes texts piece by piece, and keeps the ids of pieces it has met within a bound."""
+    """Encodes texts piece by piece, and keeps the ids of the pieces it met last within a bound.
+
+    Only a byte-level BPE with the usual split pattern lets texts be cut; with any other tokenizer texts are encoded whole.
+    """
 
-    KEPT = 400_000
+    KEPT = 1_500_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        # ids of pieces as bytes; the older half is let go when the newer is full
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.feed = self._direct(["\n"])[0]
-
-    def _direct(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _fresh(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+        spec = json.loads(self.tokenizer.to_str())
+        split, model = spec["pre_tokenizer"] or {}, spec["model"]
+        self.cuts = (
+            split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and spec["normalizer"] is None
+            and model["type"] == "BPE" and not model.get("dropout") and len(self.feed) == 1
+        )
+        # the pieces kept, by age; the ids of piece i are flat[begins[i]:begins[i] + lengths[i]]
+        self.names, self.flat = pa.array([], pa.large_string()), np.empty(0, "<u4")
+        self.begins, self.lengths = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def _direct(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _fresh(self, pieces: list[str]) -> list[np.ndarray]:
         """The ids of pieces: many at once with line feeds between, where a line feed is one id that nothing joins."""
-        lines, alone = [], []
-        for p in pieces:
-            (alone if "\n" in p or not p or p[-1].isspace() or p[:2][-1].isspace() else lines).append(p)
-        if len(self.feed) != 4:
-            lines, alone = [], pieces
-        yield from zip(alone, self._direct(alone))
-        feed = int.from_bytes(self.feed, "little")
+        out: list[np.ndarray] = [None] * len(pieces)
+        lines = [i for i, p in enumerate(pieces) if not ("\n" in p or not p or p[-1].isspace() or p[:2][-1].isspace())]
+        joined = set(lines)
+        alone = [i for i in range(len(pieces)) if i not in joined]
+        for i, ids in zip(alone, self._direct([pieces[i] for i in alone])):
+            out[i] = ids
         for s in range(0, len(lines), 4000):
             part = lines[s : s + 4000]
-            text = "\n".join(part)
-            if any(t in text for t in self.added):  # what stands beside a special token may join a line feed
-                yield from zip(part, self._direct(part))
-                continue
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.append(np.flatnonzero(ids == feed), len(ids)) * 4
-            data, begin = ids.tobytes(), 0
-            for p, end in zip(part, ends.tolist(), strict=True):
-                yield p, data[begin:end]
-                begin = end + 4
-
-    @staticmethod
-    def _parts(piece: str) -> list[str]:
-        """The piece cut around a line feed between characters, and before a full stop or comma behind a letter."""
-        parts = piece.partition("\n")
-        if parts[1] and (parts[0][-1:].isspace() or not parts[0] or not parts[2] or parts[2][0].isspace()):
-            parts = (piece, "", "")
-        out = []
-        for p in parts:
-            if len(p) > 2 and p[-1] in ".," and p[-2] < "\u0250" and p[-2].isalpha():
-                out += [p[:-1], p[-1]]
-            elif p:
-                out.append(p)
+            ids = self._direct(["\n".join([pieces[i] for i in part])])[0]
+            ends = np.append(np.flatnonzero(ids == self.feed[0]), len(ids)).tolist()
+            begin = 0
+            for i, end in zip(part, ends, strict=True):
+                out[i] = ids[begin:end]
+                begin = end + 1
         return out
 
-    def pieces(self, pieces: list[str]) -> list[bytes]:
-        if len(self.new) > self.KEPT:
-            self.old, self.new = self.new, {}
-        new, old = self.new, self.old
-        cut, fresh = {}, set()
-        for p in pieces:
-            if p not in new:
-                if p in old:
-                    new[p] = old[p]
-                elif "\n" in p or p[-1:] in ".,":
-                    cut[p] = parts = self._parts(p)
-                    for q in parts:
-                        if q not in new:
-                            if q in old:
-                                new[q] = old[q]
-                            else:
-                                fresh.add(q)
-                else:
-                    fresh.add(p)
-        new.update(self._fresh(list(fresh)))
-        for p, parts in cut.items():
-            if parts != [p]:
-                new[p] = b"".join([new[q] for q in parts])
-        return [new[p] for p in pieces]
+    def _places(self, pieces: pa.Array) -> np.ndarray:
+        """Where the kept ids of each of the distinct pieces are; those not kept yet are encoded."""
+        at = pc.index_in(pieces, self.names)
+        missing = np.flatnonzero(at.is_null().to_numpy(zero_copy_only=False))
+        at = at.fill_null(0).to_numpy().astype(np.int64)
+        if len(missing):
+            fresh = pieces.take(pa.array(missing))
+            ids = self._fresh(fresh.to_pylist())
+            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+            at[missing] = len(self.names) + np.arange(len(missing))
+            self.begins = np.append(self.begins, len(self.flat) + np.cumsum(lengths) - lengths)
+            self.lengths = np.append(self.lengths, lengths)
+            self.flat = np.concatenate([self.flat, *ids])
+            self.names = pa.concat_arrays([self.names, fresh])
+        return at
+
+    def _forget(self) -> None:
+        """The older pieces go when there are too many."""
+        gone = len(self.names) - self.KEPT // 2
+        if len(self.names) > self.KEPT:
+            first = int(self.begins[gone])
+            self.names = pa.concat_arrays([self.names.slice(gone)])
+            self.begins, self.lengths, self.flat = self.begins[gone:] - first, self.lengths[gone:].copy(), self.flat[first:].copy()
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, where each word's end), each word cut further where it is sure that no id crosses."""
+        lists = pc.split_pattern(pc.replace_substring_regex(pc.replace_substring_regex(words, TAIL, CUT.join(("\\1", "\\2"))), FEED, CUT.join(("\\1", "\n", "\\2"))), CUT)
+        coded = lists.values.dictionary_encode()
+        codes = self._places(coded.dictionary)[coded.indices.to_numpy()]
+        ids, ends = _gathered(self.flat, self.begins, self.lengths, codes)
+        self._forget()
+        return ids, np.append(0, ends)[lists.offsets.to_numpy()[1:]]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, where each text's ids end)."""
-        plain = pc.invert(pc.match_substring_regex(texts, SPACES))
-        lists = pc.split_pattern(pc.if_else(plain, texts, ""), " ")
+        texts = texts.cast(pa.large_string())
+        whole = np.full(len(texts), not self.cuts)
+        if self.cuts:
+            for odd in (pc.match_substring_regex(texts, SPACES), *(pc.match_substring(texts, t) for t in (CUT, *self.added))):
+                whole |= odd.to_numpy(zero_copy_only=False)
+        lists = pc.split_pattern(pc.if_else(pa.array(~whole), texts, ""), " ")
         offsets = lists.offsets.to_numpy().astype(np.int64)
         coded = lists.values.dictionary_encode()
-        codes, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
-        firsts = [words[c] for c in codes[offsets[:-1]].tolist()]
-        known = self.pieces([f" {w}" for w in words]) + (self.pieces(firsts) if firsts else [])
-        rough = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
-        for i, ids in zip(rough.tolist(), self._direct([texts[i].as_py() for i in rough.tolist()])):
-            known[len(words) + i] = ids
-        # the first piece of a text has no space before it
+        codes, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        # the first word of a text has no space before it
+        firsts = words.take(pa.array(codes[offsets[:-1]]))
+        flat, ends = self._words(pa.concat_arrays([pc.binary_join_element_wise(pa.scalar("", words.type), words, pa.scalar(" ", words.type)), firsts]))
         codes[offsets[:-1]] = len(words) + np.arange(len(texts))
-        lengths = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        flat, begins = np.frombuffer(b"".join(known), "<u4"), np.cumsum(lengths) - lengths
-        counts = lengths[codes]
-        ends = np.cumsum(counts)
-        n = int(ends[-1]) if len(ends) else 0
-        small = np.int32 if max(n, len(flat)) < 1 << 31 else np.int64
-        at = np.repeat((begins[codes] - (ends - counts)).astype(small), counts)
-        at += np.arange(n, dtype=small)
-        return flat[at], np.append(0, ends)[offsets[1:]]
+        begins = np.append(0, ends[:-1]) if len(ends) else ends
+        lengths = ends - begins
+        rough = np.flatnonzero(whole)
+        if len(rough):
+            found = self._direct(texts.take(pa.array(rough)).to_pylist())
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            begins[len(words) + rough], lengths[len(words) + rough] = len(flat) + np.cumsum(sizes) - sizes, sizes
+            flat = np.concatenate([flat, *found])
+        ids, ends = _gathered(flat, begins, lengths, codes)
+        return ids, np.append(0, ends)[offsets[1:]]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -275,8 +293,6 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, key:
                 n_bytes = out.tell()
             yield pa.RecordBatch.from_pylist([{"partition": partition, "seq": seq, "path": uri, "n_docs": len(writer.keys), "n_ids": writer.n_ids, "n_bytes": n_bytes}], schema=schema)
             seq += 1
-        # an idle worker keeps the newer pieces only
-        encoder(tokenizer).old = {}
         pa.default_memory_pool().release_unused()
 
     schema = pa.schema([("partition", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("n_bytes", pa.int64())])
@@ -302,7 +318,7 @@ def read_tokens(manifest: DataFrame, key: str = "doc_id") -> DataFrame:
     # one row a file: the running sum over all of them is over a short table
     before = Window.orderBy("partition", "seq").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.select("path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
-    files = files.repartition(F.col("path"))
+    files = spread(files, manifest.agg(F.sum("n_bytes")).first()[0])
     return files.mapInArrow(read, "key long, start long, n_tokens long, ids_crc32 long").withColumnRenamed("key", key)
 
 

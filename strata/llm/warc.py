@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import stored
+from strata.llm.common import spread, stored
 from strata.llm.files import opened, whole_file
 
 # Fixed values of the format.
@@ -189,5 +189,5 @@ def read_archives(manifest: DataFrame, key: str = "page_id", html: bool = True)
 
     names = ["key", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "html"]
     types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
-    files = manifest.select("path").repartition(F.col("path"))
+    files = spread(manifest.select("path"), manifest.agg(F.sum("n_bytes")).first()[0])
     return files.mapInArrow(read, READ).withColumnRenamed("key", key)
