@@ -32,3 +32,18 @@ def total(values: Column, zero: str = "bigint") -> Column:
 def packed(df: DataFrame) -> Column:
     """All columns as one struct, so that an operator's own names can't clash with them."""
     return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def hot_keys(counts: DataFrame, *key: str, n: str = "n", parts: int = 1000) -> DataFrame:
+    """The keys of ``counts`` (a row a key, with its rows in ``n``) that hold more than one row in ``parts`` of all: fewer
+    than ``parts`` keys, whatever the data, so the table can be broadcast."""
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    return counts.where(F.col(n) * parts > total).select(*key)
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: list[str], hot: DataFrame) -> DataFrame:
+    """``rows`` joined with ``table`` (a row a key): the keys of ``hot`` (of ``hot_keys``) where they are, by broadcast, so that
+    none of them fills a task; all others by shuffle."""
+    hot = F.broadcast(hot)
+    here = rows.join(F.broadcast(table.join(hot, key, "left_semi")), key)
+    return here.unionByName(rows.join(hot, key, "left_anti").join(table, key))

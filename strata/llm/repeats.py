@@ -1,11 +1,15 @@
 """Substring dedup: passages of a minimum length that an earlier document has too are cut from later ones.
 
 Seeds are winnowed anchors: of every window of ``window`` words, the run of ``anchor`` words with the least hash, so
-a window that two documents share has the same anchor in both. Anchors of one document only are dropped, and with
-them their windows. No match is extended against another text: each window left is grouped by a 96-bit hash of its
-words, and confirmed where an earlier document is in its group. Runs of confirmed windows are what is cut. No pair of documents is ever made: seeds and windows are grouped
-by their key with the least document of each, in part before the shuffle, so a passage that very many
-documents share costs a row for each of them.
+a window that two documents share has the same anchor in both. Anchors of one document only are dropped. Each other
+occurrence of an anchor is joined with the anchor's first one, both with the words around them as far as a window
+with this anchor reaches. The match is extended from the anchor to the left and to the right, word by word, and where it
+is long enough it is one interval of the later document. Windows at an anchor that its first occurrence's match doesn't
+cover may be in another earlier document: these few are joined once more, by all of their words. Intervals are
+merged into maximal ones, and these are cut.
+
+No pair of documents but one with the first is ever made, so a passage that very many documents share costs a row for each of
+them; anchors that hold a part of all rows are joined by broadcast where they are.
 """
 
 from __future__ import annotations
@@ -16,18 +20,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import stored, text_of
+from strata.llm.common import hot_keys, spread_join, stored, text_of
 from strata.llm.files import opened
-from strata.llm.tokens import PLAIN, coded_words, hash_each, mix, run_hashes, slices
+from strata.llm.tokens import PLAIN, coded_words, hash_each, run_hashes, slices
 
 
-#: Ids below this stand for null keys.
-NULLS = -(2**62)
+#: Ids from here on stand for null keys: such rows are later than all others.
+NULLS = 2**62
 
 
 @dataclass(frozen=True)
@@ -40,25 +45,33 @@ class Repeats:
     broadcast_ids: int = 500_000
 
 
-class Windows:
-    """Every window of a batch of texts: the text it is in, its start there, and the place and hash of its anchor."""
+class Anchors:
+    """The anchors of a batch of texts, each place once: ``place`` (in the words of the batch), ``text`` (the row), ``hash``, and
+    ``first`` and ``last``, the starts of the windows that it is the anchor of."""
 
     def __init__(self, texts: pa.Array, how: Repeats):
-        self.offsets, codes, words = coded_words(texts, PLAIN)
-        self.hashes = hash_each(words)[codes]
-        n, size = len(self.hashes), how.window
+        self.offsets, self.codes, self.words = coded_words(texts, PLAIN)
+        hashes = hash_each(self.words)[self.codes]
+        n, size = len(hashes), how.window
         text = np.repeat(np.arange(len(texts)), np.diff(self.offsets))
         start = np.flatnonzero(text[: max(0, n - size + 1)] == text[size - 1 :]) if n >= size else np.empty(0, np.int64)
-        runs = run_hashes(self.hashes, how.anchor)
+        runs = run_hashes(hashes, how.anchor)
         place = start.copy()
         for k in range(1, size - how.anchor + 1):
             place = np.where(runs[start + k] < runs[place], start + k, place)
-        self.start, self.text, self.place, self.anchor = start, text[start], place, runs[place]
+        # of equal hashes the leftmost counts, so the windows of one anchor follow each other
+        self.place, at, n_windows = np.unique(place, return_index=True, return_counts=True)
+        self.text, self.hash = text[self.place], runs[self.place].view(np.int64)
+        self.first = start[at]
+        self.last = self.first + n_windows - 1
 
-    def keys(self, chosen: np.ndarray, how: Repeats) -> tuple[np.ndarray, np.ndarray]:
-        """96 bits that tell the words of the chosen windows: a hash of all of them, and half of the anchor's."""
-        runs = run_hashes(mix(self.hashes ^ np.uint64(0x5851F42D4C957F2D)), how.window)
-        return runs[self.start[chosen]].view(np.int64), (self.anchor[chosen] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    def passage(self, start: np.ndarray, end: np.ndarray) -> pa.Array:
+        """The words from each start to each end with one space between."""
+        lengths = end - start
+        ends = np.cumsum(lengths)
+        at = np.repeat(start - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+        words = self.words.take(pa.array(self.codes[at])).cast(pa.string())
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), words), " ")
 
 
 def _seeds(rows: DataFrame, how: Repeats) -> DataFrame:
@@ -67,51 +80,67 @@ def _seeds(rows: DataFrame, how: Repeats) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in slices(b, most_bytes=2_000_000):
-                w = Windows(part.column(1), how)
-                place, first = np.unique(w.place, return_index=True)
-                text = w.text[first]
-                ids = part.column(0).take(pa.array(text))
-                yield pa.RecordBatch.from_arrays([pa.array(w.anchor[first].view(np.int64)), ids, pa.array((place - w.offsets[text]).astype(np.int32))], ["hash", "id", "pos"])
+                a = Anchors(part.column(1), how)
+                ids = part.column(0).take(pa.array(a.text))
+                yield pa.RecordBatch.from_arrays([pa.array(a.hash), ids, pa.array((a.place - a.offsets[a.text]).astype(np.int32))], ["hash", "id", "pos"])
 
     return rows.mapInArrow(run, "hash long, id long, pos int")
 
 
-def _read_hashes(path: str) -> np.ndarray:
-    """The sorted hashes of a small table; one table is kept in a worker."""
-    if path not in _hashes:
-        _hashes.clear()
+_tables: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _read_table(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted anchors of a table and the first document of each; one table is kept in a worker."""
+    if path not in _tables:
+        _tables.clear()
         system, top = opened(path)
         files = [f.path for f in system.get_file_info(pafs.FileSelector(top)) if f.path.endswith(".parquet")]
-        parts = [pq.read_table(f, filesystem=system, columns=["hash"])["hash"].to_numpy() for f in files]
-        _hashes[path] = np.sort(np.concatenate(parts)) if parts else np.empty(0, np.int64)
-    return _hashes[path]
+        parts = [pq.read_table(f, filesystem=system, columns=["hash", "lo"]) for f in files]
+        hashes = np.concatenate([p["hash"].to_numpy() for p in parts]) if parts else np.empty(0, np.int64)
+        order = np.argsort(hashes)
+        firsts = np.concatenate([p["lo"].to_numpy() for p in parts]) if parts else hashes
+        _tables[path] = hashes[order], firsts[order]
+    return _tables[path]
 
 
-_hashes: dict[str, np.ndarray] = {}
+OCCURRENCES = "hash long, id long, pos int, first int, last int, opens boolean, left string, right string"
 
 
-def _windows(rows: DataFrame, how: Repeats, path: str | None) -> DataFrame:
-    """``h``, ``g`` (key), ``id``, ``start`` of the windows with a shared anchor: one looked up in the table at
-    ``path``, or one at a place in the column ``places``."""
+def _occurrences(rows: DataFrame, how: Repeats, path: str | None) -> DataFrame:
+    """The places of shared anchors: ``hash``, ``id``, ``pos``, the windows they are the anchor of (``first`` and ``last`` start),
+    ``opens`` (the document is the anchor's first), ``left`` (the anchor and the words before it) and ``right`` (those behind).
+    Anchors are looked up in the table at ``path``, or come in the columns ``places`` and ``firsts``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in slices(b, most_bytes=2_000_000):
-                w = Windows(part.column(1), how)
+                a = Anchors(part.column(1), how)
+                ids = part.column(0).to_numpy()
                 if path is not None:
-                    known, own = _read_hashes(path), w.anchor.view(np.int64)
-                    at = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
-                    chosen = np.flatnonzero(known[at] == own) if len(known) else np.empty(0, np.int64)
+                    known, firsts = _read_table(path)
+                    at = np.minimum(np.searchsorted(known, a.hash), max(0, len(known) - 1))
+                    chosen = np.flatnonzero(known[at] == a.hash) if len(known) else np.empty(0, np.int64)
+                    lo = firsts[at[chosen]]
                 else:
-                    lists = part.column(2)
-                    counts = np.diff(lists.offsets.to_numpy())
-                    shared = lists.flatten().to_numpy() + np.repeat(w.offsets[:-1], counts)
-                    chosen = np.flatnonzero(np.isin(w.place, shared))
-                h, g = w.keys(chosen, how)
-                text = w.text[chosen]
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(g), part.column(0).take(pa.array(text)), pa.array((w.start[chosen] - w.offsets[text]).astype(np.int32))], ["h", "g", "id", "start"])
-
-    return rows.mapInArrow(run, "h long, g int, id long, start int")
+                    places = part.column(2)
+                    counts = np.diff(places.offsets.to_numpy())
+                    shared = places.flatten().to_numpy() + np.repeat(a.offsets[:-1], counts)
+                    order = np.argsort(shared)
+                    shared, firsts = shared[order], part.column(3).flatten().to_numpy()[order]
+                    at = np.minimum(np.searchsorted(shared, a.place), max(0, len(shared) - 1))
+                    chosen = np.flatnonzero(shared[at] == a.place) if len(shared) else np.empty(0, np.int64)
+                    lo = firsts[at[chosen]]
+                text, place = a.text[chosen], a.place[chosen]
+                begin, reach, after = a.offsets[text], how.window - how.anchor, place + how.anchor
+                small = lambda x: pa.array((x - begin).astype(np.int32))
+                columns = [
+                    pa.array(a.hash[chosen]), pa.array(ids[text]), small(place), small(a.first[chosen]), small(a.last[chosen]), pa.array(ids[text] == lo),
+                    a.passage(np.maximum(begin, place - reach), after), a.passage(after, np.minimum(a.offsets[text + 1], after + reach)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["hash", "id", "pos", "first", "last", "opens", "left", "right"])
+
+    return rows.mapInArrow(run, OCCURRENCES)
 
 
 def _only(rows: DataFrame, ids: DataFrame, how: Repeats, kind: str) -> DataFrame:
@@ -124,32 +153,82 @@ def _only(rows: DataFrame, ids: DataFrame, how: Repeats, kind: str) -> DataFrame
 def copies(rows: DataFrame) -> DataFrame:
     """``id`` of the documents whose whole text an earlier one has."""
     texts = rows.select("id", F.md5("text").alias("t"))
-    first = texts.groupBy("t").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return texts.join(first.select("t", "first"), "t").where("id > first").select("id").distinct()
+    first = stored(texts.groupBy("t").agg(F.min("id").alias("lo"), F.count(F.lit(1)).alias("n")).where("n > 1"), "same")
+    return spread_join(texts, first.select("t", "lo"), ["t"], hot_keys(first, "t")).where("id > lo").select("id").distinct()
+
+
+def _words(text: str) -> Column:
+    return F.when(F.col(text) == "", F.array().cast("array<string>")).otherwise(F.split(text, " "))
+
+
+def _alike(mine: Column, other: Column) -> Column:
+    """How many words two lists have in common from their beginning on."""
+    differs = F.array_position(F.zip_with(mine, other, lambda x, y: x.eqNullSafe(y)), False)
+    return F.when(differs > 0, differs - 1).otherwise(F.size(mine)).cast("int")
 
 
-def repeated_windows(rows: DataFrame, gone: DataFrame, how: Repeats) -> DataFrame:
-    """``id``, ``starts``: the windows of each document, but for those in ``gone``, whose words start in an earlier one too."""
+def extended(pairs: DataFrame, how: Repeats) -> DataFrame:
+    """``start`` and ``end`` of the match of each occurrence with the first one (whose words are ``first_left``, ``first_right``):
+    from the anchor outwards as long as words are the same. Without the anchor's own words in common, the match is empty."""
+    words = lambda x: F.size(_words(x))
+    left = F.when(F.col("left") == F.col("first_left"), words("left")).otherwise(_alike(F.reverse(_words("left")), F.reverse(_words("first_left"))))
+    right = F.when(F.col("right") == F.col("first_right"), words("right")).otherwise(_alike(_words("right"), _words("first_right")))
+    out = pairs.withColumns({"_l": left, "_r": right}).withColumn("start", F.col("pos") + how.anchor - F.col("_l"))
+    end = F.when(F.col("_l") < how.anchor, F.col("start")).otherwise(F.col("pos") + how.anchor + F.col("_r"))
+    return out.withColumn("end", end).drop("_l", "_r")
+
+
+def _rest_windows(pairs: DataFrame, how: Repeats) -> DataFrame:
+    """``id``, ``start``, ``words`` of the windows at an anchor that its match (``start`` to ``end``) doesn't cover."""
+    begin = F.col("pos") + how.anchor - F.size(_words("left"))
+    every = F.filter(F.sequence("first", "last"), lambda s: (s < F.col("start")) | (s + how.window > F.col("end")))
+    rows = pairs.withColumn("_s", F.explode(every)).withColumn("_w", F.concat(_words("left"), _words("right")))
+    words = F.array_join(F.slice("_w", F.col("_s") - begin + 1, F.lit(how.window)), " ")
+    return rows.select("id", F.col("_s").alias("start"), words.alias("words"))
+
+
+def repeated_passages(rows: DataFrame, gone: DataFrame, how: Repeats) -> DataFrame:
+    """``id``, ``spans`` (``start``, ``end``): what each document, but for those in ``gone``, shares with an earlier one."""
     seeds = _seeds(rows, how)
-    shared = stored(seeds.groupBy("hash").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("hash"), "anchors")
+    shared = seeds.groupBy("hash").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
+    shared = stored(shared.select("hash", "lo", "n"), "anchors")
+    hot = hot_keys(shared, "hash")
     rows = _only(rows, gone, how, "left_anti")
     if shared.count() <= how.lookup:
-        windows = _windows(rows, how, shared.inputFiles()[0].rpartition("/")[0])
+        found = _occurrences(rows, how, shared.inputFiles()[0].rpartition("/")[0])
     else:
-        places = seeds.join(shared, "hash").groupBy("id").agg(F.collect_set("pos").alias("places"))
-        windows = _windows(rows.join(places, "id").select("id", "text", "places"), how, None)
-    windows = stored(windows, "windows")
-    first = windows.groupBy("h", "g").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h", "g", "lo")
-    again = windows.join(first, ["h", "g"]).where("id > lo")
-    return again.groupBy("id").agg(F.sort_array(F.collect_set("start")).alias("starts"))
-
-
-def _rest(text: bytes, starts: np.ndarray, window: int) -> tuple[int, int, list[bytes]]:
-    """(words, words cut, words kept) of a text with the given windows."""
+        places = spread_join(seeds, shared.select("hash", "lo"), ["hash"], hot).groupBy("id").agg(F.collect_set(F.struct("pos", "lo")).alias("p"))
+        found = _occurrences(rows.join(places.select("id", F.col("p.pos").alias("places"), F.col("p.lo").alias("firsts")), "id").select("id", "text", "places", "firsts"), how, None)
+    found = stored(found, "occurrences")
+    at_first = found.where("opens").groupBy("hash").agg(F.min(F.struct("pos", "left", "right")).alias("f"))
+    at_first = stored(at_first.select("hash", F.col("f.pos").alias("first_pos"), F.col("f.left").alias("first_left"), F.col("f.right").alias("first_right")), "firsts")
+
+    later = spread_join(found.where("not opens").drop("opens"), at_first.drop("first_pos"), ["hash"], hot)
+    matches = extended(later, how).withColumn("long", F.col("end") - F.col("start") >= how.window)
+    # an occurrence goes on if its match is an interval, or leaves a window
+    open_ = (~F.col("long")) | (F.col("start") > F.col("first")) | (F.col("end") < F.col("last") + how.window)
+    kept = F.when(open_, F.col("left")), F.when(open_, F.col("right"))
+    matches = stored(matches.select("id", "pos", "first", "last", "start", "end", "long", open_.alias("open"), kept[0].alias("left"), kept[1].alias("right")), "matches")
+
+    # other places of an anchor in its first document: there is none before them to match, but others may match them
+    again = found.where("opens").join(at_first.select("hash", "first_pos"), "hash").where(F.col("pos") != F.col("first_pos")).withColumns({"start": F.lit(0), "end": F.lit(0)})
+    columns = ["id", "pos", "first", "last", "start", "end", "left", "right"]
+    none = F.when(F.col("long"), F.col("start")).otherwise(0), F.when(F.col("long"), F.col("end")).otherwise(0)
+    left = matches.where("open").withColumns({"start": none[0], "end": none[1]}).select(*columns).unionByName(again.select(*columns))
+    rest = stored(_rest_windows(left, how), "rest")
+    first = rest.groupBy("words").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
+    first = stored(first.select("words", "lo", "n"), "rest-firsts")
+    more = spread_join(rest, first.select("words", "lo"), ["words"], hot_keys(first, "words")).where("id > lo")
+    spans = matches.where("long").select("id", "start", "end").union(more.select("id", "start", (F.col("start") + how.window).alias("end")))
+    return spans.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
+
+
+def _rest(text: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[int, int, list[bytes]]:
+    """(words, words cut, words kept) of a text with the given spans."""
     words = text.split()
     cut = np.zeros(len(words) + 1, np.int64)
     np.add.at(cut, starts, 1)
-    np.add.at(cut, starts + window, -1)
+    np.add.at(cut, ends, -1)
     keep = np.cumsum(cut[:-1]) == 0
     return len(words), len(words) - int(keep.sum()), [w for w, k in zip(words, keep.tolist()) if k]
 
@@ -158,14 +237,17 @@ def cut_repeats(docs: DataFrame, how: Repeats = Repeats(), key: str = "doc_id",
     """Per document: key, ``n_words``, ``n_removed``, ``kept_sha256`` and ``kept_text`` (its words that stay, one space
     between them; null where nothing is cut).
 
-    Windows are judged on the input. Null texts have no words. Keys name documents: a row that repeats a key repeats
-    its text, and neither is earlier. Rows with a null key come before all others, in an order of their texts' hashes
-    (so keys below NULLS can't be used).
+    Matches are judged on the input. Null texts have no words. Keys name documents: a row that repeats a key repeats
+    its text, and neither is earlier. Rows with a null key come after all others, in an order of their texts' hashes;
+    a key of NULLS or more is an error. Very long texts are one row each, and cut as they are.
     """
     body = text_of(text)
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), NULLS - 1 - F.pmod(F.xxhash64(body), F.lit(-NULLS - 2))).alias("id"), body.alias("text"))
+    own = F.col(key).cast("long")
+    unnamed = F.lit(NULLS) + F.pmod(F.xxhash64(body), F.lit(NULLS))
+    own = F.when(own >= NULLS, F.raise_error(F.lit(f"keys must be below {NULLS}")).cast("long")).otherwise(F.coalesce(own, unnamed))
+    rows = docs.select(own.alias("id"), body.alias("text"))
     gone = stored(copies(rows), "copies")
-    starts = stored(repeated_windows(rows, gone, how), "starts")
+    spans = stored(repeated_passages(rows, gone, how), "spans")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -179,7 +261,7 @@ def cut_repeats(docs: DataFrame, how: Repeats = Repeats(), key: str = "doc_id",
             for part in slices(b, most_bytes=2_000_000):
                 out = []
                 for t, s in zip(part.column(1).to_pylist(), part.column(2)):
-                    n, removed, kept = _rest(t.encode().translate(PLAIN), s.values.to_numpy(), how.window)
+                    n, removed, kept = _rest(t.encode().translate(PLAIN), s.values.field(0).to_numpy(), s.values.field(1).to_numpy())
                     body = b" ".join(kept)
                     out.append((n, removed, hashlib.sha256(body).hexdigest(), body.decode()))
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.string(), pa.string()))]], ["id", "n_words", "n_removed", "kept_sha256", "kept_text"])
@@ -187,11 +269,11 @@ def cut_repeats(docs: DataFrame, how: Repeats = Repeats(), key: str = "doc_id",
     none = F.sha2(F.lit(""), 256)
     nothing = F.lit(None).cast("string")
     # untouched documents, copies (all words go if they make a window), and those with something cut
-    some = _only(rows, starts.select("id"), how, "left_semi").join(starts, "id").select("id", "text", "starts")
+    some = _only(rows, spans.select("id"), how, "left_semi").join(spans, "id").select("id", "text", "spans")
     cut = some.mapInArrow(less, "id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
-    touched = starts.select(F.col("id").alias("i"), F.lit(1).alias("kind")).union(gone.select("id", F.lit(2)))
+    touched = spans.select(F.col("id").alias("i"), F.lit(1).alias("kind")).union(gone.select("id", F.lit(2)))
     plain = rows.mapInArrow(whole, "id long, n_words long, sha string").join(touched, F.col("id") == F.col("i"), "left").where("kind is null or kind = 2")
     all_gone = F.col("kind").isNotNull() & (F.col("n_words") >= how.window)
     plain = plain.select("id", "n_words", F.when(all_gone, F.col("n_words")).otherwise(F.lit(0)).alias("n_removed"), F.when(all_gone, none).otherwise(F.col("sha")).alias("kept_sha256"), F.when(all_gone, F.lit("")).otherwise(nothing).alias("kept_text"))
     out = cut.unionByName(plain)
-    return out.select(F.when(F.col("id") >= NULLS, F.col("id")).alias(key), "n_words", "n_removed", "kept_sha256", "kept_text")
+    return out.select(F.when(F.col("id") < NULLS, F.col("id")).alias(key), "n_words", "n_removed", "kept_sha256", "kept_text")

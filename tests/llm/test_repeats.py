@@ -52,5 +52,24 @@ def test_odd_documents(spark):
     by = {r["doc_id"]: r for r in out if r["doc_id"] in (0, 1, 7)}
     assert by[0]["n_words"] == by[1]["n_words"] == 0 and by[7]["n_removed"] == by[7]["n_words"] == 300
     two = spark.createDataFrame([(None, prose(40, 1)), (None, prose(40, 2)), (5, prose(40, 2) + " end")], "doc_id long, text string")
-    assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in repeats.cut_repeats(two).collect()) == [(0, 0), (0, 0), (5, 40)]
+    assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in repeats.cut_repeats(two).collect()) == [(0, 0), (0, 40), (5, 0)]
     assert repeats.cut_repeats(empty_documents(spark)).count() == 0
+    far = spark.createDataFrame([(repeats.NULLS, prose(40, 1))], "doc_id long, text string")
+    with pytest.raises(Exception, match="keys must be below"):
+        repeats.cut_repeats(far).collect()
+
+
+def test_matches_are_one_interval_to_both_sides(spark):
+    shared, other = prose(60, 5), prose(20, 6)
+    docs = [(1, prose(30, 1) + " " + shared + " " + prose(9, 2)), (2, other + " x " + shared.replace(shared.split()[40], "y") + " z " + other)]
+    docs = spark.createDataFrame([(i, t) for i, t in docs], "id long, text string")
+    spans = repeats.repeated_passages(docs, docs.select("id").limit(0), repeats.Repeats()).first()
+    merged = []
+    for s, e in sorted((x["start"], x["end"]) for x in spans["spans"]):
+        if merged and s <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], e)
+        else:
+            merged.append([s, e])
+    words = docs.collect()[1]["text"].split()
+    changed = [i for i, w in enumerate(words) if w == "y"]
+    assert spans["id"] == 2 and merged[0][0] == 21 and merged[-1][1] == 81 and not any(s <= i < e for s, e in merged for i in changed)
