@@ -5,8 +5,8 @@ a window that two documents share has the same anchor in both. Anchors of one do
 occurrence of an anchor is joined with the anchor's first one, both with the words around them as far as a window
 with this anchor reaches. The match is extended from the anchor to the left and to the right, word by word, and where it
 is long enough it is one interval of the later document. Windows at an anchor that its first occurrence's match doesn't
-cover may be in another earlier document: these few are joined once more, by all of their words. Intervals are
-merged into maximal ones, and these are cut.
+cover may be in another earlier document: these few are joined twice more, by all words around the anchor and by those
+of the window alone. Intervals are merged into maximal ones, and these are cut.
 
 No pair of documents but one with the first is ever made, so a passage that very many documents share costs a row for each of
 them; anchors that hold a part of all rows are joined by broadcast where they are.
@@ -215,11 +215,16 @@ def repeated_passages(rows: DataFrame, gone: DataFrame, how: Repeats) -> DataFra
     columns = ["id", "pos", "first", "last", "start", "end", "left", "right"]
     none = F.when(F.col("long"), F.col("start")).otherwise(0), F.when(F.col("long"), F.col("end")).otherwise(0)
     left = matches.where("open").withColumns({"start": none[0], "end": none[1]}).select(*columns).unionByName(again.select(*columns))
-    rest = stored(_rest_windows(left, how), "rest")
+    # of those with the same words around the anchor, only the first goes on: the others match it as far as they reach
+    around = stored(left.groupBy("left", "right").agg(F.min("id").alias("lo"), F.count(F.lit(1)).alias("n")), "around")
+    left = stored(spread_join(left, around.select("left", "right", "lo"), ["left", "right"], hot_keys(around, "left", "right")), "left")
+    begin = F.col("pos") + how.anchor - F.size(_words("left"))
+    reach = left.where("id > lo").select("id", begin.alias("start"), (F.col("pos") + how.anchor + F.size(_words("right"))).alias("end"))
+    rest = stored(_rest_windows(left.where("id = lo"), how), "rest")
     first = rest.groupBy("words").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
     first = stored(first.select("words", "lo", "n"), "rest-firsts")
     more = spread_join(rest, first.select("words", "lo"), ["words"], hot_keys(first, "words")).where("id > lo")
-    spans = matches.where("long").select("id", "start", "end").union(more.select("id", "start", (F.col("start") + how.window).alias("end")))
+    spans = matches.where("long").select("id", "start", "end").union(reach).union(more.select("id", "start", (F.col("start") + how.window).alias("end")))
     return spans.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
 
 

@@ -60,8 +60,8 @@ def test_odd_documents(spark):
 
 
 def test_matches_are_one_interval_to_both_sides(spark):
-    shared, other = prose(60, 5), prose(20, 6)
-    docs = [(1, prose(30, 1) + " " + shared + " " + prose(9, 2)), (2, other + " x " + shared.replace(shared.split()[40], "y") + " z " + other)]
+    shared, other = " ".join(f"s{i}" for i in range(60)), prose(20, 6)
+    docs = [(1, prose(30, 1) + " " + shared + " " + prose(9, 2)), (2, other + " x " + shared.replace("s40", "y") + " z " + other)]
     docs = spark.createDataFrame([(i, t) for i, t in docs], "id long, text string")
     spans = repeats.repeated_passages(docs, docs.select("id").limit(0), repeats.Repeats()).first()
     merged = []
