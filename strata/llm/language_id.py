@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.llm.common import text_of
@@ -25,9 +25,11 @@ from strata.llm.tokens import LOWER_ALNUM, coded_words, mix, slices
 
 @dataclass(frozen=True)
 class Training:
-    """The bound of the sample is ``rows``: those labelled rows with the least hash of their key."""
+    """The sample has at most ``rows`` documents, shared evenly by the languages, or ``least_rows`` of each if they are more than
+    that: of each language those with the least hash of their key, so that a rare one is learned too."""
 
     rows: int = 2000
+    least_rows: int = 20
     buckets_bits: int = 15
     dimension: int = 16
     epochs: int = 6
@@ -86,12 +88,16 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 
 def sample(docs: DataFrame, training: Training, key: str, text: str, lang: str) -> DataFrame:
-    """``lang``, ``buckets``, ``counts`` of the sampled rows. Only their keys are sorted; texts stay where they are."""
-    rows = docs.select(F.col(key).cast("string").alias("key"), text_of(text).alias("text"), F.col(lang).alias("lang")).where(F.col("lang").isNotNull() & F.col("key").isNotNull())
-    order = F.xxhash64(F.lit(training.seed), "key")
-    # at most training.rows rows
-    chosen = rows.select("key", order.alias("o")).dropDuplicates(["key"]).orderBy("o", "key").limit(training.rows).select(F.col("key").alias("k"))
-    rows = rows.join(F.broadcast(chosen), F.col("key") == F.col("k"), "left_semi")
+    """``lang``, ``buckets``, ``counts`` of the sampled rows, one a key: of rows that repeat a key, the one with the least label
+    and text. Of keys with one hash, the least goes first. Only keys are sorted; texts stay where they are."""
+    rows = docs.select(F.col(key).cast("string").alias("key"), text_of(text).alias("text"), F.col(lang).cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("key").isNotNull())
+    languages = rows.select("lang").distinct().count()
+    quota = max(training.least_rows, training.rows // max(1, languages))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(training.seed), "key"), "key")
+    # Spark keeps the first of each language in each task before it sorts them: quota * languages keys are chosen
+    chosen = rows.select("key", "lang").withColumn("place", F.dense_rank().over(order)).where(F.col("place") <= quota).select(F.col("key").alias("k"), F.col("lang").alias("l")).distinct()
+    rows = rows.join(F.broadcast(chosen), (F.col("key") == F.col("k")) & (F.col("lang") == F.col("l")), "left_semi")
+    rows = rows.groupBy("key").agg(F.min(F.struct("lang", "text")).alias("r")).select("key", "r.text", "r.lang")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -113,7 +119,10 @@ def sample(docs: DataFrame, training: Training, key: str, text: str, lang: str)
 
 
 def train(docs: DataFrame, training: Training = Training(), key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
-    """A model of the labelled rows of ``docs``, or None if there are none. Rows with a null label are left out."""
+    """A model of the labelled rows of ``docs``, or None if there are none. Rows with a null label or key are left out.
+
+    The sample is bounded (see ``Training``), whatever keys or rows repeat, and is all that reaches the driver.
+    """
     found = sample(docs, training, key, text, lang).toArrow().combine_chunks().sort_by([("key", "ascending"), ("lang", "ascending")])
     lists = [[found[c].chunk(0)[i].values.to_numpy() for i in range(len(found))] if len(found) else [] for c in ("buckets", "counts")]
     rows = [(name, b.astype(np.int64), n.astype(np.float64)) for name, b, n in zip(found["lang"].to_pylist(), *lists) if len(b)]
@@ -152,7 +161,8 @@ def train(docs: DataFrame, training: Training = Training(), key: str = "doc_id",
 def predict(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: key, ``lang_pred``, ``score`` and ``rejected`` (the score is below the calibrated threshold).
 
-    ``und`` with score 0 if the text is null or has no letter, or there is no model.
+    ``und`` with score 0 if the text is null or has no letter, or there is no model. Of languages with one score, the first by
+    name is given. Repeated rows get the same prediction; very long texts are scored whole.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -39,3 +39,12 @@ def test_odd_documents(spark):
     none = language_id.predict(docs, None).collect()
     assert all(r["lang_pred"] == "und" for r in none)
     assert language_id.predict(empty_documents(spark), model).count() == 0
+
+
+def test_sample_is_bounded_by_rows_and_has_rare_languages(spark):
+    rows = spark.range(5000).selectExpr("7L as doc_id", "concat('thing and ', id) as text", "'en' as lang")
+    rows = rows.union(spark.createDataFrame([(i, text("de", i), "de") for i in range(100, 400)] + [(9, text("fr", 1), "fr")], "doc_id long, text string, lang string"))
+    found = language_id.sample(rows, language_id.Training(rows=60), "doc_id", "text", "lang").collect()
+    counts = {k: sum(r["lang"] == k for r in found) for k in ("de", "en", "fr")}
+    assert counts == {"de": 20, "en": 1, "fr": 1}
+    assert language_id.train(rows, language_id.Training(rows=60)).languages == ["de", "en", "fr"]
