@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strata.llm.common import let, packed, scratch_path, text_of
+from strata.llm.common import let, packed, scratch_path, stored, text_of
 from strata.llm.files import opened, whole_file
-from strata.llm.tokens import LOWER_ALNUM, coded_words, split_words
+from strata.llm.tokens import LOWER_ALNUM, coded_words, slices, split_words
 
 
 @dataclass(frozen=True)
@@ -36,6 +36,8 @@ class Limits:
     max_run: int = 0
     #: Words of items in one automaton (a few hundred bytes each in memory).
     block_words: int = 200_000
+    #: Bytes of texts that a task holds while it goes through the blocks.
+    held_bytes: int = 16_000_000
 
 
 class Automaton:
@@ -168,37 +170,59 @@ class Automaton:
             yield text, spans, items
 
 
+def _pieces(rows: DataFrame, limits: Limits) -> DataFrame:
+    """``key``, ``piece``, ``n``: the words of items. A very long item is cut into pieces that overlap by a window less a word, so
+    that each of its windows is whole in one of them."""
+    most = max(limits.block_words // 4, 2 * limits.window)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in slices(b):
+                offsets, words = split_words(part.column(1), LOWER_ALNUM)
+                keys, texts, sizes = [], [], []
+                for i, key in enumerate(part.column(0).to_pylist()):
+                    own = words[offsets[i] : offsets[i + 1]].to_pylist()
+                    for s in range(0, max(1, len(own) - limits.window + 1), most - limits.window + 1) if own else ():
+                        piece = own[s : s + most]
+                        keys.append(key)
+                        texts.append(" ".join(piece))
+                        sizes.append(len(piece))
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(texts, pa.string()), pa.array(sizes, pa.int64())], ["key", "piece", "n"])
+
+    return rows.mapInArrow(run, "key string, piece string, n long")
+
+
 def build_blocks(items: DataFrame, limits: Limits = Limits(), key: str = "item_id", text: str = "text") -> list[str]:
-    """Files with one automaton each. Nothing but one block's items is ever on the driver.
+    """Files with one automaton each, made in tasks; the driver gets their names alone.
 
-    Null and wordless items have no window. Items of one id count as one item with all their windows.
+    Null and wordless items have no window. Items of one id count as one item with all their windows; items that repeat a text are one
+    sequence with all their ids, so a block holds about ``block_words`` words however often a text is there.
     """
-    spark = items.sparkSession
     rows = items.select(F.col(key).cast("string").alias("key"), text_of(text).alias("text"))
-    total = rows.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")))).first()[0] or 0
-    n_blocks = -(-total // limits.block_words)
-    folder, paths = scratch_path(spark, "automata"), []
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(max(1, n_blocks))))
-    for k in range(n_blocks):
-        found = rows.where(F.col("block") == k).select("key", "text").collect()
-        offsets, words = split_words(pa.array([r["text"] for r in found], pa.string()), LOWER_ALNUM)
-        held: dict[str, list[str]] = {}
-        names: dict[str, str] = {}
-        for i, r in enumerate(found):
-            if offsets[i] < offsets[i + 1]:
-                name = f"{len(held):09d}"
-                held[name], names[name] = words[offsets[i] : offsets[i + 1]].to_pylist(), r["key"]
-        path = f"{folder}/block-{k:05d}"
+    pieces = _pieces(rows, limits).groupBy("piece").agg(F.first("n").alias("n"), F.sort_array(F.collect_set("key")).alias("keys"))
+    pieces = stored(pieces, "items")
+    n_blocks = -(-(pieces.agg(F.sum("n")).first()[0] or 0) // limits.block_words)
+    if not n_blocks:
+        return []
+    folder = scratch_path(items.sparkSession, "automata")
+
+    def build(group: pa.Table) -> pa.Table:
+        order = pc.sort_indices(group["piece"])
+        held = {f"{i:09d}": piece.split(" ") for i, piece in enumerate(group["piece"].take(order).to_pylist())}
+        names = {f"{i:09d}": keys for i, keys in enumerate(group["keys"].take(order).to_pylist())}
+        path = f"{folder}/block-{group['block'][0].as_py():07d}"
         with whole_file(path) as out:
             out.write(pickle.dumps((Automaton(held, limits.window), names)))
-        paths.append(path)
-    return paths
+        return pa.table({"path": [path]})
+
+    blocks = pieces.withColumn("block", F.pmod(F.xxhash64("piece"), F.lit(n_blocks)))
+    return sorted(r["path"] for r in stored(blocks.groupBy("block").applyInArrow(build, "path string"), "blocks").collect())
 
 
-_loaded: dict[str, tuple[Automaton, dict[str, str]]] = {}
+_loaded: dict[str, tuple[Automaton, dict[str, list[str]]]] = {}
 
 
-def _load(path: str) -> tuple[Automaton, dict[str, str]]:
+def _load(path: str) -> tuple[Automaton, dict[str, list[str]]]:
     """One block at a time is kept in a worker."""
     if path not in _loaded:
         _loaded.clear()
@@ -226,25 +250,42 @@ def find(docs: DataFrame, items: DataFrame, limits: Limits = Limits(), carry: li
     """``row`` (the columns of ``docs`` named in ``carry``, or all) and, of its text, ``n_words``, ``n_hit``, ``n_items`` (items found),
     ``items_sha256`` (of their sorted ids), ``spans`` (hit words) and ``contaminated``.
 
-    A null text has no words. Repeated rows are judged alike. With no items nothing is hit.
+    A null text has no words. Repeated rows are judged alike. With no items nothing is hit. Very long texts are scanned whole; a
+    task holds ``held_bytes`` of texts, or one text, at a time, and takes the blocks one after the other over all that it holds.
     """
     paths = build_blocks(items, limits, item_key, item_text)
 
+    def texts_of(b: pa.RecordBatch) -> pa.Array:
+        return pc.struct_field(b.column(0), [at]) if carry is None else b.column(1)
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
         for b in batches:
-            offsets, codes, words = coded_words(pc.struct_field(b.column(0), [at]) if carry is None else b.column(1), LOWER_ALNUM)
-            spans: list[list[tuple[int, int]]] = [[] for _ in range(b.num_rows)]
-            names: list[set[str]] = [set() for _ in range(b.num_rows)]
-            for path in paths:
-                automaton, ids = _load(path)
-                for i, s, held in automaton.scan(offsets, codes, words):
-                    spans[i] += s
-                    names[i] |= {ids[name] for name in held if ids[name] is not None}
-            spans = [merged(s) for s in spans]
+            for part in slices(b, texts=texts_of(b), most_bytes=limits.held_bytes // 4):
+                parts.append(part)
+                held += pc.sum(pc.binary_length(texts_of(part))).as_py() or 0
+                if held >= limits.held_bytes:
+                    yield from judged(parts)
+                    parts, held = [], 0
+        yield from judged(parts)
+
+    def judged(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coded = [coded_words(texts_of(p), LOWER_ALNUM) for p in parts]
+        spans: list[list[list[tuple[int, int]]]] = [[[] for _ in range(p.num_rows)] for p in parts]
+        names: list[list[set[str]]] = [[set() for _ in range(p.num_rows)] for p in parts]
+        for path in paths:
+            automaton, ids = _load(path)
+            for k, words in enumerate(coded):
+                for i, s, held in automaton.scan(*words):
+                    spans[k][i] += s
+                    for name in held:
+                        names[k][i].update(ids[name])
+        for part, (offsets, *_), found, items in zip(parts, coded, spans, names):
+            found = [merged(s) for s in found]
             columns = [
-                b.column(0), pa.array(np.diff(offsets)), pa.array([sum(e - s for s, e in x) for x in spans], pa.int64()), pa.array([len(x) for x in names], pa.int64()),
-                pa.array([hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in names], pa.string()),
-                pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                part.column(0), pa.array(np.diff(offsets)), pa.array([sum(e - s for s, e in x) for x in found], pa.int64()), pa.array([len(x) for x in items], pa.int64()),
+                pa.array([hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items], pa.string()),
+                pa.array([[{"start": s, "end": e} for s, e in x] for x in found], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
             ]
             yield pa.RecordBatch.from_arrays(columns, ["row", "n_words", "n_hit", "n_items", "items_sha256", "spans"])
 

@@ -71,9 +71,9 @@ def run_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def slices(batch: pa.RecordBatch, text: int = 1, most_bytes: int = 4_000_000):
-    """The batch in parts of at most so many bytes of text, or of one row."""
-    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+def slices(batch: pa.RecordBatch, text: int = 1, most_bytes: int = 4_000_000, texts: pa.Array | None = None):
+    """The batch in parts of at most so many bytes of text, or of one row. ``texts`` are its texts if no column has them."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text) if texts is None else texts), 0).to_numpy(zero_copy_only=False)
     part = np.cumsum(sizes) // most_bytes
     starts = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
     for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):

@@ -80,3 +80,14 @@ def test_odd_documents(spark):
     assert kept.count() == docs.count() - 2
     assert decontaminate.drop_contaminated(docs, items.limit(0)).count() == docs.count()
     assert decontaminate.drop_contaminated(empty_documents(spark), items).count() == 0
+
+
+def test_long_items_and_repeated_ones_make_blocks_of_bounded_size(spark, tmp_path):
+    long = " ".join(f"w{i}" for i in range(900))
+    items = spark.createDataFrame([(f"r{i}", "the same short item of words") for i in range(300)] + [("long", long), ("null", None), (None, long)], "item_id string, text string")
+    limits = decontaminate.Limits(block_words=200, held_bytes=2000)
+    paths = decontaminate.build_blocks(items, limits)
+    assert len(paths) >= 4
+    docs = [(1, "x " + " ".join(f"w{i}" for i in range(30, 60)) + " y"), (2, "the same short item of words"), (3, " ".join(f"w{i}" for i in range(888, 905))), (4, " ".join(f"w{i}" for i in range(850, 860)))] + [(10 + i, prose(50, i)) for i in range(50)]
+    found = {r["row"]["doc_id"]: (r["n_hit"], r["n_items"]) for r in decontaminate.find(spark.createDataFrame(docs, "doc_id long, text string"), items, limits).collect()}
+    assert found[1] == (30, 1) and found[2] == (6, 300) and found[3] == (0, 0) and found[4] == (0, 0) and found[12] == (0, 0)
