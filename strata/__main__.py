@@ -6,6 +6,7 @@ Exit status: 0 done, 1 something failed, 2 no such query or contract.
 from __future__ import annotations
 
 import argparse
+import dataclasses
 import datetime
 import sys
 import uuid
@@ -86,13 +87,15 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     try:
         contract = Contract.from_yaml(args.contract)
+        # both ends carry the environment's suffix, so that a trial never writes to the tables of another environment
+        contract = dataclasses.replace(contract, table=settings.table(contract.table), source=settings.table(contract.source))
     except OSError as e:
         print(e, file=sys.stderr)
         return 2
-    raw_rows = tables.read(settings.table(contract.source))
+    raw_rows = tables.read(contract.source)
     if args.resource_id:
-        raw_rows = raw_rows.where(f"_resource_id = '{args.resource_id}'")
-    runs = load_pending(raw_rows, tables.read(contract.table), contract, datetime.datetime.now(datetime.timezone.utc).replace(tzinfo=None), tables)
+        raw_rows = raw_rows.where(F.col("_resource_id") == args.resource_id)
+    runs = load_pending(raw_rows, tables.read(contract.table), contract, datetime.datetime.now(datetime.timezone.utc).replace(tzinfo=None), tables, settings.table("ops.dq_runs") if settings.environment else "dq_runs")
     return int(runs.where("status = 'failed'").count() > 0)
 
 

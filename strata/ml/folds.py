@@ -24,14 +24,17 @@ def with_folds(rows: DataFrame, group: str, folds: int) -> DataFrame:
 
 def out_of_fold_median(rows: DataFrame, target: str, folds: int) -> DataFrame:
     """``predicted``: for each fold the median target of the other folds. ``rows`` has ``fold``."""
-    others = rows.select("fold", target, F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("held")).where("held <> fold")
-    return rows.join(others.groupBy("held").agg(F.percentile(target, 0.5).alias("predicted")), F.col("fold") == F.col("held"), "left").drop("held")
+    # values are counted first, so only distinct ones are repeated for each fold
+    counts = rows.groupBy("fold", target).agg(F.count(F.lit(1)).alias("n"))
+    others = counts.select("fold", target, "n", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("held")).where("held <> fold")
+    medians = others.groupBy("held").agg(F.percentile(target, 0.5, F.col("n")).alias("predicted"))
+    return rows.join(F.broadcast(medians), F.col("fold") == F.col("held"), "left").drop("held")
 
 
 def permuted(rows: DataFrame, key: str, column: str, seed: int) -> DataFrame:
     """``rows`` with the values of a column dealt anew: those of the i-th row by key go to the i-th by a hash of it."""
     by_key = numbered(rows, [key])
-    values = numbered(rows.select(column, F.xxhash64(F.lit(seed), key).alias("_h"), key), ["_h", key]).select(F.col("place").alias("_p"), F.col(column).alias("_v"))
+    values = numbered(rows.select(column, F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string"))).alias("_h"), key), ["_h", key]).select(F.col("place").alias("_p"), F.col(column).alias("_v"))
     return by_key.join(values, F.col("place") == F.col("_p")).withColumn(column, F.col("_v")).select(*rows.columns)
 
 

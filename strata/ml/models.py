@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from strata.ml.folds import permuted
 from strata.operators import metrics
+from strata.streaming.replay import numbered
 
 
 @dataclass(frozen=True)
@@ -43,10 +44,10 @@ class Features:
         return stages
 
 
-def ordinal(rows: DataFrame, train: DataFrame, column: str) -> Column:
-    """Place of the value among the sorted values of ``train``; -1 if it isn't there. The values are a short list."""
-    values = sorted(r[0] for r in train.select(column).where(F.col(column).isNotNull()).distinct().collect())
-    return F.coalesce(F.array_position(F.array(*map(F.lit, values)), F.col(column)), F.lit(0)) - 1
+def ordinal(rows: DataFrame, train: DataFrame, column: str) -> DataFrame:
+    """``rows`` and ``code``: the place of the value among the sorted values of ``train``; -1 if it isn't there."""
+    values = numbered(train.select(F.col(column).alias("_value")).where("_value is not null").distinct(), ["_value"])
+    return rows.join(values, F.col(column) == F.col("_value"), "left").withColumn("code", F.coalesce(F.col("place") - 1, F.lit(-1))).drop("_value", "place")
 
 
 def regressors(target: str, grid: dict[str, Sequence] | None = None) -> dict[str, Estimator]:
@@ -60,8 +61,13 @@ def linear(target: str) -> Estimator:
     return LinearRegression(labelCol=target)
 
 
-def forest(label: str, weight: str = "weight") -> Estimator:
-    return RandomForestClassifier(labelCol=label, weightCol=weight, numTrees=20, maxDepth=6, seed=7)
+def forest(label: str, weight: str = "weight", impurity: str = "gini") -> Estimator:
+    return RandomForestClassifier(labelCol=label, weightCol=weight, numTrees=20, maxDepth=6, seed=7, impurity=impurity)
+
+
+def classifiers(label: str) -> dict[str, Estimator]:
+    """A forest for each of the two split criteria, by name."""
+    return {f"forest {i}": forest(label, impurity=i) for i in ("gini", "entropy")}
 
 
 def stump(label: str, weight: str = "weight") -> Estimator:

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from strata.functions.columns import blank_to_null, flag
 from strata.operators.dedupe import latest
+from strata.sources.scratch import stored
 
 TYPES = ("string", "int", "bigint", "double", "boolean", "date", "timestamp")
 MAX_REJECTED = 0.01
@@ -156,42 +157,58 @@ RUNS = T.StructType([
 ])
 
 
-def load_resource(raw: DataFrame, contract: Contract, resource_id: str, run_at, sink) -> tuple:
-    """One resource from raw text to its typed table, and the row of the run.
+def run_log(flags: DataFrame, silver: DataFrame, contract: Contract, most: float = MAX_REJECTED) -> DataFrame:
+    """A row for each resource of ``flags``, as a load of it logs: ``rows_in``, ``rows_out``, ``rows_rejected``, ``hard_failures`` and
+    ``status``. ``silver`` is what is left after deduplication. Two sums, whatever the number of resources."""
+    came = flags.groupBy(F.col("_resource_id").alias("resource_id")).agg(
+        F.count(F.lit(1)).alias("rows_in"), F.count(F.when(F.col("reject_reason") != "", 1)).alias("rows_rejected"))
+    left = silver.groupBy(F.col("_resource_id").alias("_id")).agg(*measure_columns(contract))
+    out = came.join(left, F.col("resource_id").eqNullSafe(F.col("_id")), "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    found = [(zero(f"null_{f.name}") > 0, F.concat(zero(f"null_{f.name}").cast("string"), F.lit(f" nulls in {f.name}"))) for f in contract.fields if not f.nullable]
+    found.append((zero("rows") != zero("keys"), F.concat((zero("rows") - zero("keys")).cast("string"), F.lit(f" rows repeat the key {', '.join(contract.primary_key)}"))))
+    found.append((F.col("rows_rejected") / F.col("rows_in") > most, F.format_string("%d of %d rows rejected", "rows_rejected", "rows_in")))
+    out = out.withColumn("hard_failures", F.concat_ws("; ", *[F.when(bad, why) for bad, why in found]))
+    failed = F.col("hard_failures") != ""
+    return out.select(
+        F.lit(contract.table).alias("contract"), "resource_id", "rows_in", F.when(failed, 0).otherwise(zero("rows")).cast("long").alias("rows_out"),
+        "rows_rejected", "hard_failures", F.when(failed, "failed").otherwise("ok").alias("status"))
+
+
+def pending_resources(raw: DataFrame, loaded: DataFrame | None) -> DataFrame:
+    """``resource_id``, ``sha256`` of the resources in ``raw`` that are new or have another hash than is loaded."""
+    from strata.sources.manifest import pending
+
+    hashes = lambda df: df.groupBy(F.col("_resource_id").alias("resource_id")).agg(F.max("_source_sha256").alias("sha256"))
+    return hashes(raw) if loaded is None else pending(hashes(raw), hashes(loaded))
+
 
-    ``sink`` has ``replace(table, df, partition_by)``. Rejects are written before the hard checks; a resource that fails
-    them leaves its typed table as it was.
+def load_pending(raw: DataFrame, loaded: DataFrame | None, contract: Contract, run_at, sink, runs_table: str = "dq_runs") -> DataFrame:
+    """Loads all resources whose hash is new or changed, in one pass, and appends the runs.
+
+    Every line is cast and flagged once and stored. Rejects are written before the hard checks; the resources that fail them are
+    left out of the write to the typed table, and keep no other out. ``sink`` has ``replace(table, df, partition_by)`` and ``append``.
     """
+    spark = raw.sparkSession
     if gone := contract.missing(raw.columns):
-        return (run_at, contract.table, "*", 0, 0, 0, f"missing columns: {', '.join(gone)}", "failed")
-    flags = flagged(raw.where(F.col("_resource_id") == resource_id), contract).persist()
-    try:
-        silver = deduplicated(accepted(flags, contract), contract)
-        found = measures(flags, silver, contract)
-        if found.rows_rejected:
-            sink.replace(contract.rejects_table, rejected(flags, contract).withColumn("_rejected_at", F.lit(run_at)), ("_resource_id",))
-        failures = found.failures(contract)
-        if not failures:
-            sink.replace(contract.table, silver.withColumn("_silver_loaded_at", F.lit(run_at)), contract.partition_by)
-        return (run_at, contract.table, resource_id, found.rows_in, 0 if failures else found.rows, found.rows_rejected, "; ".join(failures), "failed" if failures else "ok")
-    finally:
-        flags.unpersist()
-
-
-def load_pending(raw: DataFrame, loaded: DataFrame | None, contract: Contract, run_at, sink) -> DataFrame:
-    """Loads each resource whose hash is new or changed and appends the runs; one that fails stops no other."""
-    from strata.sources.manifest import pending
-
-    current = raw.groupBy("_resource_id").agg(F.max("_source_sha256").alias("sha256")).withColumnRenamed("_resource_id", "resource_id")
-    if loaded is not None:
-        before = loaded.groupBy("_resource_id").agg(F.max("_source_sha256").alias("sha256")).withColumnRenamed("_resource_id", "resource_id")
-        current = pending(current, before)
-    rows = []
-    for r in current.orderBy("resource_id").toLocalIterator():
-        try:
-            rows.append(load_resource(raw, contract, r["resource_id"], run_at, sink))
-        except Exception as e:  # noqa: BLE001
-            rows.append((run_at, contract.table, r["resource_id"], 0, 0, 0, str(e)[:2000], "failed"))
-    runs = raw.sparkSession.createDataFrame(rows, RUNS)
-    sink.append("dq_runs", runs)
+        row = (run_at, contract.table, "*", 0, 0, 0, f"missing columns: {', '.join(gone)}", "failed")
+        runs = spark.createDataFrame([row], RUNS)
+        sink.append(runs_table, runs)
+        return runs
+    ids = pending_resources(raw, loaded).select("resource_id")
+    rows = raw.join(ids, F.col("_resource_id").eqNullSafe(F.col("resource_id")), "left_semi")
+    flags = stored(flagged(rows, contract), "flagged")
+    typed = accepted(flags, contract)
+    keys = ("_resource_id", *contract.primary_key)
+    silver = stored(latest(typed, keys, contract.dedupe_by), "typed")
+    runs = stored(run_log(flags, silver, contract).select(F.lit(run_at).cast("timestamp").alias("run_at"), "*"), "runs")
+    bad = rejected(flags, contract)
+    if not bad.isEmpty():
+        sink.replace(contract.rejects_table, bad.withColumn("_rejected_at", F.lit(run_at)), ("_resource_id",))
+    good = runs.where("status = 'ok'").select("resource_id")
+    if not good.isEmpty():
+        # resources that have a key in common meet here: of these rows the latest stays
+        kept = silver.join(good, F.col("_resource_id").eqNullSafe(F.col("resource_id")), "left_semi")
+        sink.replace(contract.table, deduplicated(kept, contract).withColumn("_silver_loaded_at", F.lit(run_at)), contract.partition_by)
+    sink.append(runs_table, runs.select(*RUNS.names))
     return runs

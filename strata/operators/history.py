@@ -42,8 +42,13 @@ def as_of(facts: DataFrame, history: DataFrame, key: str, at: Column | str, colu
 
 
 def overlaps(history: DataFrame, key: str) -> DataFrame:
-    """Pairs of a key's segments that follow each other and overlap; none in a sound history."""
+    """All pairs of a key's segments that overlap, neighbours or not; none in a sound history. The join is by key, and a key has few
+    segments; those that no later one begins in are left out before it."""
     order = Window.partitionBy(key).orderBy("valid_from", "segment")
-    rows = history.withColumn("next_from", F.lead("valid_from").over(order)).withColumn("next_segment", F.lead("segment").over(order))
     until = F.coalesce("valid_to", F.lit("9999-12-31").cast("date"))
-    return rows.where(F.col("next_from") <= until).select(key, "segment", "next_segment", "valid_from", "valid_to", "next_from")
+    rows = history.withColumn("_until", until)
+    open_ = rows.withColumn("_next", F.lead("valid_from").over(order)).where(F.col("_next") <= F.col("_until"))
+    later = rows.select(F.col(key).alias("_key"), F.col("segment").alias("next_segment"), F.col("valid_from").alias("next_from"))
+    after = (F.col("next_from") > F.col("valid_from")) | ((F.col("next_from") == F.col("valid_from")) & (F.col("next_segment") > F.col("segment")))
+    pairs = open_.join(later, (F.col(key) == F.col("_key")) & after & (F.col("next_from") <= F.col("_until")))
+    return pairs.select(key, "segment", "next_segment", "valid_from", "valid_to", "next_from")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from strata.functions.columns import safe_key
 from strata.plans.registry import Registry, table
 from strata.sources import catalog, files, manifest
+from strata.sources.scratch import scratch_path
 
 query = Registry()
 
@@ -112,9 +113,62 @@ def class_quotas(spark, d):
     return catalog.within_quotas(table(spark, d, "part").select("p_type", "p_partkey"), "p_type", "p_partkey", {"ECONOMY": 10, "SMALL": 22, "PROMO": 7}).select("p_type", "p_partkey")
 
 
-@query("""select distinct c_custkey from customer where c_custkey not in (select distinct o_custkey from orders)""")
+@query("""select distinct c_custkey from customer where c_custkey not in (select distinct o_custkey from orders where o_totalprice > 250000)""")
 def unmapped_keys(spark, d):
-    return table(spark, d, "customer").select("c_custkey").distinct().join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    large = table(spark, d, "orders").where("o_totalprice > 250000").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, d, "customer").select("c_custkey").distinct().join(large, "c_custkey", "left_anti")
+
+
+@query("""select cast(c_custkey as varchar) as c_custkey, case when c_custkey % 7 = 0 then null else c_name end as c_name, cast(c_nationkey as varchar) as c_nationkey from customer""")
+def delimited_text(spark, d):
+    """A header with a byte order mark and spaces, all columns as text, blanks as nulls."""
+    path = scratch_path(spark, "delimited")
+    name = F.when(F.col("c_custkey") % 7 == 0, None).otherwise(F.col("c_name"))
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("\ufeffc_custkey"), name.alias(" c_name"), F.col("c_nationkey").alias("c_nationkey "))
+    rows.write.option("header", True).option("sep", ";").csv(path)
+    return files.read_delimited(spark, path, ";")
+
+
+@query("""select row_number() over (partition by n_regionkey order by n_nationkey) - 1 as place, 'r' || n_nationkey as resource_id, n_name as name, 'https://example.org/' || n_nationkey as url, 'CSV' as format,
+    case when n_nationkey % 3 = 0 then null else n_nationkey * 1000 end as size, case when n_nationkey % 2 = 0 then '2024-01-01' else '2023-01-01' end as last_modified from nation""")
+def package_resources(spark, d):
+    """Catalog packages, one a region: sizes as texts that may be no numbers, and times that may be blank."""
+    n = F.col("n_nationkey")
+    fields = {
+        "id": F.concat(F.lit("r"), n.cast("string")), "name": F.col("n_name"), "url": F.concat(F.lit("https://example.org/"), n.cast("string")), "format": F.lit("csv"),
+        "size": F.when(n % 3 == 0, "?").otherwise(F.concat(F.lit(" "), (n * 1000).cast("string"))), "last_modified": F.when(n % 2 == 0, "2024-01-01").otherwise(""), "created": F.lit("2023-01-01"),
+    }
+    one = F.struct(n.alias("n"), F.struct(*[v.alias(k) for k, v in fields.items()]).alias("r"))
+    packages = table(spark, d, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list(one)).alias("x"))
+    body = F.to_json(F.struct(F.struct(F.col("x.r").alias("resources")).alias("result")))
+    path = scratch_path(spark, "packages")
+    packages.select(body.alias("value")).repartition(5, "value").write.text(path)
+    out = catalog.package_resources_by_line(spark, path)
+    return out.withColumn("place", F.col("place").cast("long"))
+
+
+@query("""select event_id, case when event_type = 'click' then 'unchanged' else 'ok' end as status from events where event_type in ('click', 'view')""")
+def download_status(spark, d):
+    """A download with the hash of the last good attempt is unchanged."""
+    rows = table(spark, d, "events").where("event_type in ('click', 'view')")
+    return manifest.after_download(rows.select("event_id", F.col("event_type").alias("sha256"), F.lit("click").alias("last_sha256"))).select("event_id", "status")
+
+
+@query("""with a as (select event_id % 1000 as id, ts as finished_at, event_type as status, event_id from events) select id, finished_at, status from a qualify row_number() over (partition by id order by finished_at desc) = 1""")
+def attempts_resolved(spark, d):
+    """One row an attempt: the last of those written for it."""
+    rows = table(spark, d, "events").select((F.col("event_id") % 1000).alias("id"), F.col("ts").alias("finished_at"), F.col("event_type").alias("status"), F.lit("x").alias("error"))
+    return manifest.resolved(rows).select("id", "finished_at", "status")
+
+
+@query("""select event_id, cast(json_extract(props, '$.k') as bigint) as k from events""")
+def events_parsed(spark, d):
+    """JSON events by their schema; those cut short give nulls."""
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("k", T.LongType())])
+    body = F.concat(F.lit('{"event_id":'), F.col("event_id").cast("string"), F.lit(','), F.substring("props", 2, 1000))
+    return files.parsed_events(table(spark, d, "events").select(body.alias("value")), "value", schema)
 
 
 @query("""select c_custkey, c_mktsegment from customer where c_nationkey = 3 and c_acctbal > 1000""")

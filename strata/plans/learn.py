@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strata.functions.columns import from_target, to_target
 from strata.ml import folds, models
 from strata.operators import alarms, metrics
 from strata.plans.registry import Registry, table
@@ -67,7 +68,34 @@ def regression_metrics(spark, d):
 @query("""with v as (select p_type, row_number() over (order by p_type) - 1 as i from (select distinct p_type from part where p_partkey % 2 = 0 and p_type <> 'SMALL')) select p_partkey, coalesce(i, -1) as code from part left join v using (p_type)""")
 def ordinal_codes(spark, d):
     part = table(spark, d, "part")
-    return part.select("p_partkey", models.ordinal(part, part.where("p_partkey % 2 = 0 and p_type <> 'SMALL'"), "p_type").cast("long").alias("code"))
+    return models.ordinal(part.select("p_partkey", "p_type"), part.where("p_partkey % 2 = 0 and p_type <> 'SMALL'"), "p_type").select("p_partkey", "code")
+
+
+@query("""with v as (select p_retailprice, row_number() over (order by md5('3|' || p_partkey), p_partkey) as i from part),
+    k as (select p_partkey, row_number() over (order by p_partkey) as i from part) select p_partkey, p_retailprice from k join v using (i)""")
+def permuted_column(spark, d):
+    """The values of a column dealt anew, as permutation importance does it."""
+    return folds.permuted(table(spark, d, "part").select("p_partkey", "p_retailprice"), "p_partkey", "p_retailprice", 3)
+
+
+@query("select p_type as predicted, count(*) as n from part group by 1 order by n desc, 1 limit 1")
+def majority_label(spark, d):
+    part = table(spark, d, "part")
+    return models.majority(part, "p_type").join(part.groupBy(F.col("p_type").alias("predicted")).agg(F.count(F.lit(1)).alias("n")), "predicted")
+
+
+@query("select p_partkey, round(count(*) over () / ((select count(distinct p_type) from part) * count(*) over (partition by p_type)), 6) as weight from part")
+def class_weights(spark, d):
+    return folds.with_weights(table(spark, d, "part"), "p_type").select("p_partkey", F.round("weight", 6).alias("weight"))
+
+
+@query("""with r as (select p_size % 5 as fold, ln(1 + p_retailprice) as t, ln(1 + 900 + p_partkey % 1000) as p from part), s as (select 'log' as scale, fold, t, p from r union all select 'plain', fold, exp(t) - 1, exp(p) - 1 from r),
+    m as (select scale, fold, avg(abs(t - p)) as mae, sqrt(avg(pow(t - p, 2))) as rmse, 1 - sum(pow(t - p, 2)) / nullif(var_pop(t) * count(*), 0) as r2 from s group by 1, 2)
+    select scale, fold, round(mae, 6) as mae, round(rmse, 6) as rmse, round(r2, 3) as r2 from m union all select scale, null, round(avg(mae), 6), round(avg(rmse), 6), round(avg(r2), 3) from m group by 1""")
+def fold_metrics(spark, d):
+    rows = table(spark, d, "part").select((F.col("p_size") % 5).alias("fold"), to_target("p_retailprice").alias("t"), to_target((900 + F.col("p_partkey") % 1000).cast("double")).alias("p"))
+    out = metrics.log_and_plain(rows, "t", "p", "fold", from_target)
+    return out.select("scale", "fold", F.round("mae", 6).alias("mae"), F.round("rmse", 6).alias("rmse"), F.round("r2", 3).alias("r2"))
 
 
 @query("""select event_id, user_id, predicted, greatest(1.0 - value / 60, value / 60) as probability, 'v1' as model_version from (select *, case when value > 40 then 'event' when value > 20 then 'transient' else 'normal' end as predicted from events) where predicted <> 'normal'""")

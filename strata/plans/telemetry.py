@@ -61,6 +61,14 @@ def stream_raw(spark, d):
     return telemetry.run_raw(spark, d)
 
 
+@query("""with b as (select event_id, user_id, epoch_us(ts) - min(epoch_us(ts)) over (partition by user_id) as o from events), l as (select *, max(o) over (partition by user_id) as last from b)
+    select event_id, r as round, o + r * (last + 1000000) as offset_us from l, generate_series(0, 2) t(r)""")
+def replay_looped(spark, d):
+    """The series three times, one round after the other."""
+    rows = replay.with_offset(table(spark, d, "events").select("event_id", "user_id", "ts"), "user_id", "ts")
+    return replay.looped(rows, 3, "user_id").select("event_id", F.col("round").cast("long").alias("round"), "offset_us")
+
+
 SLIDING = f"""with b as (select *, (epoch_us(ts) - min(epoch_us(ts)) over (partition by user_id)) / 1e6 as dt from events), m as (select *, max(dt) over (partition by user_id) as last from b),
     w as (select *, unnest(generate_series(greatest(0, cast(floor((dt - 7 * {DAY}) / {DAY}) as bigint) + 1), cast(floor(dt / {DAY}) as bigint))) as k from m), f as (select * from w where k * {DAY} + 7 * {DAY} <= last)"""
 
@@ -80,6 +88,14 @@ def window_labels(spark, d):
     return sliding.features(rows, "user_id", ["value"], label=code()).select("user_id", "k", "label")
 
 
+@query(f"""{SLIDING} select user_id, k, count(*) as n_rows, case max(case when c between 1 and 99 then 2 when c > 100 then 1 when c = 0 then 0 end) when 2 then 'event' when 1 then 'transient' else 'normal' end as label
+    from (select *, {CODE} as c from f) group by 1, 2 having count(c) > 0""")
+def windows_to_train(spark, d):
+    """Windows with a label only, as training takes them."""
+    rows = sliding.windowed(table(spark, d, "events"), "user_id", "ts", 7 * DAY, DAY)
+    return sliding.features(rows, "user_id", ["value"], label=code(), trained=True).select("user_id", "k", "n_rows", "label")
+
+
 @query("select user_id, cast(greatest(15, ceil(date_diff('second', min(ts), max(ts)) / 1500.0)) as bigint) as step_s from events group by 1")
 def adaptive_step(spark, d):
     last, first = (F.unix_seconds(f("ts").cast("timestamp")) for f in (F.max, F.min))

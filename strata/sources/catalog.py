@@ -9,11 +9,20 @@ from pyspark.sql import functions as F
 
 # a pattern is searched for, whatever the case of all letters
 SEARCH = "(?iu)"
+PACKAGE = "result struct<resources:array<struct<id:string,name:string,url:string,format:string,size:string,last_modified:string,created:string>>>"
 
 
 def package_resources(spark: SparkSession, path: str) -> DataFrame:
     """Resources of catalog packages in JSON files: sizes as numbers, ``created`` where ``last_modified`` is missing."""
-    raw = spark.read.schema("result struct<resources:array<struct<id:string,name:string,url:string,format:string,size:string,last_modified:string,created:string>>>").option("multiLine", True).json(path)
+    return _resources(spark.read.schema(PACKAGE).option("multiLine", True).json(path))
+
+
+def package_resources_by_line(spark: SparkSession, path: str) -> DataFrame:
+    """The same of files with a package a line, which any number of tasks can read."""
+    return _resources(spark.read.schema(PACKAGE).json(path))
+
+
+def _resources(raw: DataFrame) -> DataFrame:
     r = raw.select(F.posexplode("result.resources").alias("place", "r")).select("place", "r.*")
     return r.select("place", F.col("id").alias("resource_id"), "name", "url", F.upper("format").alias("format"), F.trim("size").try_cast("long").alias("size"), F.coalesce(F.nullif("last_modified", F.lit("")), "created").alias("last_modified"))
 
@@ -60,12 +69,14 @@ def within_quotas(files: DataFrame, group: str, name: str, quotas: dict) -> Data
 def dealt(items: DataFrame, item: str, targets: DataFrame, target: str) -> DataFrame:
     """Each item with a target, the i-th item by name with target i modulo their number. No targets is an error.
 
-    Both are lists of names, short enough to number in one task.
+    Both are numbered by stored ranges, so neither needs to be short.
     """
-    n = targets.count()
+    n = targets.select(target).distinct().count()
     if not n:
         raise ValueError("there is no target to deal to")
+    from strata.streaming.replay import numbered
+
     # both in order, numbered from 0
-    number = lambda df, c: df.select(c).distinct().withColumn("i", F.row_number().over(Window.orderBy(c)) - 1)
+    number = lambda df, c: numbered(df.select(c).distinct(), [c]).select(c, (F.col("place") - 1).alias("i"))
     left, right = number(items, item), number(targets, target)
     return left.withColumn("j", F.pmod("i", F.lit(n))).join(right.withColumnRenamed("i", "j"), "j").select(item, target)

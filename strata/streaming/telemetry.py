@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from strata.sources.files import parsed_events
 from strata.sources.scratch import scratch_path
 
 
@@ -20,6 +22,12 @@ class Pace:
     watermark: str = "2 minutes"
     width: str = "1 minute"
     files_per_batch: int = 100
+    events_per_batch: int = 40_000
+    #: How often a batch begins; None: all there is, then the stream ends.
+    every: str | None = None
+
+    def trigger(self) -> dict:
+        return {"processingTime": self.every} if self.every else {"availableNow": True}
 
 
 def json_events(spark: SparkSession, path: str, schema: T.StructType, pace: Pace = Pace()) -> DataFrame:
@@ -27,6 +35,13 @@ def json_events(spark: SparkSession, path: str, schema: T.StructType, pace: Pace
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", pace.files_per_batch).json(path)
 
 
+def kafka_events(spark: SparkSession, servers: str, topic: str, schema: T.StructType, pace: Pace = Pace()) -> DataFrame:
+    """A stream of the JSON values of a topic, from its beginning and at most so many events a batch; needs Spark's Kafka connector.
+    Offsets are in the checkpoint, so a restart goes on where the last batch ended."""
+    options = {"kafka.bootstrap.servers": servers, "subscribe": topic, "startingOffsets": "earliest", "maxOffsetsPerTrigger": pace.events_per_batch, "failOnDataLoss": "false"}
+    return parsed_events(spark.readStream.format("kafka").options(**options).load(), "value", schema)
+
+
 def tumbling(events: DataFrame, width: str, sensors: Sequence[str]) -> DataFrame:
     """Per window and ``series``: rows; mean, least and greatest of each sensor; the greatest ``code``."""
     found = [f(s).alias(f"{n}_{s}") for s in sensors for n, f in (("avg", F.avg), ("min", F.min), ("max", F.max))]
@@ -40,16 +55,16 @@ def plain(rows: DataFrame) -> DataFrame:
     return out.withColumns({c: F.round(c, 6) for c in rows.columns if c.startswith("avg_")})
 
 
-def start_raw(events: DataFrame, out: str, checkpoint: str, name: str = "raw") -> StreamingQuery:
+def start_raw(events: DataFrame, out: str, checkpoint: str, name: str = "raw", pace: Pace = Pace()) -> StreamingQuery:
     """Every event, by day, however late."""
     rows = events.withColumn("event_date", F.to_date("event_time"))
-    return rows.writeStream.queryName(name).format("parquet").outputMode("append").partitionBy("event_date").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return rows.writeStream.queryName(name).format("parquet").outputMode("append").partitionBy("event_date").option("path", out).option("checkpointLocation", checkpoint).trigger(**pace.trigger()).start()
 
 
 def start_tumbling(events: DataFrame, out: str, checkpoint: str, sensors: Sequence[str], pace: Pace = Pace(), name: str = "tumbling") -> StreamingQuery:
     """Windows once the watermark has passed them. Events behind it are left out of them, and counted."""
     rows = tumbling(events.withWatermark("event_time", pace.watermark), pace.width, sensors)
-    return rows.writeStream.queryName(name).format("parquet").outputMode("append").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return rows.writeStream.queryName(name).format("parquet").outputMode("append").option("path", out).option("checkpointLocation", checkpoint).trigger(**pace.trigger()).start()
 
 
 def progress(query: StreamingQuery) -> dict[str, int]:
@@ -62,6 +77,24 @@ def progress(query: StreamingQuery) -> dict[str, int]:
     return {"rows_read": read, "rows_written": written, "rows_dropped": dropped}
 
 
+def run_for(queries: Sequence[StreamingQuery], seconds: float, beat: float = 5.0, report=print) -> dict[str, dict[str, int]]:
+    """Lets the streams run for so long, or until one ends, and reports the progress of each at every beat. Then all are stopped; a
+    failure is raised after that."""
+    until = time.monotonic() + seconds
+    try:
+        while time.monotonic() < until and all(q.isActive for q in queries):
+            queries[0].awaitTermination(max(0.1, min(beat, until - time.monotonic())))
+            report({q.name: progress(q) for q in queries})
+    finally:
+        found = {q.name: progress(q) for q in queries}
+        failed = [e for q in queries if (e := q.exception())]
+        for q in queries:
+            q.stop()
+    if failed:
+        raise failed[0]
+    return found
+
+
 def finish(*queries: StreamingQuery) -> None:
     """Waits for all; the first failure is raised after the others have ended."""
     failed = None
