@@ -20,6 +20,7 @@ select doc_id, coalesce(n.n, 0) as n_shingles, c as component_id, doc_id = c as
 
 def op4(mix: Mix = Mix()) -> str:
     weights = ", ".join(map(str, mix.weights))
+    hashed = lambda *parts: f"substr(md5(concat_ws('|', '{mix.seed}', {', '.join(parts)})), 1, 16)"
     return rf"""
 with d as (select doc_id, source, len({WORDS}) as size, substr(md5(concat_ws('|', '{mix.seed}', doc_id)), 1, 16) as h from documents),
 k as (select *, substr(h, 1, {mix.block_digits}) as block from d),
@@ -40,9 +41,53 @@ y as (select z.*, case part when 'all' then 'g' when 'cut' then x.cut end as cut
 a as (select *, rest - sum(got) over (partition by source) as short from y),
 f as (select k.source, k.block, k.h, k.size, short from k join a on k.source is not distinct from a.source and k.block = a.block where rest > 0 and (cut is null or h > cut)),
 i as (select source, short, min((abs(short - size), h, block)) as best from f group by 1, 2),
-j as (select f.source, f.block, f.h as last, f.short from f join i on f.source is not distinct from i.source and f.h = best[2] and f.block = best[3] group by all having abs(f.short - sum(f.size)) < abs(f.short))
-select doc_id, k.size, source_size, target, (k.size * (passes + case when h <= cut or h = last then 1 else 0 end))::bigint as taken, k.source
-from k join a on k.source is not distinct from a.source and k.block = a.block left join j on k.source is not distinct from j.source and k.block = j.block"""
+j as (select f.source, f.block, f.h as last, f.short from f join i on f.source is not distinct from i.source and f.h = best[2] and f.block = best[3] group by all having abs(f.short - sum(f.size)) < abs(f.short)),
+    pl as (select a.source, a.block, passes, cut, last from a left join j on a.source is not distinct from j.source and a.block = j.block),
+    un as (select source, block, draw from (select *, unnest(range(0, passes::bigint + 1)) as draw from pl) where draw < passes or cut is not null or last is not null),
+    rk as (select *, row_number() over (partition by source order by {hashed("'unit'", "coalesce(source, '')", "block", "draw")}, block, draw) as place from un),
+    t0 as (select 0 as shard, list({{'source': source, 'n': n}} order by source nulls last) as q from (select source, count(*) as n from un group by 1)),
+    {_tree(mix, hashed)},
+    sq as (select shard, x.source as source, sum(x.n) over (partition by x.source order by shard) as fin, x.n as n from (select shard, unnest(q) as x from t{mix.shards.bit_length() - 1})),
+    us as (select rk.source, block, draw, shard from rk join sq on rk.source is not distinct from sq.source and place > fin - n and place <= fin),
+    dl as (select source, block, list(shard order by draw) as shards from us group by 1, 2),
+    e as (select k.doc_id, k.size, k.source, passes + case when h <= cut or h = last then 1 else 0 end as times, shards, s.source_size, t.target from k join pl on k.source is not distinct from pl.source and k.block = pl.block
+        left join dl on k.source is not distinct from dl.source and k.block = dl.block join s on k.source is not distinct from s.source join t on k.source is not distinct from t.source)
+    select doc_id, size, source_size, target, (size * times)::bigint as taken, coalesce(array_to_string(list_sort(shards[:times::bigint]), ','), '') as shards, source from e"""
+
+
+def _hypergeometric(total: str, n: str, left: str, u: str) -> str:
+    """The quantile that ``mixing.hypergeometric`` gives: weights from one number to the next, and the first that reaches the share."""
+    mean = f"({left} * {n} / {total})"
+    spread = f"(ceil(12 * sqrt({mean} * (1 - {n} / {total}) * ({total} - {left}) / greatest({total} - 1, 1))) + 12)"
+    numbers = f"range(greatest(0, {left} - ({total} - {n}), floor({mean}) - {spread})::bigint, least({n}, {left}, floor({mean}) + {spread})::bigint + 1)"
+    weight = f"b.w * (({n} - z.k)::double * ({left} - z.k)) / ((z.k + 1)::double * ({total} - {n} - {left} + z.k + 1))"
+
+    def fold(goal: str) -> str:
+        state = f"{{'k': case when b.k < 0 and b.s + b.w >= {goal} then z.k else b.k end, 'w': {weight}, 's': b.s + b.w}}"
+        rows = f"list_transform({numbers}, lambda i: {{'k': i, 'w': 0.0::double, 's': 0.0::double}})"
+        return f"list_reduce({rows}, lambda b, z: {state}, {{'k': -1::bigint, 'w': 1.0::double, 's': 0.0::double}})"
+
+    return f"({fold(f'({u} * ' + fold('1e308::double') + '.s)')}).k"
+
+
+def _tree(mix: Mix, hashed) -> str:
+    """The splitting tree, level by level: at each node the sources in turn draw what the left half gets."""
+    out, width = [], mix.shards
+    for level in range(mix.shards.bit_length() - 1):
+        width //= 2
+        draw = hashed("'split'", str(width), "shard", "coalesce(x.source, '')")
+        u = f"((('0x' || {draw}[:12])::bigint::double + 0.5) / 281474976710656.0)"
+        k = f"case when acc.total = 0 then 0 else {_hypergeometric('acc.total', 'x.n', 'acc.rest', u)} end"
+        state = "{{'source': {0}, 'n': {1}, 'total': {2}, 'rest': {3}, 'got': {4}}}".format
+        rows = f"list_transform(q, lambda y: {state('y.source', 'y.n::bigint', '0::bigint', '0::bigint', '[]::bigint[]')})"
+        begin = state("null::varchar", "0::bigint", "total::bigint", "half::bigint", "[]::bigint[]")
+        fold = f"list_reduce({rows}, lambda acc, x: {state('null::varchar', '0::bigint', 'acc.total - x.n', f'(acc.rest - {k})::bigint', f'list_append(acc.got, ({k})::bigint)')}, {begin}).got"
+        odd = f"(('0x' || {hashed(str(width), 'shard')}[:1])::bigint % 2)"
+        out.append(f"""c{level} as (select shard, q, total, ((total + {odd}) // 2)::bigint as half from (select *, list_sum(list_transform(q, lambda y: y.n))::bigint as total from t{level})),
+    g{level} as (select shard, q, {fold} as got from c{level}),
+    t{level + 1} as (select shard, list_transform(list_zip(q, got), lambda z: {{'source': z[1].source, 'n': z[2]::bigint}}) as q from g{level}
+        union all select shard + {width}, list_transform(list_zip(q, got), lambda z: {{'source': z[1].source, 'n': (z[1].n - z[2])::bigint}}) from g{level})""")
+    return ",\n    ".join(out)
 
 
 OP5 = rf"""

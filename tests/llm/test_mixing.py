@@ -1,3 +1,8 @@
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
 from strata.llm import mixing
 from tests.llm.common import empty_documents, odd_documents, prose
 
@@ -26,7 +31,7 @@ def water(sizes, percent=150, most=2, weights=(5, 2, 1)):
 
 def test_targets_and_taken(spark):
     docs = corpus(spark)
-    rows = mixing.sized(docs).select("row.doc_id", "size", "source", "h", "block")
+    rows = mixing.blocked(mixing.sized(docs), mixing.Mix()).select("row.doc_id", "size", "source", "h", "block")
     out = mixing.placed(rows, mixing.drawn(rows)).collect()
     assert len(out) == docs.count()
     sizes, taken, largest, target = {}, {}, {}, {}
@@ -48,20 +53,54 @@ def test_reruns_agree_and_rows_come_as_often_as_drawn(spark):
     a, b = mixing.mix_documents(docs), mixing.mix_documents(docs.repartition(7))
     assert a.schema == docs.schema
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
-    rows = mixing.sized(docs).drop("row")
+    rows = mixing.blocked(mixing.sized(docs), mixing.Mix()).drop("row")
     drawn = sum(len(r["shards"]) for r in mixing.placed(rows, mixing.drawn(rows)).collect())
     assert a.count() == drawn
 
 
-def test_units_are_dealt_evenly(spark):
-    units = spark.range(1001).selectExpr("cast(id % 3 as string) as source", "lpad(hex(id), 4, '0') as block", "0 as draw")
-    counts = [r["count"] for r in mixing.deal(units, mixing.Mix(shards=8)).groupBy("shard").count().collect()]
-    assert len(counts) == 8 and sum(counts) == 1001 and max(counts) - min(counts) <= 2
+def test_tree_splits_quotas_exactly(spark):
+    units = spark.range(1001).selectExpr("nullif(cast(id % 4 as string), '3') as source", "lpad(hex(id), 4, '0') as block", "0 as draw")
+    mix = mixing.Mix(shards=8)
+    quotas = mixing.deal(units, mix).collect()
+    by_shard, by_source = {}, {}
+    for r in quotas:
+        by_shard[r["shard"]] = by_shard.get(r["shard"], 0) + r["n"]
+        by_source[r["source"]] = by_source.get(r["source"], 0) + r["n"]
+    assert sorted(by_shard) == list(range(8)) and sum(by_shard.values()) == 1001 and max(by_shard.values()) - min(by_shard.values()) <= 2
+    assert by_source == {r["source"]: r["count"] for r in units.groupBy("source").count().collect()}
+    # disjoint blocks, each shard's as many of a source as its quota
+    dealt = mixing.dealt_units(units, mixing.deal(units, mix), mix).collect()
+    assert len({r["block"] for r in dealt}) == len(dealt) == 1001
+    got = {}
+    for r in dealt:
+        got[r["shard"], r["source"]] = got.get((r["shard"], r["source"]), 0) + 1
+    assert got == {(r["shard"], r["source"]): r["n"] for r in quotas}
+
+
+@pytest.mark.parametrize("total, n, left", [(20, 7, 10), (50, 45, 25), (9, 9, 4), (30, 1, 15), (400, 200, 200)])
+def test_draws_follow_the_hypergeometric_distribution(spark, total, n, left):
+    """The quantiles of evenly spread shares are those of the exact distribution."""
+    shares = [(i + 0.5) / 500 for i in range(500)]
+    rows = spark.createDataFrame([(u,) for u in shares], "u double")
+    args = [F.lit(x).cast("long") for x in (total, n, left)]
+    got = [r["k"] for r in rows.select("u", mixing.hypergeometric(*args, F.col("u")).alias("k")).orderBy("u").collect()]
+    exact, cumulated = math.comb(total, left), {}
+    for k in range(max(0, left - total + n), min(n, left) + 1):
+        cumulated[k] = sum(math.comb(n, j) * math.comb(total - n, left - j) for j in range(k + 1)) / exact
+    want = [next(k for k, c in cumulated.items() if c >= u - 1e-12) for u in shares]
+    assert sum(a != b for a, b in zip(got, want)) <= 1
+
+
+def test_blocks_and_shards_grow_with_the_words(spark):
+    rows = spark.createDataFrame([(10**9, "a"), (10**6, "b")], "size long, source string")
+    mix = mixing.fitted(rows, mixing.Mix(shard_words=10**7, block_words=10**5))
+    assert mix.shards == 256 and 16 ** (mix.block_digits - 1) < 10**4 <= 16**mix.block_digits
+    assert mixing.fitted(rows.limit(0)) == mixing.Mix()
 
 
 def test_odd_documents(spark):
     docs = odd_documents(spark)
-    rows = mixing.sized(docs)
+    rows = mixing.blocked(mixing.sized(docs), mixing.Mix())
     out = mixing.placed(rows, mixing.drawn(rows.drop("row")))
     assert out.count() == docs.count()
     assert mixing.mix_documents(docs).schema == docs.schema
@@ -72,8 +111,8 @@ def test_odd_documents(spark):
 
 def test_taken_is_what_the_mix_emits(spark, monkeypatch):
     docs = corpus(spark, 100).union(corpus(spark, 100).where("doc_id < 5"))
-    rows = mixing.sized(docs).select("row.doc_id", "size", "source", "h", "block")
-    want = mixing.placed(rows, mixing.drawn(rows)).selectExpr("doc_id", "size", "source_size", "target", "size * size(shards) as taken", "source").collect()
+    rows = mixing.blocked(mixing.sized(docs), mixing.Mix()).select("row.doc_id", "size", "source", "h", "block")
+    want = mixing.placed(rows, mixing.drawn(rows)).selectExpr("doc_id", "size", "source_size", "target", "size * size(shards) as taken", "array_join(array_sort(shards), ',') as shards", "source").collect()
     assert sorted(map(str, mixing.accounted(docs).collect())) == sorted(map(str, want))
     real = mixing.emitted
     # a mix that lacks a shard differs from its plan, and that shows
