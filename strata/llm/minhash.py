@@ -5,8 +5,8 @@ signature's coordinates; values that only one class has are dropped, as they can
 above the similarity agrees in ``least`` of the ``size`` coordinates (but for a chance of ``miss``), so if
 each class orders its coordinates from the rarest value to the most frequent, one of the first
 ``size - least + 1`` is common to both: only these prefixes are joined, and the long lists of frequent
-values are skipped. The coordinates of joined pairs are then counted, pairs below ``least`` go, and
-the rest are confirmed on their full sets of shingles.
+values are skipped. A pair's collisions are counted over the lists that join it; where these are too few to tell, the
+lists that were skipped are merged too. Pairs below ``least`` go, and the rest are confirmed on their full sets of shingles.
 
 A value that very many classes share is not joined with itself. Its classes are first compared with the
 one whose values are the most common of all, the centre of the group if there is one. Lists that this leaves in
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import stored, text_of
+from strata.llm.common import hot_keys, spread_join, stored, text_of
 from strata.llm.graph import components
 from strata.llm.tokens import LOWER, coded_words, hash_each, mix, run_hashes, slices
 
@@ -125,11 +125,12 @@ def full_sets(docs: DataFrame, ids: DataFrame, near: Near, key: str = "doc_id",
     return _only(rows, ids, near).mapInArrow(run, "id long, set array<long>")
 
 
-def _confirm(pairs: DataFrame, classes: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
-    """The pairs (``a``, ``b``) that agree in enough coordinates and whose full sets are similar enough."""
-    sig = classes.select(F.col("id"), "sig")
-    pairs = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b")
-    agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
+def _confirm(pairs: DataFrame, own: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
+    """The pairs (``a``, ``b``, ``seen``: collisions counted so far) that collide in enough coordinates and whose full sets are similar
+    enough. ``own`` has the posting lists of each class, those that its prefix skips too."""
+    lists = own.select("id", F.col("values.value").alias("lists"))
+    pairs = pairs.join(lists.toDF("a", "la"), "a").join(lists.toDF("b", "lb"), "b")
+    agree = F.when(F.col("seen") >= near.least, F.col("seen")).otherwise(F.size(F.array_intersect("la", "lb")))
     pairs = pairs.where(agree >= near.least).select("a", "b")
     pairs = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     both = F.size(F.array_intersect("x", "y")).cast("long")
@@ -146,22 +147,27 @@ def links(docs: DataFrame, classes: DataFrame, near: Near, key: str = "doc_id",
     t = near.least
     posted = classes.select("id", F.explode("sig").alias("value"))
     shared = posted.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    own = posted.join(shared, "value").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "value"))).alias("values"))
+    shared = stored(shared, "shared")
+    own = spread_join(posted, shared, ["value"], hot_keys(shared, "value")).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "value"))).alias("values"))
     own = own.where(F.size("values") >= t).withColumn("weight", F.aggregate("values", F.lit(0).cast("long"), lambda s, v: s + v["n"]))
     own = stored(own, "prefixes")
 
     # a list is the classes that have a value in their prefixes
     lists = own.select("id", "weight", F.explode(F.slice(F.col("values.value"), F.lit(1), F.size("values") - (t - 1))).alias("list"))
     centres = lists.groupBy("list").agg(F.max(F.struct("weight", (-F.col("id")).alias("id"))).alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    lists = stored(lists.join(centres.select("list", (-F.col("top.id")).alias("centre")), "list").select("id", "list", "centre"), "lists")
+    centres = stored(centres.select("list", (-F.col("top.id")).alias("centre"), "n"), "centres")
+    lists = stored(spread_join(lists, centres.drop("n"), ["list"], hot_keys(centres, "list")).select("id", "list", "centre"), "lists")
     sets = stored(full_sets(docs, stored(lists.select("id").distinct(), "ids"), near, key, text), "sets")
-    pairs = lists.where("id <> centre").select(*_ordered("id", "centre")).distinct()
-    found = stored(_confirm(pairs, classes, sets, near), "centre-links")
+    pairs = lists.where("id <> centre").select(*_ordered("id", "centre")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("seen"))
+    found = stored(_confirm(pairs, own, sets, near), "centre-links")
 
     rows = lists.select("list", "id").join(components(found), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = rows.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("list")
-    left = stored(rows.join(mixed, "list").select("id", "component").distinct(), "left")
-    more = _confirm(stored(_early_pairs(sets.join(left, "id"), near), "early-pairs"), classes, sets, near)
+    rows = stored(rows, "components")
+    mixed = rows.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
+    mixed = stored(mixed.select("list", "n"), "mixed-lists")
+    left = stored(spread_join(rows, mixed.select("list"), ["list"], hot_keys(mixed, "list")).select("id", "component").distinct(), "left")
+    more = stored(_early_pairs(sets.join(left, "id"), near), "early-pairs").withColumn("seen", F.lit(0))
+    more = _confirm(more, own, sets, near)
     return stored(found.union(more), "links")
 
 
