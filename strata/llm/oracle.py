@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from strata.llm.mixing import Mix
-from strata.llm.quality_rules import COMMON, Limits
+from strata.llm.quality_rules import Limits
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -119,22 +119,24 @@ select doc_id, len(w) as n_words, coalesce(n_removed, 0) as n_removed, sha256(co
 
 
 def op10(limits: Limits = Limits()) -> str:
-    listed = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
-    lists = "case l " + " ".join(f"when '{k}' then {listed(v)}" for k, v in COMMON.items()) + " end"
-    hits = ", ".join(f"{{'n': len(list_filter(t, lambda x: list_contains({listed(v)}, x))), 'k': '{k}'}}" for k, v in COMMON.items())
-    known = ", ".join(f"'{k}'" for k in COMMON)
     classes = [r"\p{Ll}", r"\p{Lu}", "[0-9]", r"[\x09-\x0D\x20]", r"[.,;:!?''\"()\-]", "[#*$%&|<>]"]
     chars = ", ".join(f"length(text) - length(regexp_replace(text, '{c}+', '', 'g'))" for c in classes)
     share = lambda v: f"list_transform({v}, lambda x: floor(x * 1000000 / greatest(list_sum({v}), 1)))"
     sums = lambda v, n: "[" + ", ".join(f"sum({v}[{i + 1}])" for i in range(n)) + "]"
     term = "(case when x > 0 then x * log2(x / ((x + y) / 2)) else 0 end + case when y > 0 then y * log2(y / ((x + y) / 2)) else 0 end) / 2"
     distance = lambda p, q: f"sqrt(greatest(0, list_sum(list_transform(list_zip({p}, {q}), lambda z: {term.replace('x', 'z[1]/greatest(list_sum(' + p + '),1)').replace('y', 'z[2]/greatest(list_sum(' + q + '),1)')}))))"
-    w, n = limits.window, max(map(len, COMMON.values())) + 1
+    w, n = limits.window, limits.common + 1
+    part, fewer = limits.least_common, f"list_transform(rw[:{n - 1}], lambda i: i * {limits.least_common})"
     return rf"""
 with d as (select doc_id, lang, coalesce(text, '') as text, {WORDS} as w from documents),
 t as (select *, regexp_extract_all(lower(text), '\p{{L}}+') as t, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from d),
-l as (select *, case when lang in ({known}) then lang else (case when list_max([{hits}]).n > 0 then list_max([{hits}]).k end) end as l from t),
-c as (select *, [{chars}] as cc, {lists} as common from l),
+nl as (select lang, count(*) as n from documents where lang is not null group by 1),
+wc as (select lang, word, count(*) as n from (select lang, unnest(list_distinct(t)) as word from t where lang is not null) group by 1, 2),
+ll as (select lang, list(word order by place) as listed from (select *, row_number() over (partition by lang order by n desc, word) as place from wc) where place <= {limits.common}
+    and lang in (select lang from nl where n * {limits.most_languages} >= (select sum(n) from nl)) group by 1),
+bl as (select doc_id, max((hits, ll.lang)) as best from (select doc_id, t from t where lang is null or lang not in (select lang from ll)) o cross join ll cross join lateral (select len(list_filter(o.t, lambda x: list_contains(ll.listed, x))) as hits) group by 1),
+l as (select t.*, case when t.lang in (select lang from ll) then t.lang when best[1] > 0 then best[2] end as l from t left join bl using (doc_id)),
+c as (select l.*, [{chars}] as cc, listed || list_transform(range({limits.common} - len(listed)), lambda x: '') as common from l left join ll on l.l = ll.lang),
 h as (select *, list_append(cc, length(text) - list_sum(cc)) as chars, list_transform(common, lambda k: len(list_filter(t, lambda x: x = k))) as hit from c),
 m as (select *, list_append(hit, len(t) - list_sum(hit)) as words from h),
 r as (select l as rl, {sums(share('chars'), len(classes) + 1)} as rc, {sums(share('words'), n)} as rw from m where l is not null and len(t) >= {limits.min_judged} group by 1),
@@ -142,9 +144,10 @@ v as (select doc_id, i, array_to_string(list_slice(w, i, i + {w - 1}), ' ') as s
 o as (select doc_id, count(distinct k) as n_repeat from (select doc_id, unnest(generate_series(i, i + {w - 1})) as k from (select *, count(*) over (partition by doc_id, s) as n from v) where n > 1) group by 1),
 b as (select m.doc_id, len(w) as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols,
     len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(n_repeat, 0) as n_repeat_words, case when rl is not null and len(w) >= {limits.min_judged} then {distance('chars', 'rc')} end as dc,
-    case when rl is not null and len(w) >= {limits.min_judged} then {distance('words', 'rw')} end as dw from m left join r on l = rl left join o on o.doc_id = m.doc_id),
+    case when rl is not null and len(w) >= {limits.min_judged} then {distance('words', 'rw')} end as dw,
+    1 - rw[{n}] / greatest(list_sum(rw), 1) as ref_share, len(t) as n_letters, 1 - words[{n}] / greatest(len(t), 1) as own_share, {distance('lw', 'rw')} as lim from m left join (select *, list_append({fewer}, list_sum(rw) - list_sum({fewer})) as lw from r) r on l = rl left join o on o.doc_id = m.doc_id),
 f as (select *, n_words < {limits.min_words} or 100 * n_repeat_words > {limits.max_repeat_percent} * n_words as base_failed from b)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and coalesce(dc, 0) <= {limits.max_char_distance} and coalesce(dw, 0) <= {limits.max_word_distance} as kept from f"""
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and coalesce(dc, 0) <= {limits.max_char_distance} and coalesce(dw, 0) <= case when ref_share * n_letters >= {limits.min_expected} and own_share < ref_share then least(lim, {limits.max_word_distance}) else {limits.max_word_distance} end as kept from f"""
 
 
 ORACLE_SQL: dict[str, str] = {

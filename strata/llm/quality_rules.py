@@ -1,7 +1,7 @@
 """Quality rules: counts over whole texts, and the divergence of a text's histograms from its language's.
 
-Each document has a histogram of character classes and one of its language's most common words. The
-references are the mean histograms of all documents of a language that are long enough. A document
+Each document has a histogram of character classes and one of its language's most common words, which are learned from
+all documents of the language. The references are the mean histograms of all documents of a language that are long enough. A document
 that is long enough is rejected when the Jensen-Shannon distance of either histogram from its
 reference exceeds a limit. A text without common words is never far from its reference, most words of which
 are other words too; so for lack of common words the limit follows from the reference. All of it is
@@ -12,20 +12,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.llm.common import let, packed, text_of, total, words_of
+from strata.llm.common import let, packed, stored, text_of, total, words_of
 
-# The twelve most common words of each language, and the classes of characters.
-COMMON = {
-    "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "ist", "auf", "für"],
-    "en": ["the", "of", "and", "to", "in", "a", "is", "that", "for", "it", "with", "as"],
-    "es": ["de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un"],
-    "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est"],
-}
+# The classes of characters.
 CLASSES = [r"\p{Ll}", r"\p{Lu}", r"[0-9]", r"[\x09-\x0D\x20]", r"[.,;:!?'\"()\-]", r"[#*$%&|<>]"]
 
+#: The common words of each language, by their place.
+Common = dict[str, list[str]]
+
 PPM = 1_000_000
 
 
@@ -44,6 +41,10 @@ class Limits:
     #: if so many would be expected in it: of fewer, chance alone may leave none. None: no such limit.
     least_common: float | None = 0.10
     min_expected: int = 10
+    #: Common words of a language; and the part of the documents with a language, one in so many, that it needs to have a list: so there
+    #: are at most so many lists.
+    common: int = 12
+    most_languages: int = 1000
 
 
 def repeated_words(words: Column, window: int) -> Column:
@@ -72,23 +73,51 @@ def repeated_words(words: Column, window: int) -> Column:
     return F.when(F.size(words) <= window, F.lit(0).cast("long")).otherwise(let(singles, lambda h: joined(h, 1)))
 
 
-def _language(lang: Column, letters: Column) -> Column:
+def _letters(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), r"\P{L}+"), lambda w: w != "")
+
+
+def common_words(docs: DataFrame, limits: Limits = Limits(), text: str = "text", lang: str = "lang") -> Common:
+    """The words that most documents of a language have, of each language that is not too rare; of equals the first by code point.
+
+    All documents with a language count. Words are counted in each task first. The result is bounded by ``Limits``: at most
+    ``most_languages`` times ``common`` words come to the driver.
+    """
+    rows = docs.select(F.col(lang).cast("string").alias("l"), text_of(text).alias("t")).where("l is not null")
+    sizes = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n"))
+    # one row a language
+    every = F.sum("n").over(Window.partitionBy())
+    large = sizes.withColumn("every", every).where(F.col("n") * limits.most_languages >= F.col("every")).select("l")
+    words = rows.select("l", F.explode(F.array_distinct(_letters(F.col("t")))).alias("w")).groupBy("l", "w").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy("l").orderBy(F.col("n").desc(), "w"))
+    best = words.withColumn("place", place).where(F.col("place") <= limits.common).join(F.broadcast(large), "l", "left_semi")
+    found = best.groupBy("l").agg(F.sort_array(F.collect_list(F.struct("place", "w")))["w"].alias("words"))
+    return {r["l"]: list(r["words"]) for r in found.orderBy("l").collect()}
+
+
+def _language(lang: Column, letters: Column, common: Common) -> Column:
     """The given language if there is a word list for it, else the one with most of its words in the text."""
+    if not common:
+        return F.lit(None).cast("string")
+
     def hits_of(words: list[str]) -> Column:
         return F.size(F.filter(letters, lambda w: w.isin(words)))
 
-    hits = [F.struct(hits_of(words).alias("n"), F.lit(k).alias("k")) for k, words in COMMON.items()]
+    hits = [F.struct(hits_of(words).alias("n"), F.lit(k).alias("k")) for k, words in common.items()]
     best = F.array_max(F.array(*hits))
-    return F.when(lang.isin(list(COMMON)), lang).otherwise(F.when(best["n"] > 0, best["k"]))
+    return F.when(lang.isin(list(common)), lang).otherwise(F.when(best["n"] > 0, best["k"]))
 
 
-def _word_histogram(language: Column, letters: Column) -> Column:
-    lists = F.create_map(*[x for k, v in COMMON.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+def _word_histogram(language: Column, letters: Column, common: Common, bins: int) -> Column:
+    if not common:
+        return F.lit(None).cast("array<int>")
+    padded = {k: v + [""] * (bins - len(v)) for k, v in common.items()}
+    lists = F.create_map(*[x for k, v in padded.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
 
-    def counted(common: Column) -> Column:
-        return let(F.transform(lists[language], lambda k: F.size(F.filter(common, lambda w: w == k))), lambda n: F.concat(n, F.array((F.size(letters) - total(n)).cast("int"))))
+    def counted(found: Column) -> Column:
+        return let(F.transform(lists[language], lambda k: F.size(F.filter(found, lambda w: w == k))), lambda n: F.concat(n, F.array((F.size(letters) - total(n)).cast("int"))))
 
-    every = sorted({w for v in COMMON.values() for w in v})
+    every = sorted({w for v in common.values() for w in v})
     return let(F.filter(letters, lambda w: w.isin(every)), counted)
 
 
@@ -103,14 +132,13 @@ def _char_histogram(text: Column) -> Column:
     return counted(text, CLASSES, [])
 
 
-def histograms(text: Column, lang: Column) -> Column:
+def histograms(text: Column, lang: Column, common: Common, bins: int) -> Column:
     """Struct of ``language`` and the two histograms (``chars``, ``common``: arrays of counts)."""
-    letters = F.filter(F.split(F.lower(text), r"\P{L}+"), lambda w: w != "")
 
     def of_letters(ws: Column) -> Column:
-        return let(_language(lang, ws), lambda k: F.struct(k.alias("language"), _char_histogram(text).alias("chars"), _word_histogram(k, ws).alias("common")))
+        return let(_language(lang, ws, common), lambda k: F.struct(k.alias("language"), _char_histogram(text).alias("chars"), _word_histogram(k, ws, common, bins).alias("common")))
 
-    return let(letters, of_letters)
+    return let(_letters(text), of_letters)
 
 
 def _shares(counts: Column) -> Column:
@@ -146,9 +174,10 @@ def _common_share(common: Column) -> Column:
 
 
 def measure(docs: DataFrame, limits: Limits = Limits(), text: str = "text", lang: str = "lang") -> DataFrame:
-    """``row`` (all columns of ``docs``), ``m`` (the counts) and ``h`` (the histograms) of each row."""
-    body = text_of(text)
-    return docs.select(packed(docs).alias("row"), counts(body, limits).alias("m"), histograms(body, F.col(lang).cast("string")).alias("h"))
+    """``row`` (all columns of ``docs``), ``m`` (the counts) and ``h`` (the histograms) of each row. The words of the histograms are
+    learned from ``docs``."""
+    body, common = text_of(text), common_words(docs, limits, text, lang)
+    return docs.select(packed(docs).alias("row"), counts(body, limits).alias("m"), histograms(body, F.col(lang).cast("string"), common, limits.common).alias("h"))
 
 
 def language_references(measured: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -158,7 +187,7 @@ def language_references(measured: DataFrame, limits: Limits = Limits()) -> DataF
     # nulls, as a filter would be pushed below the histograms and make them again
     h = measured.select("h").select("h.*", (total(F.col("h.common")) >= limits.min_judged).alias("long"))
     h = h.select("language", F.when(F.col("long"), _shares(F.col("chars"))).alias("chars"), F.when(F.col("long"), _shares(F.col("common"))).alias("common"))
-    n_chars, n_common = len(CLASSES) + 1, max(map(len, COMMON.values())) + 1
+    n_chars, n_common = len(CLASSES) + 1, limits.common + 1
     sums = [F.sum(F.get("chars", F.lit(i))).alias(f"c{i}") for i in range(n_chars)] + [F.sum(F.get("common", F.lit(i))).alias(f"w{i}") for i in range(n_common)]
     return h.groupBy("language").agg(*sums).select(
         F.col("language").alias("ref_language"),
@@ -186,11 +215,11 @@ def counts(text: Column, limits: Limits = Limits()) -> Column:
 def judge(measured: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """What ``measure`` gave, with ``base_failed``, ``char_distance``, ``word_distance``, ``word_limit`` and ``kept``.
 
-    A null text counts as an empty one: no words, so it fails. A null or unknown language is taken from
+    A null text counts as an empty one: no words, so it fails. A null or very rare language is taken from
     the common words; with none of them there, or no reference of the language, the distances are null and
-    reject nothing. Repeated rows are judged alike. An empty table gives an empty one.
+    reject nothing. Repeated rows are judged alike. An empty table gives an empty one. Very long texts are counted whole.
     """
-    # at most len(COMMON) + 1 rows of fixed width: a bound that no input moves
+    # at most a row a word list, and one more, of fixed width: a bound that no input moves
     refs = language_references(measured, limits)
     limit = F.lit(limits.max_word_distance) if limits.least_common is None else _word_limit(F.col("ref_common"), limits.least_common)
     refs = F.broadcast(refs.withColumns({"word_limit": limit, "ref_share": _common_share(F.col("ref_common"))}))
@@ -210,5 +239,5 @@ def judge(measured: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, limits: Limits = Limits(), text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, as they were."""
-    return judge(measure(docs, limits, text, lang), limits).where("kept").select("row.*")
+    """The rows of ``docs`` that the rules keep, as they were. What was measured is stored, so nothing is counted twice."""
+    return judge(stored(measure(docs, limits, text, lang), "measured"), limits).where("kept").select("row.*")

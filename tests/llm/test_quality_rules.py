@@ -45,8 +45,11 @@ def test_divergent_text_goes_and_prose_stays(spark):
 
 
 def test_text_without_common_words_goes_by_the_word_distance_alone(spark):
+    letters = str.maketrans("0123456789", "abcdefghij")
+
+    # words of letters alone: each is in one document only, so none is learned as a common one
     def text(i, common):
-        return " ".join(["the", "of", "and", "to", "in"][k // 5 % 5] if common and k % 5 == 0 else f"w{i}{k}" for k in range(200))
+        return " ".join(["the", "of", "and", "to", "in"][k // 5 % 5] if common and k % 5 == 0 else f"w{i}{k}".translate(letters) for k in range(200))
 
     rows = [(i, text(i, True), "en") for i in range(40)] + [(100, text(100, False), "en"), (101, text(101, False), None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
@@ -56,6 +59,14 @@ def test_text_without_common_words_goes_by_the_word_distance_alone(spark):
     assert not r["base_failed"] and r["char_distance"] < 0.30 and r["word_limit"] < r["word_distance"] < 0.60
 
 
+def test_common_words_are_learned_of_every_language(spark):
+    rows = [(i, f"ba na na ba {i} ga", "qx") for i in range(9)] + [(20 + i, "le chat", "fr") for i in range(3)] + [(50, "le ba", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert quality_rules.common_words(docs) == {"fr": ["chat", "le"], "qx": ["ba", "ga", "na"]}
+    assert quality_rules.common_words(docs, quality_rules.Limits(most_languages=2)) == {"qx": ["ba", "ga", "na"]}
+    assert quality_rules.common_words(empty_documents(spark)) == {}
+
+
 def test_where_common_words_are_rare_their_lack_rejects_nothing(spark):
     rows = [(i, " ".join(["the" if i % 2 and k == 7 else f"w{i}{k}" for k in range(60)]), "en") for i in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
