@@ -79,7 +79,7 @@ def _seeds(rows: DataFrame, how: Repeats) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in slices(b, most_bytes=2_000_000):
+            for part in slices(b, most_bytes=1_000_000):
                 a = Anchors(part.column(1), how)
                 ids = part.column(0).take(pa.array(a.text))
                 yield pa.RecordBatch.from_arrays([pa.array(a.hash), ids, pa.array((a.place - a.offsets[a.text]).astype(np.int32))], ["hash", "id", "pos"])
@@ -114,7 +114,7 @@ def _occurrences(rows: DataFrame, how: Repeats, path: str | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in slices(b, most_bytes=2_000_000):
+            for part in slices(b, most_bytes=1_000_000):
                 a = Anchors(part.column(1), how)
                 ids = part.column(0).to_numpy()
                 if path is not None:
