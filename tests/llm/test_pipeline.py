@@ -47,3 +47,16 @@ def test_stages_do_what_they_say(spark):
 def test_every_operator_has_its_query():
     names = set(queries.QUERIES)
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+
+
+def test_run_on_odd_and_empty_tables(spark, tmp_path):
+    from tests.llm.common import empty_documents, odd_documents
+
+    items = spark.createDataFrame([("a", None), ("b", ""), (None, "one two three")], "item_id string, text string")
+    for name, docs in (("odd", odd_documents(spark)), ("empty", empty_documents(spark))):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        items.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    assert {r["doc_id"] for r in out} <= {r["doc_id"] for r in odd_documents(spark).collect()}
+    assert all(r["n_tokens"] >= 1 for r in out)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
