@@ -31,6 +31,15 @@ def out_of_fold_median(rows: DataFrame, target: str, folds: int) -> DataFrame:
     return rows.join(F.broadcast(medians), F.col("fold") == F.col("held"), "left").drop("held")
 
 
+def out_of_fold_majority(rows: DataFrame, label: str, folds: int) -> DataFrame:
+    """``predicted``: for each fold the label found most often in the other folds, the least of equals. ``rows`` has ``fold``."""
+    counts = rows.groupBy("fold", label).agg(F.count(F.lit(1)).alias("n"))
+    others = counts.select("fold", label, "n", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("held")).where("held <> fold")
+    sums = others.groupBy("held", label).agg(F.sum("n").alias("n"))
+    most = sums.groupBy("held").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col(label).alias("l")))["l"].alias("predicted"))
+    return rows.join(F.broadcast(most), F.col("fold") == F.col("held"), "left").drop("held")
+
+
 def permuted(rows: DataFrame, key: str, column: str, seed: int) -> DataFrame:
     """``rows`` with the values of a column dealt anew: those of the i-th row by key go to the i-th by a hash of it."""
     by_key = numbered(rows, [key])

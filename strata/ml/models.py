@@ -66,7 +66,7 @@ def forest(label: str, weight: str = "weight", impurity: str = "gini") -> Estima
 
 
 def classifiers(label: str) -> dict[str, Estimator]:
-    """A forest for each of the two split criteria, by name."""
+    """A forest for each way to judge a node's split, by name."""
     return {f"forest {i}": forest(label, impurity=i) for i in ("gini", "entropy")}
 
 
