@@ -8,18 +8,22 @@ from __future__ import annotations
 import argparse
 import dataclasses
 import datetime
+import logging
 import sys
 import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from strata.commands import COMMANDS, add_commands
 from strata.operators.contracts import Contract, load_pending
 from strata.plans import REGISTRIES
 from strata.session import Settings, session
 from strata.sources import catalog, files, landing, manifest
 from strata.sources.sinks import Tables
 
+logger = logging.getLogger("strata")
+
 
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="strata")
@@ -36,6 +40,7 @@ def main(argv: list[str] | None = None) -> int:
     ingest.add_argument("--include", action="append", default=[])
     ingest.add_argument("--exclude", action="append", default=[])
     ingest.add_argument("--only")
+    ingest.add_argument("--limit", type=int, help="the first so many by name")
     ingest.add_argument("--dry-run", action="store_true")
     raw = commands.add_parser("raw", help="loads a delimited file into a raw table, replacing that resource")
     raw.add_argument("path")
@@ -45,6 +50,7 @@ def main(argv: list[str] | None = None) -> int:
     silver = commands.add_parser("silver", help="loads new or changed resources of a raw table by a contract")
     silver.add_argument("contract", help="YAML file")
     silver.add_argument("--resource-id")
+    add_commands(commands)
     args = parser.parse_args(argv)
 
     known = {name: f for r in REGISTRIES for name, f in r.queries.items()}
@@ -61,9 +67,12 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     spark = session(settings)
     tables = Tables(spark)
+    if args.command in COMMANDS:
+        return COMMANDS[args.command](args, settings, tables)
     if args.command == "ingest":
         now = datetime.datetime.now(datetime.timezone.utc).replace(tzinfo=None)
         found = catalog.selected(catalog.package_resources(spark, args.catalog), args.include, args.exclude, args.format, args.only)
+        found = landing.with_status(found if args.limit is None else found.orderBy("name", "resource_id").limit(args.limit))
         log = tables.read("ops_manifest")
         log = spark.createDataFrame([], manifest.SCHEMA) if log is None else log
         if args.dry_run:
@@ -96,7 +105,10 @@ def main(argv: list[str] | None = None) -> int:
     if args.resource_id:
         raw_rows = raw_rows.where(F.col("_resource_id") == args.resource_id)
     runs = load_pending(raw_rows, tables.read(contract.table), contract, datetime.datetime.now(datetime.timezone.utc).replace(tzinfo=None), tables, settings.table("ops.dq_runs") if settings.environment else "dq_runs")
-    return int(runs.where("status = 'failed'").count() > 0)
+    failed = [r["resource_id"] for r in runs.where("status = 'failed'").select("resource_id").limit(20).collect()]
+    if failed:
+        logger.error("contract %s failed for: %s", args.contract, ", ".join(map(str, failed)))
+    return int(bool(failed))
 
 
 if __name__ == "__main__":

@@ -45,9 +45,18 @@ def health(tables: DataFrame, quality: DataFrame, quarantine: DataFrame, now: Co
     return out.withColumn("age_days", F.datediff(now, "last_at")).orderBy("table_name")
 
 
-def partition_counts(df: DataFrame, partition: str) -> DataFrame:
-    """Rows and files of each partition of a file-backed frame."""
-    return df.groupBy(partition).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(F.col("_metadata.file_path")).alias("n_files"))
+def partition_counts(df: DataFrame, *partitions: str) -> DataFrame:
+    """Rows and files of each partition of a file-backed frame; one row without partition columns."""
+    return df.groupBy(*partitions).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(F.col("_metadata.file_path")).alias("n_files"))
+
+
+def last_written(df: DataFrame) -> DataFrame:
+    """``written_at``: when the newest file of a file-backed frame was written; null without files."""
+    return df.agg(F.max("_metadata.file_modification_time").alias("written_at"))
+
+
+def newest_runs(runs: DataFrame, n: int) -> DataFrame:
+    return runs.orderBy(F.col("run_at").desc(), "contract", "resource_id").limit(n)
 
 
 def run_totals(runs: DataFrame) -> DataFrame:

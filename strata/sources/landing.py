@@ -36,6 +36,31 @@ def with_landing_key(resources: DataFrame, ingest_date: str) -> DataFrame:
     return resources.withColumn("landing_key", F.concat(*parts))
 
 
+def probed(url: str) -> tuple[int | None, str | None]:
+    """(size, last modified) of a file by its address; (None, None) if that can't be told, whatever the reason."""
+    try:
+        system, path = pafs.FileSystem.from_uri(quote(url, safe=":/%?#&=~+@,;"))
+        info = system.get_file_info(path)
+        if info.type != pafs.FileType.File:
+            return None, None
+        return info.size, info.mtime.isoformat() if info.mtime else None
+    except Exception:  # noqa: BLE001
+        return None, None
+
+
+def with_status(resources: DataFrame) -> DataFrame:
+    """Size and time of those resources that the catalog tells neither of, asked of their addresses by the tasks."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [probed(u) for u in b["url"]]
+            yield b.assign(size=pd.array([s for s, _ in found], dtype="Int64"), last_modified=[t for _, t in found])
+
+    unknown = F.col("size").isNull() & F.col("last_modified").isNull() & F.col("url").isNotNull()
+    asked = spread(resources.where(unknown)).mapInPandas(run, resources.schema)
+    return resources.where(~unknown).unionByName(asked)
+
+
 def copied(url: str, target: str, last_sha256: str | None) -> tuple[str, str, int]:
     """(status, sha256, bytes) of a copy; nothing is left at the target of one that is unchanged."""
     source, path = pafs.FileSystem.from_uri(quote(url, safe=":/%?#&=~+@,;"))

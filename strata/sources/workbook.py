@@ -17,9 +17,12 @@ from dataclasses import dataclass
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strata.sources import manifest
+
 # The names of the format's XML.
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
@@ -120,8 +123,8 @@ def long_rows(cells: dict[tuple[int, int], str | float], layout: Layout) -> Iter
                 yield (*[None if v is None else str(v).strip() for v in who], *names, cells[r, c])
 
 
-def read_crosstabs(spark: SparkSession, path: str, layout: Layout) -> DataFrame:
-    """``path``, ``year``, ``sheet_kind``, the identity columns, the levels and ``value`` of all workbooks at a path."""
+def read_crosstabs(spark: SparkSession, path: str | list[str], layout: Layout) -> DataFrame:
+    """``path``, ``year``, ``sheet_kind``, the identity columns, the levels and ``value`` of all workbooks at a path, or at each of a list."""
     names = ["path", "year", "sheet_kind", *layout.identity, *[n for n, _ in layout.levels], "value"]
     schema = T.StructType([T.StructField(n, T.IntegerType() if n == "year" else T.DoubleType() if n == "value" else T.StringType()) for n in names])
 
@@ -134,3 +137,30 @@ def read_crosstabs(spark: SparkSession, path: str, layout: Layout) -> DataFrame:
                         yield pd.DataFrame([(file, year_of(file.rpartition("/")[2]), kind, *row) for row in long_rows(cells, layout)], columns=names)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)
+
+
+def pending_workbooks(log: DataFrame, loaded: DataFrame | None, dataset: str | None = None) -> DataFrame:
+    """The last good attempt at each resource whose digest isn't the one that ``loaded`` has rows of."""
+    good = manifest.latest_attempts(log if dataset is None else log.where(F.col("dataset") == dataset)).where("landing_key is not null")
+    if loaded is None:
+        return good
+    before = loaded.groupBy(F.col("_resource_id").alias("resource_id")).agg(F.max("_source_sha256").alias("sha256"))
+    return manifest.pending(good, before)
+
+
+def load_workbooks(spark: SparkSession, files: DataFrame, root: str, layout: Layout, loaded_at: Column, origin: str = "real") -> DataFrame | None:
+    """The long rows of landed workbooks (rows of the manifest) with their lineage; none if there are no files.
+
+    Only the landing keys reach the driver, as the paths to read; contents are read by the tasks.
+    """
+    keys = [r[0] for r in files.select("landing_key").distinct().collect()]
+    if not keys:
+        return None
+    rows = read_crosstabs(spark, [f"{root.rstrip('/')}/{k}" for k in keys], layout)
+    # a landing key has three parts: resource, date, file
+    rows = rows.withColumn("_source_key", F.regexp_extract("path", r"([^/]+/[^/]+/[^/]+)$", 1)).drop("path")
+    lineage = files.select(
+        F.col("resource_id").alias("_resource_id"), F.col("landing_key").alias("_source_key"), F.col("sha256").alias("_source_sha256"),
+        F.col("ingest_date").alias("_ingest_date"),
+    )
+    return rows.join(lineage, "_source_key").withColumns({"_loaded_at": loaded_at, "data_origin": F.lit(origin)})

@@ -54,3 +54,63 @@ def test_ingest(spark, tmp_path, capsys):
     assert run() == 0
     assert statuses()["a"] == "ok" and statuses()["c"] == "ok"
     assert spark.table("ops_manifest").where("resource_id = 'c' and status = 'ok'").first()["bytes"] == 0
+
+
+def test_probe(tmp_path):
+    from strata.sources import landing
+
+    (tmp_path / "x.csv").write_bytes(b"abc")
+    size, at = landing.probed(f"file://{tmp_path}/x.csv")
+    assert size == 3 and at
+    assert landing.probed(f"file://{tmp_path}/none.csv") == (None, None) and landing.probed("nothing:/x") == (None, None)
+
+
+def test_inspection_and_workbooks(spark, tmp_path, capsys):
+    import datetime
+    import json
+
+    from strata.sources import manifest
+    from tests.test_sources import book
+
+    cells = {(0, 1): "Gas", (1, 1): "Probada", (2, 0): "Operador", (3, 0): "Acme", (3, 1): 5.0}
+    root, key = tmp_path / "land", "resource_id=r1/ingest_date=2024-01-01/reserves-2023.xlsx"
+    path = root / key
+    path.parent.mkdir(parents=True)
+    path.write_bytes(book(cells, []))
+    (tmp_path / "layout.json").write_text(json.dumps({"key": "OPERADOR", "identity": ["Operador"], "levels": [["fluid", ["Gas"]], ["certainty", ["Probada"]]], "sheets": [["VIDA", "end_of_life"]]}))
+    spark.sql("drop table if exists ops_manifest")
+    assert main(["workbooks", str(tmp_path / "layout.json"), f"file://{root}", "raw_reserves"]) == 1
+
+    def attempt(n, sha, at):
+        row = dict.fromkeys(manifest.SCHEMA.names) | {"id": n, "dataset": "reserves", "resource_id": "r1", "resource_name": "R", "status": "ok", "sha256": sha, "landing_key": key}
+        row |= {"ingest_date": datetime.date(2024, 1, 1), "finished_at": datetime.datetime(2024, 1, at)}
+        spark.createDataFrame([tuple(row.values())], manifest.SCHEMA).write.mode("append").format("parquet").saveAsTable("ops_manifest")
+
+    attempt(1, "s1", 1)
+    load = ["workbooks", str(tmp_path / "layout.json"), f"file://{root}", "raw_reserves", "--dataset", "reserves"]
+    assert main([*load, "--dry-run"]) == 0 and main(load) == 0
+    row = spark.table("raw_reserves").first()
+    assert (row["Operador"], row["value"], row["year"], row["_source_sha256"], row["_resource_id"]) == ("Acme", 5.0, 2023, "s1", "r1")
+    assert main(load) == 0 and spark.table("raw_reserves").first()["_loaded_at"] == row["_loaded_at"]  # nothing is pending
+    attempt(2, "s2", 2)
+    path.write_bytes(book(cells | {(3, 1): 7.0}, []))
+    assert main(load) == 0
+    assert [(r["value"], r["_source_sha256"]) for r in spark.table("raw_reserves").collect()] == [(7.0, "s2")]
+    capsys.readouterr()
+    assert main(["inspect", "--table", "raw_reserves"]) == 0
+    shown = capsys.readouterr().out
+    assert "n_files" in shown and "r1" in shown and "written_at" in shown
+    assert main(["inspect", "--table", "nothing"]) == 1
+    assert main(["manifest", "-n", "1"]) == 0 and "ok" in capsys.readouterr().out
+    spark.sql("drop table ops_manifest")
+
+
+def test_training_commands(spark, tmp_path, capsys):
+    spark.range(200).selectExpr("id", "id % 8 as site", "cast(id % 20 as double) as x", "pow((id % 20) - 10, 2) as y").write.mode("overwrite").saveAsTable("sites")
+    at = ["--target", "y", "--models", str(tmp_path / "m"), "--name", "y"]
+    assert main(["predict", "sites", "predicted", "--key", "id", *at]) == 1
+    assert main(["train-rows", "sites", "--number", "x", "--group", "site", "--folds", "2", *at]) == 0
+    assert "promoted" in capsys.readouterr().out
+    assert main(["predict", "sites", "predicted", "--key", "id", "--where", "id < 100", "--complete", "id < 50", *at]) == 0
+    out = spark.table("predicted")
+    assert out.count() == 100 and out.where("actual is not null").count() == 50
