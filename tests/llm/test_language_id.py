@@ -48,3 +48,35 @@ def test_sample_is_bounded_by_rows_and_has_rare_languages(spark):
     counts = {k: sum(r["lang"] == k for r in found) for k in ("de", "en", "fr")}
     assert counts == {"de": 20, "en": 1, "fr": 1}
     assert language_id.train(rows, language_id.Training(rows=60)).languages == ["de", "en", "fr"]
+
+
+def test_scores_are_those_of_the_model_by_hand(spark):
+    """Brute force: every word's hashed subwords looked up one by one, averaged, and put through the softmax."""
+    import numpy as np
+    import pyarrow as pa
+
+    from strata.llm.tokens import LOWER_ALNUM, coded_words
+
+    rows = [(i, text(k, i, 1 + i % 9), k) for i in range(90) for k in [["en", "de", "fr"][i % 3]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs)
+    found = {r["doc_id"]: r for r in language_id.predict(docs, model).collect()}
+    for i, body, _ in rows:
+        total, n = np.zeros(3), 0
+        for word in body.split():
+            _, _, words = coded_words(pa.array([word]), LOWER_ALNUM)
+            buckets, begins = language_id.word_features(words, model.bits)
+            for b in buckets[begins[0] : begins[1]]:
+                total += model.scores[b]
+                n += 1
+        logits = (total / n + model.scores[-1]) / model.temperature
+        p = np.exp(logits) / np.exp(logits).sum()
+        assert found[i]["lang_pred"] == model.languages[int(p.argmax())] and abs(found[i]["score"] - p.max()) < 1e-6
+
+
+def test_ties_go_to_the_first_language(spark):
+    import numpy as np
+
+    model = language_id.Model(["aa", "bb"], np.zeros(((1 << 4) + 1, 2), np.float32), 4)
+    docs = spark.createDataFrame([(1, "word"), (1, "word"), (2, "word " * 50_000)], "doc_id long, text string")
+    assert [(r["lang_pred"], r["score"]) for r in language_id.predict(docs, model).collect()] == [("aa", 0.5)] * 3

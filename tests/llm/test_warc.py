@@ -39,3 +39,14 @@ def test_files_are_gzip_members_and_reruns_are_equal(spark):
 def test_empty_table(spark):
     manifest = warc.write_archives(pages(spark).limit(0), scratch_path(spark, "warc"))
     assert manifest.count() == 0 and warc.read_archives(manifest).count() == 0
+
+
+def test_clashing_columns_and_copies_of_a_key(spark):
+    names = "record_type string, payload string, payload_digest string, shard int, path string, refers_to long, n_bytes long"
+    rows = [(i, f"http://{i}", LONG if i % 2 else None, "x", "y", "z", i, "p", 7, -1) for i in (4, 1, 3, 3)]
+    odd = spark.createDataFrame(rows, f"page_id long, url string, html string, {names}")
+    found = warc.read_archives(warc.write_archives(odd, scratch_path(spark, "warc"))).collect()
+    assert sorted((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in found if r["page_id"] != 3) == [
+        (1, "response", None, len(LONG.encode())), (4, "response", None, 0),
+    ]
+    assert [(r["record_type"], r["refers_to"]) for r in found if r["page_id"] == 3] == [("revisit", 1)] * 2
