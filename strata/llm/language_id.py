@@ -93,9 +93,13 @@ def sample(docs: DataFrame, training: Training, key: str, text: str, lang: str)
     rows = docs.select(F.col(key).cast("string").alias("key"), text_of(text).alias("text"), F.col(lang).cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("key").isNotNull())
     languages = rows.select("lang").distinct().count()
     quota = max(training.least_rows, training.rows // max(1, languages))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(training.seed), "key"), "key")
-    # Spark keeps the first of each language in each task before it sorts them: quota * languages keys are chosen
-    chosen = rows.select("key", "lang").withColumn("place", F.dense_rank().over(order)).where(F.col("place") <= quota).select(F.col("key").alias("k"), F.col("lang").alias("l")).distinct()
+    chosen = rows.select("key", "lang").withColumn("h", F.xxhash64(F.lit(training.seed), "key")).withColumn("part", F.pmod("h", F.lit(64)))
+    # Spark keeps the first of each group in each task before it sorts them. What a language has the least of, it has the least of in
+    # one of 64 parts too: no task gets what all tasks kept of a frequent language. Then quota * languages keys are chosen
+    for same in (("lang", "part"), ("lang",)):
+        order = Window.partitionBy(*same).orderBy("h", "key")
+        chosen = chosen.withColumn("place", F.dense_rank().over(order)).where(F.col("place") <= quota).drop("place").distinct()
+    chosen = chosen.select(F.col("key").alias("k"), F.col("lang").alias("l"))
     rows = rows.join(F.broadcast(chosen), (F.col("key") == F.col("k")) & (F.col("lang") == F.col("l")), "left_semi")
     rows = rows.groupBy("key").agg(F.min(F.struct("lang", "text")).alias("r")).select("key", "r.text", "r.lang")
 
