@@ -233,7 +233,13 @@ def emitted(rows: DataFrame, plan: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame, mix: Mix = Mix(), key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The rows of the mix: those of ``docs``, each as often as it is drawn, by shard and in a hashed order there."""
+    """The rows of the mix: those of ``docs``, each as often as it is drawn, by shard and in a hashed order there.
+
+    A null source is a source like others, the last in order. A text that is null or has no word has size 0; a source of
+    such alone is never drawn. Rows that repeat an id are drawn together or not at all, and of documents with one hash all
+    are. Very long texts are drawn whole: they are only counted here. An empty table gives an empty mix; all columns of
+    ``docs`` are kept as they are, whatever their names.
+    """
     rows = sized(docs, mix, key, text, source)
     sizes = stored(rows.drop("row"), "sized")
     mix = fitted(sizes, mix)
