@@ -2,11 +2,11 @@
 
 Seeds are winnowed anchors: of every window of ``window`` words, the run of ``anchor`` words with the least hash, so
 a window that two documents share has the same anchor in both. Anchors of one document only are dropped. Each other
-occurrence of an anchor is joined with the anchor's first one, both with the words around them as far as a window
-with this anchor reaches. The match is extended from the anchor to the left and to the right, word by word, and where it
+occurrence of an anchor is joined with the anchor's first one, both with the words around them as far as its own
+windows reach. The match is extended from the anchor to the left and to the right, word by word, and where it
 is long enough it is one interval of the later document. Windows at an anchor that its first occurrence's match doesn't
 cover may be in another earlier document: these few are joined twice more, by all words around the anchor and by those
-of the window alone. Intervals are merged into maximal ones, and these are cut.
+of the window alone, where a hash tells that there are others like it. Intervals are merged into maximal ones, and these are cut.
 
 No pair of documents but one with the first is ever made, so a passage that very many documents share costs a row for each of
 them; anchors that hold a part of all rows are joined by broadcast where they are.
@@ -104,12 +104,24 @@ def _read_table(path: str) -> tuple[np.ndarray, np.ndarray]:
     return _tables[path]
 
 
-OCCURRENCES = "hash long, id long, pos int, first int, last int, opens boolean, left string, right string"
+#: Roles of an occurrence: it is in a later document, or in the anchor's first one as the first or a further place there.
+LATER, OPENS, AGAIN = 0, 1, 2
+OCCURRENCES = "hash long, id long, pos int, first int, last int, role byte, left string, right string"
+
+
+def _roles(text: np.ndarray, hashes: np.ndarray, opens: np.ndarray) -> np.ndarray:
+    """The role of each occurrence. They come by place, and ``opens`` tells those in the anchor's first document."""
+    out, at = np.full(len(text), LATER, np.int8), np.flatnonzero(opens)
+    at = at[np.lexsort((hashes[at], text[at]))]
+    known = (text[at][1:] == text[at][:-1]) & (hashes[at][1:] == hashes[at][:-1])
+    out[at[:1]] = OPENS
+    out[at[1:]] = np.where(known, AGAIN, OPENS)
+    return out
 
 
 def _occurrences(rows: DataFrame, how: Repeats, path: str | None) -> DataFrame:
     """The places of shared anchors: ``hash``, ``id``, ``pos``, the windows they are the anchor of (``first`` and ``last`` start),
-    ``opens`` (the document is the anchor's first), ``left`` (the anchor and the words before it) and ``right`` (those behind).
+    ``role``, ``left`` (the words of these windows up to the anchor's end) and ``right`` (those behind it).
     Anchors are looked up in the table at ``path``, or come in the columns ``places`` and ``firsts``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,13 +144,13 @@ def _occurrences(rows: DataFrame, how: Repeats, path: str | None) -> DataFrame:
                     chosen = np.flatnonzero(shared[at] == a.place) if len(shared) else np.empty(0, np.int64)
                     lo = firsts[at[chosen]]
                 text, place = a.text[chosen], a.place[chosen]
-                begin, reach, after = a.offsets[text], how.window - how.anchor, place + how.anchor
+                begin, after = a.offsets[text], place + how.anchor
                 small = lambda x: pa.array((x - begin).astype(np.int32))
                 columns = [
-                    pa.array(a.hash[chosen]), pa.array(ids[text]), small(place), small(a.first[chosen]), small(a.last[chosen]), pa.array(ids[text] == lo),
-                    a.passage(np.maximum(begin, place - reach), after), a.passage(after, np.minimum(a.offsets[text + 1], after + reach)),
+                    pa.array(a.hash[chosen]), pa.array(ids[text]), small(place), small(a.first[chosen]), small(a.last[chosen]), pa.array(_roles(text, a.hash[chosen], ids[text] == lo)),
+                    a.passage(a.first[chosen], after), a.passage(after, a.last[chosen] + how.window),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["hash", "id", "pos", "first", "last", "opens", "left", "right"])
+                yield pa.RecordBatch.from_arrays(columns, ["hash", "id", "pos", "first", "last", "role", "left", "right"])
 
     return rows.mapInArrow(run, OCCURRENCES)
 
@@ -150,6 +162,16 @@ def _only(rows: DataFrame, ids: DataFrame, how: Repeats, kind: str) -> DataFrame
     return rows.join(ids, F.col("id") == F.col("_id"), kind)
 
 
+def _alike_only(rows: DataFrame, how: Repeats, *columns: str) -> DataFrame:
+    """``rows`` whose ``columns`` have a hash that rows of other documents have too: no others can be equal in them."""
+    rows = rows.withColumn("_print", F.xxhash64(*columns))
+    prints = rows.groupBy("_print").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
+    prints = stored(prints.select("_print", "n"), "prints")
+    if prints.count() <= how.broadcast_ids:
+        return rows.join(F.broadcast(prints.select("_print")), "_print").drop("_print")
+    return spread_join(rows, prints.select("_print"), ["_print"], hot_keys(prints, "_print")).drop("_print")
+
+
 def copies(rows: DataFrame) -> DataFrame:
     """``id`` of the documents whose whole text an earlier one has."""
     texts = rows.select("id", F.md5("text").alias("t"))
@@ -180,10 +202,9 @@ def extended(pairs: DataFrame, how: Repeats) -> DataFrame:
 
 def _rest_windows(pairs: DataFrame, how: Repeats) -> DataFrame:
     """``id``, ``start``, ``words`` of the windows at an anchor that its match (``start`` to ``end``) doesn't cover."""
-    begin = F.col("pos") + how.anchor - F.size(_words("left"))
     every = F.filter(F.sequence("first", "last"), lambda s: (s < F.col("start")) | (s + how.window > F.col("end")))
     rows = pairs.withColumn("_s", F.explode(every)).withColumn("_w", F.concat(_words("left"), _words("right")))
-    words = F.array_join(F.slice("_w", F.col("_s") - begin + 1, F.lit(how.window)), " ")
+    words = F.array_join(F.slice("_w", F.col("_s") - F.col("first") + 1, F.lit(how.window)), " ")
     return rows.select("id", F.col("_s").alias("start"), words.alias("words"))
 
 
@@ -200,10 +221,11 @@ def repeated_passages(rows: DataFrame, gone: DataFrame, how: Repeats) -> DataFra
         places = spread_join(seeds, shared.select("hash", "lo"), ["hash"], hot).groupBy("id").agg(F.collect_set(F.struct("pos", "lo")).alias("p"))
         found = _occurrences(rows.join(places.select("id", F.col("p.pos").alias("places"), F.col("p.lo").alias("firsts")), "id").select("id", "text", "places", "firsts"), how, None)
     found = stored(found, "occurrences")
-    at_first = found.where("opens").groupBy("hash").agg(F.min(F.struct("pos", "left", "right")).alias("f"))
-    at_first = stored(at_first.select("hash", F.col("f.pos").alias("first_pos"), F.col("f.left").alias("first_left"), F.col("f.right").alias("first_right")), "firsts")
+    # a key that repeats has its first places more than once
+    at_first = found.where(F.col("role") == OPENS).groupBy("hash").agg(F.min(F.struct("left", "right")).alias("f"))
+    at_first = at_first.select("hash", F.col("f.left").alias("first_left"), F.col("f.right").alias("first_right"))
 
-    later = spread_join(found.where("not opens").drop("opens"), at_first.drop("first_pos"), ["hash"], hot)
+    later = spread_join(found.where(F.col("role") == LATER).drop("role"), at_first, ["hash"], hot)
     matches = extended(later, how).withColumn("long", F.col("end") - F.col("start") >= how.window)
     # an occurrence goes on if its match is an interval, or leaves a window
     open_ = (~F.col("long")) | (F.col("start") > F.col("first")) | (F.col("end") < F.col("last") + how.window)
@@ -211,16 +233,16 @@ def repeated_passages(rows: DataFrame, gone: DataFrame, how: Repeats) -> DataFra
     matches = stored(matches.select("id", "pos", "first", "last", "start", "end", "long", open_.alias("open"), kept[0].alias("left"), kept[1].alias("right")), "matches")
 
     # other places of an anchor in its first document: there is none before them to match, but others may match them
-    again = found.where("opens").join(at_first.select("hash", "first_pos"), "hash").where(F.col("pos") != F.col("first_pos")).withColumns({"start": F.lit(0), "end": F.lit(0)})
+    again = found.where(F.col("role") == AGAIN).withColumns({"start": F.lit(0), "end": F.lit(0)})
     columns = ["id", "pos", "first", "last", "start", "end", "left", "right"]
     none = F.when(F.col("long"), F.col("start")).otherwise(0), F.when(F.col("long"), F.col("end")).otherwise(0)
     left = matches.where("open").withColumns({"start": none[0], "end": none[1]}).select(*columns).unionByName(again.select(*columns))
     # of those with the same words around the anchor, only the first goes on: the others match it as far as they reach
     around = stored(left.groupBy("left", "right").agg(F.min("id").alias("lo"), F.count(F.lit(1)).alias("n")), "around")
     left = stored(spread_join(left, around.select("left", "right", "lo"), ["left", "right"], hot_keys(around, "left", "right")), "left")
-    begin = F.col("pos") + how.anchor - F.size(_words("left"))
-    reach = left.where("id > lo").select("id", begin.alias("start"), (F.col("pos") + how.anchor + F.size(_words("right"))).alias("end"))
-    rest = stored(_rest_windows(left.where("id = lo"), how), "rest")
+    reach = left.where("id > lo").select("id", F.col("first").alias("start"), (F.col("last") + how.window).alias("end"))
+    rest = _alike_only(_rest_windows(left.where("id = lo"), how), how, "words")
+    rest = stored(rest, "rest")
     first = rest.groupBy("words").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
     first = stored(first.select("words", "lo", "n"), "rest-firsts")
     more = spread_join(rest, first.select("words", "lo"), ["words"], hot_keys(first, "words")).where("id > lo")
