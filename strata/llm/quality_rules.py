@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.llm.common import let, packed, stored, text_of, total, words_of
+from strata.llm.common import let, packed, text_of, total, words_of
 
 # The classes of characters.
 CLASSES = [r"\p{Ll}", r"\p{Lu}", r"[0-9]", r"[\x09-\x0D\x20]", r"[.,;:!?'\"()\-]", r"[#*$%&|<>]"]
@@ -239,5 +239,6 @@ def judge(measured: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, limits: Limits = Limits(), text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, as they were. What was measured is stored, so nothing is counted twice."""
-    return judge(stored(measure(docs, limits, text, lang), "measured"), limits).where("kept").select("row.*")
+    """The rows of ``docs`` that the rules keep, as they were. The histograms are made once for the references and once for the
+    verdicts: storing them beside the texts would take as much disk as the documents."""
+    return judge(measure(docs, limits, text, lang), limits).where("kept").select("row.*")
