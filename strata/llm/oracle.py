@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from strata.llm.mixing import Mix
+from strata.llm.oracle_turns import OP11, OP13, op12
 from strata.llm.quality_rules import Limits
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -152,4 +153,5 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 ORACLE_SQL: dict[str, str] = {
     "op1_near_duplicates": OP1, "op4_mixing": op4(), "op5_decontamination": OP5, "op6_warc": OP6, "op8_substring_dedup": OP8, "op10_quality_rules": op10(),
+    "op11_chat_tree": OP11, "op12_structure_repair": op12(), "op13_filter_audit": OP13,
 }

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import decontaminate, language_id, minhash, mixing, pii, quality_model, quality_rules, repeats, token_files, warc
+from strata.llm import (
+    chat_tree, decontaminate, filter_audit, language_id, minhash, mixing, pii, quality_model, quality_rules, repeats, structure_repair, token_files, warc,
+)
 from strata.llm.common import scratch_path, stored
 from strata.llm.oracle import ORACLE_SQL  # noqa: F401
 
@@ -70,6 +72,22 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(_table(spark, sf_dir, "documents"))
 
 
+def op11_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one more that says the template's own marks."""
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    says = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", says), (-1, 1, "assistant", says)], turns.schema)
+    return chat_tree.format_chats(turns.unionByName(more))
+
+
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure_repair.repair(structure_repair.damaged(_table(spark, sf_dir, "conversations")))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_pii": op2_pii,
@@ -81,4 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_language_id": op9_language_id,
     "op10_quality_rules": op10_quality_rules,
+    "op11_chat_tree": op11_chat_tree,
+    "op12_structure_repair": op12_structure_repair,
+    "op13_filter_audit": op13_filter_audit,
 }
