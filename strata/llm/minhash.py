@@ -28,9 +28,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import hot_keys, spread_join, stored, text_of
+from strata.llm.common import hot_keys, packed, spread_join, stored, text_of
 from strata.llm.graph import components
 from strata.llm.tokens import LOWER, coded_words, hash_each, mix, run_hashes, slices
+from strata.streaming.replay import numbered
 
 
 @dataclass(frozen=True)
@@ -225,9 +226,18 @@ def near_duplicates(docs: DataFrame, near: Near = Near(), key: str = "doc_id", t
 
 
 def keep_one(docs: DataFrame, near: Near = Near(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` with one document of each component, as they were; of rows that repeat a key, one."""
-    found = stored(near_duplicates(docs, near, key, text), "near")
-    gone = found.where("not kept").select(F.col(key).alias("id")).distinct()
-    rows = _only(docs, gone, near, "left_anti", key)
-    ids = found.where("kept").agg(F.count(F.lit(1)), F.countDistinct(key), F.count(key)).first()
-    return rows if ids[1] == ids[2] else rows.dropDuplicates([key])
+    """The rows of ``docs`` with one document of each component, the one with the least key, as they were.
+
+    Where keys are null or repeat, rows are documents of their own: they are numbered by key (nulls last, ties by text), and the
+    first row of a component stays. So a row goes only if its own text is like that of a row that stays; texts without words all
+    stay. An empty table has no rows; further columns are carried, whatever their names.
+    """
+    n = docs.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    if n.where(F.col(key).isNull() | (F.col("n") > 1)).isEmpty():
+        gone = near_duplicates(docs, near, key, text).where("not kept").select(F.col(key).alias("id"))
+        return _only(docs, stored(gone, "near"), near, "left_anti", key)
+    rows = docs.select(packed(docs).alias("row"), F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
+    rows = numbered(rows.withColumn("unknown", F.col("key").isNull()), ["unknown", "key", "text"])
+    rows = stored(rows.select("place", "text", "row"), "numbered")
+    gone = near_duplicates(rows, near, "place").where("not kept").select(F.col("place").alias("id"))
+    return _only(rows, stored(gone, "near"), near, "left_anti", "place").select("row.*")

@@ -86,3 +86,14 @@ def test_odd_documents(spark):
 def test_least_matches_miss_rarely():
     near = minhash.Near(3, 85)
     assert 0 < near.least < near.size
+
+
+def test_null_and_repeated_keys_lose_no_other_text(spark):
+    texts = [prose(60, 100 + i) for i in range(8)]
+    near = texts[1].replace(texts[1].split()[7], "changed")
+    rows = [(None, texts[0]), (None, texts[2]), (None, texts[0]), (5, texts[1]), (5, texts[3]), (6, texts[4]), (3, near), (None, ""), (7, None), (7, None)]
+    docs = spark.createDataFrame([(k, t, i) for i, (k, t) in enumerate(rows)], "doc_id long, text string, unknown int").repartition(3)
+    kept = sorted(r["unknown"] for r in minhash.keep_one(docs).collect())
+    # of the two null rows with one text one stays; key 5's first text goes for key 3's, its other one stays
+    assert kept in ([0, 1, 4, 5, 6, 7, 8, 9], [1, 2, 4, 5, 6, 7, 8, 9])
+    assert minhash.keep_one(docs).columns == docs.columns
