@@ -135,7 +135,7 @@ nl as (select lang, count(*) as n from documents where lang is not null group by
 wc as (select lang, word, count(*) as n from (select lang, unnest(list_distinct(t)) as word from t where lang is not null) group by 1, 2),
 ll as (select lang, list(word order by place) as listed from (select *, row_number() over (partition by lang order by n desc, word) as place from wc) where place <= {limits.common}
     and lang in (select lang from nl where n * {limits.most_languages} >= (select sum(n) from nl)) group by 1),
-bl as (select doc_id, max((hits, ll.lang)) as best from (select doc_id, t from t where lang is null or lang not in (select lang from ll)) o cross join ll cross join lateral (select len(list_filter(o.t, lambda x: list_contains(ll.listed, x))) as hits) group by 1),
+bl as (select doc_id, max((hits, ll.lang)) as best from (select doc_id, t from t where lang is null) o cross join ll cross join lateral (select len(list_filter(o.t, lambda x: list_contains(ll.listed, x))) as hits) group by 1),
 l as (select t.*, case when t.lang in (select lang from ll) then t.lang when best[1] > 0 then best[2] end as l from t left join bl using (doc_id)),
 c as (select l.*, [{chars}] as cc, listed || list_transform(range({limits.common} - len(listed)), lambda x: '') as common from l left join ll on l.l = ll.lang),
 h as (select *, list_append(cc, length(text) - list_sum(cc)) as chars, list_transform(common, lambda k: len(list_filter(t, lambda x: x = k))) as hit from c),

@@ -96,7 +96,8 @@ def common_words(docs: DataFrame, limits: Limits = Limits(), text: str = "text",
 
 
 def _language(lang: Column, letters: Column, common: Common) -> Column:
-    """The given language if there is a word list for it, else the one with most of its words in the text."""
+    """The given language if there is a word list for it, none without a list: a document isn't judged by another language than its
+    own. If none is given, the one with most of its words in the text."""
     if not common:
         return F.lit(None).cast("string")
 
@@ -105,7 +106,7 @@ def _language(lang: Column, letters: Column, common: Common) -> Column:
 
     hits = [F.struct(hits_of(words).alias("n"), F.lit(k).alias("k")) for k, words in common.items()]
     best = F.array_max(F.array(*hits))
-    return F.when(lang.isin(list(common)), lang).otherwise(F.when(best["n"] > 0, best["k"]))
+    return F.when(lang.isin(list(common)), lang).when(lang.isNull() & (best["n"] > 0), best["k"])
 
 
 def _word_histogram(language: Column, letters: Column, common: Common, bins: int) -> Column:

@@ -80,3 +80,12 @@ def test_empty_table(spark):
 def test_distance_is_that_of_the_formula(spark):
     row = spark.range(1).select(quality_rules._distance(F.array(F.lit(1), F.lit(0)), F.array(F.lit(0), F.lit(5))), quality_rules._distance(F.array(F.lit(2), F.lit(2)), F.array(F.lit(1), F.lit(1)))).first()
     assert abs(row[0] - 1) < 1e-9 and row[1] == 0
+
+
+def test_a_rare_language_is_not_judged_by_another(spark):
+    text = "的 " + " ".join("語言文字" for _ in range(70)) + " the"
+    for n in (500, 6000):
+        docs = spark.createDataFrame([(i, prose(80, i), "en") for i in range(n)] + [(10**6, text + " 一 二 三 四 五 六", "xx")], "doc_id long, text string, lang string")
+        measured = {r["doc_id"]: r for r in quality_rules.keep_good(docs).where("doc_id = 1000000").collect()}
+        alone = quality_rules.keep_good(docs.where("doc_id = 1000000")).count()
+        assert len(measured) == alone, n
