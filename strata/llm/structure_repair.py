@@ -197,7 +197,7 @@ def repair(turns: DataFrame, costs: Costs = Costs()) -> DataFrame:
 
     Turns are taken by ``turn``, nulls first; equal ones (ties) by role, then text. Null roles and texts are one space each here. Rows
     that repeat are duplicates. Rows with ``dropped`` only say that the conversation exists: without others it has zeros, an empty
-    audit and the hash of nothing. Rows without ``conv_id`` are one conversation, without an id. Texts of any length are taken whole. An
+    audit and the hash of nothing. A role without letters has no initial and cannot stay. Rows without ``conv_id`` are one conversation, without an id. Texts of any length are taken whole. An
     empty table gives no rows.
 
     All turns of a conversation meet in one task, which reads them as a stream, in an order that Spark sorted and spills: it
