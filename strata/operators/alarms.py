@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strata.operators.running import exact_quantiles
 from strata.operators.sliding import label_severity, severity_label
 
 
@@ -29,7 +30,9 @@ def lead_times(marks: DataFrame, alarms: DataFrame, series: str) -> DataFrame:
 def lead_statistics(leads: DataFrame, by: str) -> DataFrame:
     """Per group: alarms by moment; mean (0 without any) and median lead of those on time."""
     counts = [F.count(F.when(F.col("moment") == m, 1)).alias(f"n_{m}") for m in ("none", "early", "late", "on_time")]
-    return leads.groupBy(by).agg(*counts, F.coalesce(F.avg("lead_s"), F.lit(0.0)).alias("mean_lead_s"), F.percentile("lead_s", 0.5).alias("median_lead_s"))
+    means = leads.groupBy(by).agg(*counts, F.coalesce(F.avg("lead_s"), F.lit(0.0)).alias("mean_lead_s"))
+    medians = exact_quantiles(leads, [by], "lead_s", [0.5]).select(F.col(by).alias("_by"), F.col("quantile").alias("median_lead_s"))
+    return means.join(medians, F.col(by).eqNullSafe(F.col("_by")), "left").drop("_by")
 
 
 def alerts(predictions: DataFrame, label: str, probabilities: Column, version: str, at: Column) -> DataFrame:

@@ -6,12 +6,16 @@ from pyspark.sql import functions as F
 
 from strata.functions.columns import from_target, to_target
 from strata.ml import folds, models
-from strata.operators import alarms, metrics
+from strata.operators import alarms, metrics, running
 from strata.plans.registry import Registry, table
 
 query = Registry()
 
-FOLDS = "(select p_brand, n, cast(case when i < 5 then i else 9 - i end as integer) as fold from (select p_brand, n, (row_number() over (order by n desc, p_brand) - 1) % 10 as i from (select p_brand, count(*) as n from part group by 1)))"
+# a recursion over the brands from the largest down: each goes to the lightest of five folds, whose rows are in s0 to s4
+FOLDS = """(with recursive g as (select p_brand, n, row_number() over (order by n desc, p_brand) as i from (select p_brand, count(*) as n from part group by 1)),
+    f as (select 0::bigint as i, [0, 0, 0, 0, 0]::bigint[] as s, -1 as fold union all
+        select g.i, list_transform(s, lambda x, j: x + case when j = list_position(s, list_min(s)) then n else 0 end), list_position(s, list_min(s)) - 1 from f join g on g.i = f.i + 1)
+    select p_brand, n, cast(fold as integer) as fold from g join f using (i))"""
 
 
 @query(f"select * from {FOLDS}")
@@ -26,6 +30,13 @@ def oof_median(spark, d):
     return rows.select("p_partkey", "fold", F.round("predicted", 6).alias("predicted"))
 
 
+@query("""select event_type, probability, round(quantile, 6) as quantile from (select event_type, unnest([0.1, 0.25, 0.5, 0.9, 1.0])::double as probability, unnest(q) as quantile
+    from (select event_type, quantile_cont(value, [0.1, 0.25, 0.5, 0.9, 1.0]) as q from events group by 1))""")
+def exact_quantiles(spark, d):
+    out = running.exact_quantiles(table(spark, d, "events"), ["event_type"], "value", [0.1, 0.25, 0.5, 0.9, 1.0])
+    return out.select("event_type", "probability", F.round("quantile", 6).alias("quantile"))
+
+
 TRUTH = "(select event_id, user_id, case event_type when 'purchase' then 'event' when 'click' then 'transient' else 'normal' end as truth, case when value > 40 then 'event' when value > 20 then 'transient' else 'normal' end as predicted from events)"
 LABELS = ["normal", "transient", "event"]
 
