@@ -13,7 +13,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.ml import jobs, models
+from strata.ml import boosting, jobs, models
 from strata.operators import monitor
 from strata.session import Settings
 from strata.sources import catalog, manifest, workbook
@@ -96,7 +96,12 @@ def train_windows(args: argparse.Namespace, settings: Settings, tables: Tables)
         cut = cut.join(readings.groupBy(args.series).agg(*[F.min(g).alias(g) for g in args.group]), args.series)
     splits = [jobs.Split(g, g, args.folds) for g in groups]
     single = f"{args.sensor[0]}_std"
-    return _report(jobs.train_classifier(stored(cut, "windows"), windows.features, splits, single, models.Models(tables.spark, args.models), args.name))
+    return _report(jobs.train_classifier(stored(cut, "windows"), windows.features, splits, single, models.Models(tables.spark, args.models), args.name, _boosting(args)))
+
+
+def _boosting(args: argparse.Namespace) -> boosting.Boosting | None:
+    """Trees that stop early, if asked for."""
+    return boosting.Boosting(rounds=args.boosted, patience=20, least_rows=50) if args.boosted else None
 
 
 def detect(args: argparse.Namespace, settings: Settings, tables: Tables) -> int:
@@ -114,7 +119,8 @@ def train_rows(args: argparse.Namespace, settings: Settings, tables: Tables) ->
         return 1
     features = models.Features(tuple(args.number), tuple(args.category))
     split = jobs.Split(args.group, args.group, args.folds)
-    return _report(jobs.train_regressor(rows, features, args.target, split, models.Models(tables.spark, args.models), args.name))
+    how = _boosting(args)
+    return _report(jobs.train_regressor(rows, features, args.target, split, models.Models(tables.spark, args.models), args.name, {"boosted": how} if how else None))
 
 
 def predict(args: argparse.Namespace, settings: Settings, tables: Tables) -> int:
@@ -176,6 +182,7 @@ def add_commands(commands: argparse._SubParsersAction) -> None:
     at["predict"].add_argument("--complete", default="true", help="SQL condition: the actual value is final")
     for name in ("train-windows", "train-rows"):
         at[name].add_argument("--folds", type=int, default=5)
+        at[name].add_argument("--boosted", type=int, default=0, metavar="ROUNDS", help="trees on histograms with missing values, at most so many rounds")
     for name in ("train-windows", "detect", "train-rows", "predict"):
         at[name].add_argument("--models", required=True, help="folder of the models")
         at[name].add_argument("--name", required=True)

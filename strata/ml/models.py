@@ -1,8 +1,7 @@
 """Training, baselines, choice and promotion of models, and inference with the promoted one.
 
-Trees take the place of histogram gradient boosting with missing values: numbers are imputed by the median and an
-indicator tells where, categories are numbered with -1 for those not seen. Attributions are the trees' importances and
-permutation importance.
+Boosted trees on histograms (``boosting``) take missing values as they are. For Spark's own estimators numbers are imputed by the
+median and an indicator tells where, and categories are numbered with -1 for those not seen.
 """
 
 from __future__ import annotations
@@ -20,6 +19,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strata.ml import boosting
 from strata.ml.folds import permuted
 from strata.operators import metrics
 from strata.streaming.replay import numbered
@@ -79,11 +79,31 @@ def majority(train: DataFrame, label: str) -> DataFrame:
     return train.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), label).limit(1).select(F.col(label).alias("predicted"))
 
 
-def out_of_fold(rows: DataFrame, features: Features, estimator: Estimator, folds: int) -> DataFrame:
+Model = PipelineModel | boosting.Boosted
+
+
+@dataclass(frozen=True)
+class Learner:
+    """What fits a model: an estimator of Spark, or boosted trees, which need the target (with ``labels``, its classes) and, to hold
+    out rows, a key."""
+
+    estimator: Estimator | boosting.Boosting
+    target: str = ""
+    labels: tuple[str, ...] | None = None
+    weight: str | None = None
+    key: str | None = None
+
+    def fit(self, rows: DataFrame, features: Features) -> Model:
+        if isinstance(self.estimator, boosting.Boosting):
+            return boosting.fit(rows, self.target, features.numbers, features.categories, self.labels, self.weight, self.key, self.estimator)
+        return Pipeline(stages=[*features.stages(), self.estimator]).fit(rows)
+
+
+def out_of_fold(rows: DataFrame, features: Features, estimator: Estimator | Learner, folds: int) -> DataFrame:
     """``rows`` (with ``fold``) and ``prediction``, each by a model of the other folds."""
-    out = None
+    out, learner = None, estimator if isinstance(estimator, Learner) else Learner(estimator)
     for k in range(folds):
-        model = Pipeline(stages=[*features.stages(), estimator]).fit(rows.where(F.col("fold") != k))
+        model = learner.fit(rows.where(F.col("fold") != k), features)
         part = model.transform(rows.where(F.col("fold") == k)).select(*rows.columns, "prediction")
         out = part if out is None else out.union(part)
     return out
@@ -99,7 +119,7 @@ def best(rows: DataFrame, features: Features, candidates: dict[str, Estimator],
     return name, score
 
 
-def permutation_importance(model: PipelineModel, rows: DataFrame, key: str, columns: Sequence[str], score: Callable[[DataFrame], float], repeats: int = 5) -> dict[str, float]:
+def permutation_importance(model: Model, rows: DataFrame, key: str, columns: Sequence[str], score: Callable[[DataFrame], float], repeats: int = 5) -> dict[str, float]:
     """By how much the score falls when a column's values are dealt anew, on average."""
     base = score(model.transform(rows))
     return {c: sum(base - score(model.transform(permuted(rows, key, c, seed))) for seed in range(repeats)) / repeats for c in columns}
@@ -119,26 +139,35 @@ class Models:
                 return []
             raise
 
-    def register(self, name: str, model: PipelineModel, scores: dict[str, float], baselines: dict[str, float]) -> tuple[int, bool]:
+    def register(self, name: str, model: Model, scores: dict[str, float], baselines: dict[str, float]) -> tuple[int, bool]:
         """(version, promoted): always kept as a version; champion only if it is better than every baseline."""
         version = 1 + max((e["version"] for e in self._entries(name)), default=0)
         promoted = promotes(scores["score"], baselines)
-        model.write().save(f"{self.root}/{name}/v{version}")
-        entry = json.dumps({"version": version, "champion": promoted, **scores, "baselines": baselines}, sort_keys=True)
+        boosted = isinstance(model, boosting.Boosted)
+        if boosted:
+            self.spark.createDataFrame([(model.to_json(),)], "value string").coalesce(1).write.text(f"{self.root}/{name}/v{version}")
+        else:
+            model.write().save(f"{self.root}/{name}/v{version}")
+        entry = json.dumps({"version": version, "champion": promoted, "boosted": boosted, **scores, "baselines": baselines}, sort_keys=True)
         self.spark.createDataFrame([(entry,)], "value string").coalesce(1).write.mode("append").text(f"{self.root}/{name}/versions")
         return version, promoted
 
-    def champion(self, name: str) -> tuple[int, PipelineModel] | None:
+    def champion(self, name: str) -> tuple[int, Model] | None:
         """The last promoted version."""
-        found = [e["version"] for e in self._entries(name) if e["champion"]]
-        return (max(found), PipelineModel.load(f"{self.root}/{name}/v{max(found)}")) if found else None
+        found = max((e for e in self._entries(name) if e["champion"]), key=lambda e: e["version"], default=None)
+        if found is None:
+            return None
+        path = f"{self.root}/{name}/v{found['version']}"
+        if found.get("boosted"):
+            return found["version"], boosting.Boosted.from_json(self.spark.read.text(path).first()[0])
+        return found["version"], PipelineModel.load(path)
 
 
 def promotes(score: float, baselines: dict[str, float]) -> bool:
     return all(score > b for b in baselines.values())
 
 
-def predictions(model: PipelineModel, rows: DataFrame, keys: Sequence[str], actual: str, complete: Column, version: int) -> DataFrame:
+def predictions(model: Model, rows: DataFrame, keys: Sequence[str], actual: str, complete: Column, version: int) -> DataFrame:
     """``predicted`` and, where the observation is complete, ``actual``."""
     return model.transform(rows).select(*keys, F.col("prediction").alias("predicted"), F.when(complete, F.col(actual)).alias("actual"), F.lit(version).alias("model_version"))
 

@@ -35,19 +35,20 @@ def windowed(rows: DataFrame, series: str, ts: str, width_s: int, step_s: int |
 
 def statistics(sensor: str, t: str = "dt") -> list[Column]:
     """Mean, population deviation, least, greatest, slope over time and last minus first of a sensor; all null with fewer
-    than two samples. NaN is no sample. A sensor that doesn't vary has slope 0."""
+    than two samples. NaN is no sample. The slope is null where all samples are of one instant, and 0 of a sensor that doesn't vary."""
     y = F.when(~F.isnan(F.col(sensor)), F.col(sensor))
     when = F.when(y.isNotNull(), F.col(t))
     values = {
         "mean": F.avg(y), "std": F.stddev_pop(y), "min": F.min(y), "max": F.max(y),
-        "slope": F.when(F.var_pop(when) > 0, F.regr_slope(y, F.col(t))).otherwise(F.lit(0.0)), "delta": F.max_by(y, when) - F.min_by(y, when),
+        "slope": F.when(F.var_pop(when) > 0, F.regr_slope(y, F.col(t))), "delta": F.max_by(y, when) - F.min_by(y, when),
     }
     return [F.when(F.count(y) >= 2, values[s]).alias(f"{sensor}_{s}") for s in STATISTICS]
 
 
 def label_severity(code: Column) -> Column:
-    """Of a class code: 2 event (1-99), 1 transient (over 100), 0 normal."""
-    return F.when(code.between(1, 99), 2).when(code > 100, 1).when(code == 0, 0)
+    """Of a class code: 0 normal (0), 1 transient (100 and more), 2 event (all others); null and NaN have none."""
+    known = code.isNotNull() & ~F.isnan(code.cast("double"))
+    return F.when(known, F.when(code == 0, 0).when(code >= 100, 1).otherwise(2))
 
 
 def severity_label(severity: Column) -> Column:

@@ -14,11 +14,15 @@ DAY = 86_400
 
 
 def code():
-    """Events as class codes: a purchase is an event, a click the transient before it, a signup has no label."""
-    return F.when(F.col("event_type") == "purchase", 2).when(F.col("event_type") == "click", 102).when(F.col("event_type") != "signup", 0)
+    """Events as class codes: a purchase is an event (2, or -1 for some users), a click the transient before it (100 or 107), a
+    signup has no label, or NaN."""
+    odd = F.col("user_id") % 2
+    kinds = F.when(F.col("event_type") == "purchase", F.when(odd == 0, 2.0).otherwise(-1.0)).when(F.col("event_type") == "click", F.when(odd == 0, 100.0).otherwise(107.0))
+    return kinds.when(F.col("event_type") != "signup", 0.0).when(odd == 0, F.lit(float("nan")))
 
 
-CODE = "case event_type when 'purchase' then 2 when 'click' then 102 when 'signup' then null else 0 end"
+CODE = "case event_type when 'purchase' then case user_id % 2 when 0 then 2 else -1 end when 'click' then case user_id % 2 when 0 then 100 else 107 end when 'signup' then null else 0 end"
+SEVERITY = "case when c = 0 then 0 when c >= 100 then 1 when c is not null then 2 end"
 
 
 @query("""select event_id, user_id, (epoch_us(ts) - min_us) / 1e6 as offset_s, row_number() over (order by epoch_us(ts) - min_us, user_id, event_id) as place from (select *, min(epoch_us(ts)) over (partition by user_id) as min_us from events)""")
@@ -74,7 +78,7 @@ SLIDING = f"""with b as (select *, (epoch_us(ts) - min(epoch_us(ts)) over (parti
 
 
 @query(f"""{SLIDING} select user_id, k, count(*) as n_rows, round(case when count(*) >= 2 then avg(value) end, 6) as value_mean, round(case when count(*) >= 2 then stddev_pop(value) end, 6) as value_std, case when count(*) >= 2 then min(value) end as value_min,
-    case when count(*) >= 2 then max(value) end as value_max, round(case when count(*) >= 2 then case when var_pop(dt) > 0 then regr_slope(value, dt) * {DAY} else 0 end end, 6) as value_slope,
+    case when count(*) >= 2 then max(value) end as value_max, round(case when count(*) >= 2 and var_pop(dt) > 0 then regr_slope(value, dt) * {DAY} end, 6) as value_slope,
     round(case when count(*) >= 2 then arg_max(value, dt) - arg_min(value, dt) end, 6) as value_delta from f group by 1, 2""")
 def sliding_features(spark, d):
     rows = sliding.windowed(table(spark, d, "events").select("user_id", "ts", "value"), "user_id", "ts", 7 * DAY, DAY)
@@ -82,13 +86,13 @@ def sliding_features(spark, d):
     return out.select("user_id", "k", "n_rows", *[F.round(F.col(f"value_{s}") * (DAY if s == "slope" else 1), 6).alias(f"value_{s}") for s in sliding.STATISTICS])
 
 
-@query(f"""{SLIDING} select user_id, k, case max(case when c between 1 and 99 then 2 when c > 100 then 1 when c = 0 then 0 end) when 2 then 'event' when 1 then 'transient' when 0 then 'normal' end as label from (select *, {CODE} as c from f) group by 1, 2""")
+@query(f"""{SLIDING} select user_id, k, case max({SEVERITY}) when 2 then 'event' when 1 then 'transient' when 0 then 'normal' end as label from (select *, {CODE} as c from f) group by 1, 2""")
 def window_labels(spark, d):
     rows = sliding.windowed(table(spark, d, "events"), "user_id", "ts", 7 * DAY, DAY)
     return sliding.features(rows, "user_id", ["value"], label=code()).select("user_id", "k", "label")
 
 
-@query(f"""{SLIDING} select user_id, k, count(*) as n_rows, case max(case when c between 1 and 99 then 2 when c > 100 then 1 when c = 0 then 0 end) when 2 then 'event' when 1 then 'transient' else 'normal' end as label
+@query(f"""{SLIDING} select user_id, k, count(*) as n_rows, case max({SEVERITY}) when 2 then 'event' when 1 then 'transient' else 'normal' end as label
     from (select *, {CODE} as c from f) group by 1, 2 having count(c) > 0""")
 def windows_to_train(spark, d):
     """Windows with a label only, as training takes them."""
@@ -102,11 +106,11 @@ def adaptive_step(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(sliding.adaptive_step(last - first, 15, 1500).alias("step_s"))
 
 
-MARKS = f"(select user_id, min(case when {CODE} > 100 then ts end) as transient_at, min(case when {CODE} between 1 and 99 then ts end) as event_at from events where value > 20 group by 1)"
+MARKS = f"(select user_id, min(case when {CODE} >= 100 then ts end) as transient_at, min(case when {CODE} in (2, -1) then ts end) as event_at from events group by 1)"
 
 
 def marks(spark, d):
-    return alarms.milestones(table(spark, d, "events").where("value > 20"), "user_id", "ts", code())
+    return alarms.milestones(table(spark, d, "events"), "user_id", "ts", code())
 
 
 @query(f"select * from {MARKS}")

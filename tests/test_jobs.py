@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from strata.ml import folds, jobs, models
+from strata.ml import boosting, folds, jobs, models
 from strata.operators import alarms
 
 
@@ -62,3 +62,19 @@ def test_regressor_and_predictions(spark, tmp_path):
     assert out.count() == 400 and out.where("actual is not null").count() == 180
     assert out.where("id < 200 and abs(predicted - actual) < 60").count() > 150
     assert out.first()["model_version"] == "v1"
+
+
+def test_boosted_windows_detect_without_the_cap(spark, readings, tmp_path):
+    windows = jobs.Windows("series", "ts", ("pressure", "flow"), most=9)
+    # a sensor that some series lack
+    rows = readings.withColumn("flow", F.when(F.col("site") != "w1", F.col("flow")))
+    cut = windows.cut(rows, F.col("code")).join(rows.select("series", "site").distinct(), "series")
+    assert cut.count() < 12 * 10
+    store = models.Models(spark, str(tmp_path / "models"))
+    how = boosting.Boosting(rounds=2, rate=0.5, depth=2, bins=16, least_rows=3)
+    done = jobs.train_classifier(cut, windows.features, [jobs.Split("series", "series", 2)], "pressure_std", store, "events", how)
+    assert done.promoted and done.scores["boosted by series"] > 0.8
+    found = jobs.detect(rows.drop("code"), windows, 24, store, "events", F.lit("2024-01-01").cast("timestamp")).where("series = 's1'")
+    # 27 windows at every step, of which some are normal
+    assert found.count() > 9 and {r["predicted"] for r in found.collect()} == {"transient", "event"}
+    assert windows.cut(rows, capped=False).count() == 12 * 27

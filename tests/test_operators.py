@@ -125,3 +125,12 @@ def test_promotion_and_registry(spark, tmp_path):
     assert out.where("actual is not null").count() == 10
     fall = models.permutation_importance(champion, rows, "id", ["x"], lambda d: d.agg(metrics.regression(F.col("y"), F.col("prediction"))[2]).first()[0], repeats=1)
     assert fall["x"] > 0.3
+
+
+def test_slope_at_one_instant_and_codes(spark):
+    at = dt.datetime(2024, 1, 1)
+    rows = spark.createDataFrame([("a", at, 1.0, 0.0), ("a", at, 3.0, 1.0), ("a", at + dt.timedelta(seconds=20), None, 2.0)], "s string, ts timestamp, v double, u double")
+    out = sliding.features(sliding.windowed(rows, "s", "ts", 10, 10), "s", ["v", "u"]).where("k = 0").first()
+    assert out["v_slope"] is None and out["v_mean"] == 2.0 and out["v_delta"] is not None
+    codes = spark.createDataFrame([(0.0,), (100.0,), (107.0,), (-1.0,), (5.0,), (float("nan"),), (None,)], "c double")
+    assert [r[0] for r in codes.select(sliding.severity_label(sliding.label_severity(F.col("c")))).collect()] == ["normal", "transient", "transient", "event", "event", None, None]
