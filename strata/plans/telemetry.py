@@ -73,6 +73,34 @@ def replay_looped(spark, d):
     return replay.looped(rows, 3, "user_id").select("event_id", F.col("round").cast("long").alias("round"), "offset_us")
 
 
+# events in the order in which they are sent, one in twenty held back for one to twelve days, in twelve batches
+SENT = """(select *, (row_number() over (order by sent, event_id) - 1) * 12 // count(*) over () as batch from (select *, epoch(ts - (select min(ts) from events))::bigint
+    + case when (event_id * 7919 + 17) % 1000 < 50 then 86400 + (event_id * 104729 + 7) % (11 * 86400 + 1) else 0 end as sent from events))"""
+
+
+def sent(spark, d):
+    events = table(spark, d, "events")
+    first = events.agg(F.min("ts")).first()[0]
+    offset = F.unix_seconds(F.col("ts").cast("timestamp")) - F.unix_seconds(F.lit(first).cast("timestamp")) - F.when(F.date_format("ts", "SSSSSS") < F.date_format(F.lit(first), "SSSSSS"), 1).otherwise(0)
+    return replay.late_plan(events.withColumn("offset_s", offset), "event_id", "offset_s", "2030-01-01", least_s=DAY, most_s=12 * DAY)
+
+
+@query(f"""with e as (select *, time_bucket(interval 1 day, ts) + interval 1 day as window_end from {SENT}),
+    b as (select batch, max(max(ts)) over (order by batch) as seen from e group by 1), w as (select batch, lag(seen, {{lag}}) over (order by batch) - interval 2 day as passed from b)
+    select window_end - interval 1 day as window_start, window_end, event_type as series, count(*) as n, round(avg(value), 6) as avg_value, min(value) as min_value, max(value) as max_value, max(user_id) as max_code
+    from e join w using (batch) where (passed is null or window_end > passed) and window_end <= (select max(ts) from events) - interval 2 day group by 1, 2, 3""".replace("{lag}", "2"))
+def stream_late(spark, d):
+    """Daily windows of events that come in twelve batches, late ones held back for days and the last of these flushed in the
+    end; those of windows that the watermark of the batch before had passed are dropped."""
+    return telemetry.plain(telemetry.run_late(spark, sent(spark, d), 12, "1 day", "2 days"))
+
+
+@query(f"""select event_id, user_id, case when value > 60 then 'event' else 'transient' end as predicted from {SENT} where value > 30""")
+def stream_published(spark, d):
+    """Alerts by a rule from twelve batches, each in its own place; the stream is killed after a write that it doesn't commit, and started again."""
+    return telemetry.run_published(spark, sent(spark, d), 12)
+
+
 SLIDING = f"""with b as (select *, (epoch_us(ts) - min(epoch_us(ts)) over (partition by user_id)) / 1e6 as dt from events), m as (select *, max(dt) over (partition by user_id) as last from b),
     w as (select *, unnest(generate_series(greatest(0, cast(floor((dt - 7 * {DAY}) / {DAY}) as bigint) + 1), cast(floor(dt / {DAY}) as bigint))) as k from m), f as (select * from w where k * {DAY} + 7 * {DAY} <= last)"""
 
@@ -86,6 +114,15 @@ def sliding_features(spark, d):
     return out.select("user_id", "k", "n_rows", *[F.round(F.col(f"value_{s}") * (DAY if s == "slope" else 1), 6).alias(f"value_{s}") for s in sliding.STATISTICS])
 
 
+@query(f"""{SLIDING} select user_id, k, k * {DAY} as window_start, count(*) as n_rows, round(avg(value), 6) as value_mean, round(case when count(*) >= 2 and var_pop(dt) > 0 then regr_slope(value, dt) * {DAY} end, 6) as value_slope,
+    round(case when count(*) >= 2 then arg_max(value, dt) - arg_min(value, dt) end, 6) as value_delta from f join (select user_id, min(ts) as began from events group by 1) using (user_id)
+    where began + k * interval 1 day + interval 7 day <= (select max(ts) from events) - interval 1 day group by 1, 2 having count(*) >= 2""")
+def stream_sliding(spark, d):
+    """The sliding windows of a stream over twelve batches of events in order, restarted in between: those that the watermark has passed."""
+    out = telemetry.run_sliding(spark, table(spark, d, "events").select("event_id", "user_id", "ts", "value"), 12, 7 * DAY, DAY, "1 day").where("value_mean is not null")
+    return out.select("user_id", "k", "window_start", "n_rows", F.round("value_mean", 6).alias("value_mean"), F.round(F.col("value_slope") * DAY, 6).alias("value_slope"), F.round("value_delta", 6).alias("value_delta"))
+
+
 @query(f"""{SLIDING} select user_id, k, case max({SEVERITY}) when 2 then 'event' when 1 then 'transient' when 0 then 'normal' end as label from (select *, {CODE} as c from f) group by 1, 2""")
 def window_labels(spark, d):
     rows = sliding.windowed(table(spark, d, "events"), "user_id", "ts", 7 * DAY, DAY)

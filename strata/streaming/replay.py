@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -52,6 +53,31 @@ def write_ordered(rows: DataFrame, order: Sequence[str], path: str) -> DataFrame
     return placed
 
 
+def write_batches(rows: DataFrame, order: Sequence[str], batches: int, path: str, kind: str = "parquet") -> int:
+    """Deals the rows, in their order, evenly to so many files, which a file source then reads in this order: one file a batch with
+    one file a trigger. Rows held back to the end (by ``late_plan``) are the last files' own. Returns the number of files.
+
+    The file source goes by the times of files, so these are set a second apart; only names pass through the driver.
+    """
+    placed = stored(numbered(rows, order), "placed")
+    n = placed.count()
+    batch = F.lpad(F.floor((F.col("place") - 1) * batches / F.lit(max(n, 1))).cast("string"), 9, "0")
+    dealt = placed.withColumn("batch", batch).drop("place")
+    dealt.repartition("batch").sortWithinPartitions("batch", *order).write.partitionBy("batch").format(kind).save(path)
+    spark = rows.sparkSession
+    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files, found = fs.listFiles(top, True), []
+    while files.hasNext():
+        at = files.next().getPath()
+        if "/batch=" in at.toString() and at.getName().startswith("part-"):
+            found.append((at.toString(), at))
+    begin = int(time.time() * 1000) - 1000 * len(found)
+    for i, (_, at) in enumerate(sorted(found, key=lambda x: x[0])):
+        fs.setTimes(at, begin + 1000 * i, -1)
+    return len(found)
+
+
 def late_plan(rows: DataFrame, key: str, offset_s: str, base: str, permille: int = 50, least_s: int = 30, most_s: int = 120) -> DataFrame:
     """``late``, ``delay_s`` and ``emit_at``: which events are held back and for how long, by fixed arithmetic on the key, so
     that every run has the same plan."""

@@ -5,7 +5,8 @@ import time
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strata.streaming import replay, telemetry
+from strata.operators import sliding
+from strata.streaming import replay, telemetry, windows
 
 SCHEMA = T.StructType([T.StructField("id", T.LongType()), T.StructField("series", T.StringType()), T.StructField("event_time", T.TimestampType()), T.StructField("p", T.DoubleType()), T.StructField("code", T.IntegerType())])
 
@@ -58,3 +59,61 @@ def test_replay_offsets_rounds_and_lateness(spark):
     late = replay.late_plan(spark.range(5000).selectExpr("id", "id as o"), "id", "o", "2030-01-01").where("late")
     assert 200 <= late.count() <= 300 and late.where("delay_s < 30 or delay_s > 120").count() == 0
     assert replay.late_plan(spark.range(100).selectExpr("id", "id as o"), "id", "o", "2030-01-01", permille=0).where("late").count() == 0
+
+
+def test_totals_beyond_a_hundred_batches(spark):
+    with telemetry.watched(spark) as totals:
+        rows = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 3).load()
+        query = rows.writeStream.queryName("many").foreachBatch(lambda df, i: df.count()).trigger(processingTime="0 seconds").start()
+        while query.lastProgress is None or query.lastProgress["batchId"] < 104:
+            query.awaitTermination(0.3)
+        done = telemetry.run_for([query], 0.1, report=lambda x: None)
+    assert len(query.recentProgress) <= 100
+    n = totals.by_query["many"]["batches"]
+    assert n >= 105 and totals.by_query["many"]["rows_read"] == 3 * n
+    assert done["many"]["rows_read"] > 0 and not totals.failed
+
+
+def test_batches_come_in_order_and_late_rows_are_dropped(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    rows = spark.createDataFrame([(i, start + dt.timedelta(minutes=i), 7 * i % 50, "a") for i in range(60)], "id long, ts timestamp, emit long, series string").withColumn("emit", F.when(F.col("id") % 20 == 3, 1000 + F.col("id")).otherwise(F.col("id")))
+    assert replay.write_batches(rows, ["emit"], 6, str(tmp_path / "in")) == 6
+    events = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    seen = []
+    telemetry.finish(telemetry.start_publishing(events, lambda df, i: seen.append([r["emit"] for r in df.collect()]), str(tmp_path / "c1"), pace=telemetry.Pace(files_per_batch=1)))
+    assert [x for b in seen for x in sorted(b)] == sorted(r["emit"] for r in rows.collect()) and len(seen) == 6
+    pace = telemetry.Pace("2 minutes", "5 minutes", files_per_batch=1)
+    with telemetry.watched(spark) as totals:
+        timed = events.withColumnRenamed("ts", "event_time").withColumn("code", F.lit(0))
+        telemetry.finish(telemetry.start_tumbling(timed, str(tmp_path / "out"), str(tmp_path / "c2"), ["id"], pace))
+    # of the rows held back to the end, those of minutes 3 and 23: the last batch still drops by the watermark before the one before it
+    assert totals.by_query["tumbling"]["rows_dropped"] == 2 and totals.by_query["tumbling"]["rows_read"] == 60
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.agg(F.sum("n")).first()[0] == out.count() * 5 - 2
+
+
+def test_a_batch_written_twice_is_there_once(spark, tmp_path):
+    publish = telemetry.replace_batch(str(tmp_path / "out"))
+    for batch, n in ((0, 5), (1, 7), (1, 4), (2, 0)):
+        publish(spark.range(n), batch)
+    assert sorted((r["batch"], r["count"]) for r in spark.read.parquet(str(tmp_path / "out")).groupBy("batch").count().collect()) == [(0, 5), (1, 4)]
+
+
+def test_stream_of_sliding_windows_with_gaps_and_disorder(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    at = [0, 1, 3, 3, 9, 14, 15, 60, 61, 62, 75, 90, 91, 130]
+    data = [(s, start + dt.timedelta(seconds=t + off), None if t == 14 else float(t * t % 17), float("nan") if s == "b" else 1.0) for s, off in (("a", 0), ("b", 5)) for t in at]
+    rows = spark.createDataFrame(data, "s string, ts timestamp, v double, u double")
+    # neighbours in time come in other batches, but none behind the watermark
+    mixed = rows.withColumn("place", F.unix_seconds("ts") + F.when(F.unix_seconds("ts") % 2 == 0, 20).otherwise(0))
+    replay.write_batches(mixed, ["place", "s", "v"], 5, str(tmp_path / "in"))
+    events = spark.readStream.schema(mixed.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    out = windows.sliding_stream(events, "s", "ts", ["v", "u"], 10, 5, "60 seconds")
+    telemetry.finish(out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start())
+    names = ["s", "k", "window_start", "n_rows", *[f"{c}_{x}" for c in "vu" for x in sliding.STATISTICS]]
+    want = sliding.features(sliding.windowed(rows, "s", "ts", 10, 5), "s", ["v", "u"]).select(names)
+    clean = lambda df: {(r["s"], r["k"]): [round(x, 9) if isinstance(x, float) else x for x in r] for r in df.collect()}
+    # the watermark ends at 135 - 60 seconds
+    ended = {k: v for k, v in clean(want).items() if v[2] + 10 + (5 if k[0] == "b" else 0) <= 75}
+    got = clean(spark.read.parquet(str(tmp_path / "out")).select(names))
+    assert got == ended and len(got) > 8
