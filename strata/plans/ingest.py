@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from strata.functions.columns import safe_key
 from strata.plans.registry import Registry, table
-from strata.sources import catalog, files, manifest
-from strata.sources.scratch import scratch_path
+from strata.sources import catalog, files, jdbc, listing, manifest
+from strata.sources.scratch import scratch_path, stored
 
 query = Registry()
 
@@ -199,3 +201,45 @@ def json_decode(spark, d):
 def sparse_events(spark, d):
     rows = table(spark, d, "events").select("event_id", F.when(~(F.col("value") > 50), F.col("user_id")).alias("user_id"), F.col("event_type").alias("type"))
     return rows.select("event_id", files.sparse_json([F.col("event_id"), F.col("user_id"), F.col("type")]).alias("body"))
+
+
+@query(f"""select id, resource_id, finished_at from ({ATTEMPTS}) where status = 'ok' qualify row_number() over (partition by resource_id order by finished_at desc, id desc) = 1""")
+def jdbc_latest(spark, d):
+    """The attempts written to a database and the latest good ones read back in eight tasks. The database is embedded in this
+    process, so it is reached in local mode only; a server takes the same code."""
+    url = f"jdbc:derby:memory:strata{uuid.uuid4().hex}"
+    options = {"url": f"{url};create=true", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    # names that aren't quoted are upper case in this database
+    rows = attempts(spark, d).select("id", "resource_id", "status", F.col("finished_at").cast("timestamp").alias("finished_at"))
+    rows = rows.toDF(*[c.upper() for c in rows.columns])
+    rows.write.format("jdbc").options(**options, dbtable="attempts", createTableColumnTypes="RESOURCE_ID varchar(40), STATUS varchar(20)").save()
+    connection = spark.sparkContext._jvm.java.sql.DriverManager.getConnection(url)
+    connection.createStatement().execute("create index by_resource on attempts (resource_id, status)")
+    connection.close()
+    found = jdbc.latest_attempts(spark, options, "attempts", fields=("id", "resource_id", "finished_at"))
+    return found.select(F.col("ID").alias("id"), F.col("RESOURCE_ID").alias("resource_id"), F.col("FINISHED_AT").cast("timestamp_ntz").alias("finished_at"))
+
+
+@query("""with f as (select p_type as class, p_brand as owner, p_size % 2 as part, string_agg(p_partkey || ',' || p_name || chr(10), '' order by p_partkey) as content from part group by 1, 2, 3),
+    n as (select class, owner, class || '/' || owner || '/' || part as resource_id, strlen(content) as size, sha1('blob ' || strlen(content) || chr(0) || content) as sha, cast(split_part(owner, '#', 2) as integer) as b from f where owner like 'Brand#%'),
+    t as (select *, row_number() over (partition by class, owner order by resource_id) as turn from n), q as (select *, row_number() over (partition by class order by turn, owner) as place from t)
+    select resource_id, size, sha, case when b % 3 = 0 then 'unchanged' else 'download' end as decision from q where place <= case class when 'ECONOMY' then 30 when 'SMALL' then 7 when 'MEDIUM' then 12 else 0 end""")
+def fetch_listing(spark, d):
+    """The parts as files by type, brand and kind of size: those listed by hash and chosen by quota, and whether they are landed. Of the brands,
+    a third are landed as they are, a third in another size, and the rest not."""
+    root = f"{scratch_path(spark, 'remote')}/files"
+    rows = table(spark, d, "part").select("p_partkey", F.col("p_type").alias("class"), F.col("p_brand").alias("owner"), (F.col("p_size") % 2).alias("part"), F.concat_ws(",", F.col("p_partkey").cast("string"), "p_name").alias("value"))
+    dealt = rows.repartition("class", "owner", "part").sortWithinPartitions("class", "owner", "part", "p_partkey")
+    dealt.drop("p_partkey").write.partitionBy("class", "owner", "part").text(root)
+    at = lambda c: F.url_decode(F.regexp_extract("path", f"/{c}=([^/]*)/", 1))
+    files = listing.listed(spark, root, "part-*").select("size", "sha", *[at(c).alias(c) for c in ("class", "owner", "part")])
+    files = files.withColumn("resource_id", F.concat_ws("/", "class", "owner", "part"))
+    files = stored(listing.chosen(files, "class", "owner", "resource_id", {"ECONOMY": 30, "SMALL": 7, "MEDIUM": 12}), "listing")
+    kind = F.split_part("owner", F.lit("#"), F.lit(2)).cast("int") % 3
+    before = files.where(kind < 2).withColumn("landing_key", F.concat(F.lit("3/"), "resource_id"))
+    log = before.select(
+        F.lit(1).cast("long").alias("id"), "resource_id", F.lit(manifest.OK).alias("status"), F.col("sha").alias("last_modified"), "landing_key", F.col("size").alias("bytes"),
+        F.lit("2024-01-01").cast("timestamp").alias("finished_at"),
+    )
+    landed = before.select("landing_key", (F.col("size") - F.when(kind == 1, 1).otherwise(0)).alias("size"))
+    return listing.fetch_decisions(files, log, landed).select("resource_id", "size", "sha", "decision")

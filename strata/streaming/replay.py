@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strata.sources.listing import walk
 from strata.sources.scratch import stored
 
 
@@ -65,16 +67,12 @@ def write_batches(rows: DataFrame, order: Sequence[str], batches: int, path: str
     dealt = placed.withColumn("batch", batch).drop("place")
     dealt.repartition("batch").sortWithinPartitions("batch", *order).write.partitionBy("batch").format(kind).save(path)
     spark = rows.sparkSession
-    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files, found = fs.listFiles(top, True), []
-    while files.hasNext():
-        at = files.next().getPath()
-        if "/batch=" in at.toString() and at.getName().startswith("part-"):
-            found.append((at.toString(), at))
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [p for p, _ in walk(spark, path) if re.search("/batch=[0-9]+/part-[^/]*$", p)]
     begin = int(time.time() * 1000) - 1000 * len(found)
-    for i, (_, at) in enumerate(sorted(found, key=lambda x: x[0])):
-        fs.setTimes(at, begin + 1000 * i, -1)
+    for i, at in enumerate(found):
+        fs.setTimes(hadoop(at), begin + 1000 * i, -1)
     return len(found)
 
 

@@ -1,3 +1,4 @@
+import datetime as dt
 import io
 import json
 import zipfile
@@ -6,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strata.session import Settings, jdbc_options
-from strata.sources import catalog, files, manifest, workbook
+from strata.sources import catalog, files, jdbc, listing, manifest, workbook
 from strata.sources.sinks import Tables
 
 
@@ -109,3 +110,40 @@ def test_crosstab_workbooks(spark, tmp_path):
         empty = io.BytesIO()
         zipfile.ZipFile(empty, "w").close()
         workbook.unwrapped(empty.getvalue())
+
+
+def test_latest_attempts_from_a_database_in_several_tasks(spark):
+    url = "jdbc:derby:memory:attempts"
+    options = {"url": f"{url};create=true", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    at = [None, dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2)]
+    rows = [(i, f"r{i % 7}", ["ok", "ok", "failed"][i % 3], at[i * 5 % 3], ["a", "b"][i // 40]) for i in range(80)]
+    df = spark.createDataFrame(rows, "ID long, RESOURCE_ID string, STATUS string, FINISHED_AT timestamp, DATASET string")
+    df.write.format("jdbc").options(**options, dbtable="attempts", createTableColumnTypes="RESOURCE_ID varchar(9), STATUS varchar(9), DATASET varchar(9)").save()
+    for dataset in (None, "b"):
+        got = jdbc.latest_attempts(spark, options, "attempts", dataset, fields=("id", "resource_id"), tasks=5)
+        assert got.rdd.getNumPartitions() == 5
+        of = [r for r in rows if r[2] == "ok" and dataset in (None, r[4])]
+        want = {k: max((r for r in of if r[1] == k), key=lambda r: (r[3] is not None, r[3] or at[1], r[0]))[0] for k in {r[1] for r in of}}
+        assert {r["RESOURCE_ID"]: r["ID"] for r in got.collect()} == want
+    with pytest.raises(ValueError):
+        jdbc.latest_query("attempts", "x'; drop table attempts")
+
+
+def test_listing_hashes_quotas_and_decisions(spark, tmp_path):
+    import hashlib
+
+    for name, text in (("c=1/WELL-1_a", b"abc"), ("c=1/WELL-1_b", b""), ("c=1/WELL-2_a", b"x" * 70_000), ("c=1/SIM_a", b"no"), ("c=2/WELL-9_a", b"y"), ("c=3/WELL-9_a", b"z")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(text)
+    found = listing.listed(spark, str(tmp_path))
+    files = found.select("size", "sha", F.regexp_extract("path", "c=([0-9])", 1).cast("int").alias("class"), F.regexp_extract("path", "([^/]*)$", 1).alias("name"))
+    files = files.withColumn("owner", F.regexp_extract("name", "^([^_]*)", 1)).withColumn("resource_id", F.concat_ws("/", "class", "name"))
+    rows = {r["resource_id"]: r for r in files.collect()}
+    assert rows["1/WELL-1_a"]["sha"] == hashlib.sha1(b"blob 3\0abc").hexdigest() and rows["1/WELL-1_b"]["sha"] == "e69de29bb2d1d6434b8b29ae775ad8c2e48c5391"
+    taken = listing.chosen(files, "class", "owner", "name", {1: 2, 2: 5}, "WELL-")
+    assert {r["resource_id"] for r in taken.collect()} == {"1/WELL-1_a", "1/WELL-2_a", "2/WELL-9_a"}
+    log = [(1, k, "ok", rows[k]["sha"] if k != "2/WELL-9_a" else "old", k, rows[k]["size"], dt.datetime(2024, 1, 1)) for k in rows]
+    log = spark.createDataFrame(log, "id long, resource_id string, status string, last_modified string, landing_key string, bytes long, finished_at timestamp")
+    landed = files.select(F.col("resource_id").alias("landing_key"), F.when(F.col("name") == "WELL-2_a", 1).otherwise(F.col("size")).alias("size"))
+    out = {r["resource_id"]: r["decision"] for r in listing.fetch_decisions(files, log, landed).collect()}
+    assert out.pop("2/WELL-9_a") == out.pop("1/WELL-2_a") == "download" and set(out.values()) == {"unchanged"}
