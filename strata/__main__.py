@@ -102,12 +102,16 @@ def main(argv: list[str] | None = None) -> int:
         print(e, file=sys.stderr)
         return 2
     raw_rows = tables.read(contract.source)
+    if raw_rows is None:
+        print(f"there is no table {contract.source}", file=sys.stderr)
+        return 2
     if args.resource_id:
         raw_rows = raw_rows.where(F.col("_resource_id") == args.resource_id)
     runs = load_pending(raw_rows, tables.read(contract.table), contract, datetime.datetime.now(datetime.timezone.utc).replace(tzinfo=None), tables, settings.table("ops.dq_runs") if settings.environment else "dq_runs")
-    failed = [r["resource_id"] for r in runs.where("status = 'failed'").select("resource_id").limit(20).collect()]
-    if failed:
-        logger.error("contract %s failed for: %s", args.contract, ", ".join(map(str, failed)))
+    failed = 0
+    # one after the other, however many there are
+    for failed, r in enumerate(runs.where("status = 'failed'").select("resource_id").toLocalIterator(), 1):
+        logger.error("contract %s failed for: %s", args.contract, r["resource_id"])
     return int(bool(failed))
 
 

@@ -13,12 +13,15 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strata.functions.columns import column_name, with_plain_names
 from strata.ml import boosting, jobs, models
 from strata.operators import monitor
 from strata.session import Settings
 from strata.sources import catalog, manifest, workbook
 from strata.sources.scratch import stored
 from strata.sources.sinks import Tables
+from strata.streaming import telemetry
+from strata.streaming.replay import late_plan, with_offset, write_batches
 
 RUNS, REJECTS = "dq_runs", "_rejects"
 
@@ -132,6 +135,33 @@ def predict(args: argparse.Namespace, settings: Settings, tables: Tables) -> int
     return _publish(rows, args, settings, tables)
 
 
+def replay(args: argparse.Namespace, settings: Settings, tables: Tables) -> int:
+    """Writes a table's readings as files of JSON events in the order of emission, some of them late, for ``consume``."""
+    rows = tables.read(args.readings)
+    if rows is None:
+        return 1
+    rows = with_offset(with_plain_names(rows), args.series, args.ts)
+    rows = rows.withColumns({"_key": F.pmod(F.xxhash64(args.series, args.ts), F.lit(1 << 40)), "_s": F.floor(F.col("offset_us") / 1_000_000)})
+    rows = late_plan(rows, "_key", "_s", args.base, permille=args.late)
+    event_time = F.timestamp_micros(F.unix_micros(F.lit(args.base).cast("timestamp")) + F.col("offset_us"))
+    events = rows.withColumns({"event_time": event_time, "series": F.col(args.series).cast("string")}).drop("_s", "late", "delay_s", "offset_us")
+    n = write_batches(events, ["emit_at", "_key"], args.files, args.out, "json")
+    print(f"{n} files in {args.out}")
+    return 0
+
+
+def consume(args: argparse.Namespace, settings: Settings, tables: Tables) -> int:
+    """Stores the events of a folder as they come and their tumbling aggregates, for so many seconds; prints the totals."""
+    fields = ["event_time timestamp", "series string", f"{args.code} int", *[f"{column_name(s)} double" for s in args.sensor]]
+    pace = telemetry.Pace(args.watermark, args.width, files_per_batch=args.files_per_batch, every=args.every)
+    schema = tables.spark.createDataFrame([], ", ".join(fields)).schema
+    source = tables.spark.readStream.schema(schema).option("maxFilesPerTrigger", pace.files_per_batch).option("recursiveFileLookup", "true").json(args.events)
+    raw = telemetry.start_raw(source, f"{args.out}/raw", f"{args.out}/checkpoints/raw", pace=pace)
+    sums = telemetry.start_tumbling(source.withColumnRenamed(args.code, "code"), f"{args.out}/tumbling", f"{args.out}/checkpoints/tumbling", [column_name(s) for s in args.sensor], pace)
+    print(json.dumps(telemetry.run_for([raw, sums], args.seconds), sort_keys=True))
+    return 0
+
+
 def _publish(rows: DataFrame | None, args: argparse.Namespace, settings: Settings, tables: Tables) -> int:
     if rows is None:
         return 1
@@ -144,7 +174,7 @@ def _publish(rows: DataFrame | None, args: argparse.Namespace, settings: Setting
 
 COMMANDS: dict[str, Callable[[argparse.Namespace, Settings, Tables], int]] = {
     "resources": resources, "manifest": attempts, "inspect": inspect, "workbooks": workbooks,
-    "train-windows": train_windows, "detect": detect, "train-rows": train_rows, "predict": predict,
+    "train-windows": train_windows, "detect": detect, "train-rows": train_rows, "predict": predict, "replay": replay, "consume": consume,
 }
 
 
@@ -190,3 +220,18 @@ def add_commands(commands: argparse._SubParsersAction) -> None:
         at[name].add_argument("table", help="table to replace")
     for name in ("workbooks", "detect", "predict"):
         at[name].add_argument("--dry-run", action="store_true")
+    at["replay"].add_argument("readings", help="table")
+    at["replay"].add_argument("out", help="folder of the files")
+    for option in ("--series", "--ts"):
+        at["replay"].add_argument(option, required=True)
+    at["replay"].add_argument("--base", default="2030-01-01", help="time of the first reading of each series")
+    at["replay"].add_argument("--late", type=int, default=50, help="events in a thousand that are held back")
+    at["replay"].add_argument("--files", type=int, default=100)
+    at["consume"].add_argument("events", help="folder of JSON files")
+    at["consume"].add_argument("out", help="folder of the tables and checkpoints")
+    at["consume"].add_argument("--sensor", action="append", required=True)
+    at["consume"].add_argument("--code", default="code")
+    for option, value in (("--watermark", "2 minutes"), ("--width", "1 minute"), ("--every", None)):
+        at["consume"].add_argument(option, default=value)
+    at["consume"].add_argument("--files-per-batch", type=int, default=100)
+    at["consume"].add_argument("--seconds", type=float, default=3600)

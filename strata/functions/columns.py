@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import unicodedata
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Accented Latin letters and the letters without the accent.
-ACCENTED = "áàâäãåéèêëíìîïóòôöõúùûüñçýÁÀÂÄÃÅÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇÝ"
-PLAIN = "aaaaaaeeeeiiiiooooouuuuncyAAAAAAEEEEIIIIOOOOOUUUUNCY"
+
+
+def _accents() -> tuple[str, str]:
+    """Every letter of the first planes' scripts that is a letter with marks, and that letter."""
+    marked = {}
+    for c in map(chr, range(0xC0, 0x2000)):
+        base = "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x))
+        if len(base) == 1 and base != c:
+            marked[c] = base
+    return "".join(marked), "".join(marked.values())
+
+
+ACCENTED, PLAIN = _accents()
 
 
 def _col(c: Column | str) -> Column:
@@ -20,8 +32,22 @@ def blank_to_null(c: Column | str) -> Column:
 
 
 def fold(c: Column | str) -> Column:
-    """Without accents, in upper case, each run of white space one space."""
-    return F.upper(F.trim(F.regexp_replace(F.translate(_col(c), ACCENTED, PLAIN), r"\s+", " ")))
+    """Without accents (letters with marks, and marks of their own), in upper case, each run of white space one space."""
+    plain = F.regexp_replace(F.translate(_col(c), ACCENTED, PLAIN), r"\p{Mn}+", "")
+    return F.upper(F.trim(F.regexp_replace(plain, r"\s+", " ")))
+
+
+def column_name(name: str) -> str:
+    """A sensor's name as a column: ``P-PDG`` is ``p_pdg``, which needs no quotes in SQL."""
+    return name.strip().lower().replace("-", "_")
+
+
+def with_plain_names(df: DataFrame) -> DataFrame:
+    """All columns by ``column_name``. Two that become one name are an error."""
+    names = [column_name(c) for c in df.columns]
+    if len(set(names)) < len(names):
+        raise ValueError(f"names become equal: {sorted(c for c in df.columns if names.count(column_name(c)) > 1)}")
+    return df.toDF(*names)
 
 
 def squeeze(c: Column | str) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,9 +26,21 @@ class Tables:
 
             aligned = df.select(*[F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in order])
             aligned.write.option("partitionOverwriteMode", "dynamic").insertInto(table, overwrite=True)
-        else:
-            writer = df.write.mode("overwrite").format("parquet")
+            return
+        writer = df.write.format("parquet")
+        if partition_by or not self.spark.catalog.tableExists(table):
+            # there is no table before it
             (writer.partitionBy(*partition_by) if partition_by else writer).saveAsTable(table)
+            return
+        # the new table is whole before the old one goes; a write that fails leaves the old one as it is
+        new = f"{table}_{uuid.uuid4().hex}"
+        try:
+            writer.saveAsTable(new)
+        except BaseException:
+            self.spark.sql(f"drop table if exists {new}")
+            raise
+        self.spark.sql(f"drop table {table}")
+        self.spark.sql(f"alter table {new} rename to {table}")
 
     def append(self, table: str, df: DataFrame) -> None:
         df.write.mode("append").format("parquet").saveAsTable(table)

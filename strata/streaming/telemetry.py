@@ -152,7 +152,7 @@ def progress(query: StreamingQuery) -> dict[str, int]:
 
 
 def run_for(queries: Sequence[StreamingQuery], seconds: float, beat: float = 5.0, report=print) -> dict[str, dict[str, int]]:
-    """Lets the streams run for so long, or until one ends, and reports the progress of each at every beat. Then all are stopped; a
+    """Lets the streams run for so long, or until one fails or all have ended, and reports the progress of each at every beat. Then all are stopped; a
     failure is raised after that. All batches are counted."""
     until, spark = time.monotonic() + seconds, SparkSession.active()
     with watched(spark) as totals:
@@ -163,8 +163,8 @@ def run_for(queries: Sequence[StreamingQuery], seconds: float, beat: float = 5.0
             return {q.name: {k: max(v, all_batches[q.name].get(k, 0)) for k, v in progress(q).items()} for q in queries}
 
         try:
-            while time.monotonic() < until and all(q.isActive for q in queries):
-                queries[0].awaitTermination(max(0.1, min(beat, until - time.monotonic())))
+            while time.monotonic() < until and (active := [q for q in queries if q.isActive]) and not any(q.exception() for q in queries):
+                active[0].awaitTermination(max(0.1, min(beat, until - time.monotonic())))
                 report(found())
         finally:
             failed = [e for q in queries if (e := q.exception())]

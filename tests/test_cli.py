@@ -1,3 +1,7 @@
+import json
+
+import pytest
+
 from strata.__main__ import main
 
 
@@ -114,3 +118,38 @@ def test_training_commands(spark, tmp_path, capsys):
     assert main(["predict", "sites", "predicted", "--key", "id", "--where", "id < 100", "--complete", "id < 50", *at]) == 0
     out = spark.table("predicted")
     assert out.count() == 100 and out.where("actual is not null").count() == 50
+
+
+def test_replay_and_consume(spark, tmp_path, capsys):
+    rows = spark.range(240).selectExpr("concat('w', id % 2) as well", "timestamp_micros(1700000000000000 + (id div 2) * 5000000 + 250000) as ts", "cast(id as double) as `P-PDG`", "cast(id % 3 as int) as code")
+    rows.write.mode("overwrite").saveAsTable("readings_to_replay")
+    events, out = str(tmp_path / "events"), str(tmp_path / "out")
+    assert main(["replay", "nothing", events, "--series", "well", "--ts", "ts"]) == 1
+    assert main(["replay", "readings_to_replay", events, "--series", "well", "--ts", "ts", "--files", "6"]) == 0
+    assert main(["consume", events, out, "--sensor", "P-PDG", "--files-per-batch", "2", "--seconds", "60"]) == 0
+    totals = json.loads(capsys.readouterr().out.splitlines()[-1])
+    assert totals["raw"]["rows_read"] == 240 and spark.read.parquet(f"{out}/raw").count() == 240
+    sums = spark.read.parquet(f"{out}/tumbling")
+    assert {"window_start", "series", "n", "avg_p_pdg", "max_code"} <= set(sums.columns) and sums.count() >= 8
+
+
+def test_a_silver_load_without_its_source_says_so(spark, tmp_path, capsys):
+    spark.sql("drop table if exists raw_lines_gone")
+    text = open("contracts/lines.yaml").read()
+    source = next(x.split(":", 1)[1].strip() for x in text.splitlines() if x.startswith("source:"))
+    (tmp_path / "c.yaml").write_text(text.replace(source, "raw_lines_gone"))
+    assert main(["silver", str(tmp_path / "c.yaml")]) == 2 and "raw_lines_gone" in capsys.readouterr().err
+
+
+def test_a_failed_replacement_leaves_the_table(spark):
+    from strata.sources.sinks import Tables
+
+    tables = Tables(spark)
+    spark.sql("drop table if exists kept_whole")
+    tables.replace("kept_whole", spark.range(5))
+    bad = spark.range(3).selectExpr("id", "raise_error('broken') as x")
+    with pytest.raises(Exception, match="broken"):
+        tables.replace("kept_whole", bad)
+    assert spark.table("kept_whole").count() == 5
+    tables.replace("kept_whole", spark.table("kept_whole").where("id < 2"))
+    assert spark.table("kept_whole").count() == 2

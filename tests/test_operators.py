@@ -134,3 +134,11 @@ def test_slope_at_one_instant_and_codes(spark):
     assert out["v_slope"] is None and out["v_mean"] == 2.0 and out["v_delta"] is not None
     codes = spark.createDataFrame([(0.0,), (100.0,), (107.0,), (-1.0,), (5.0,), (float("nan"),), (None,)], "c double")
     assert [r[0] for r in codes.select(sliding.severity_label(sliding.label_severity(F.col("c")))).collect()] == ["normal", "transient", "transient", "event", "event", None, None]
+
+
+def test_letters_with_marks_and_sensor_names(spark):
+    df = spark.createDataFrame([("Ångström ñandú Žižka Ǖ ḗ e\u0301 Ω\u0301 ø",)], "n string")
+    assert df.select(columns.fold("n")).first()[0] == "ANGSTROM NANDU ZIZKA U E E Ω Ø"
+    assert columns.with_plain_names(spark.createDataFrame([(1, 2)], "`P-PDG` int, ` ABER-CKP` int")).columns == ["p_pdg", "aber_ckp"]
+    with pytest.raises(ValueError):
+        columns.with_plain_names(spark.createDataFrame([(1, 2)], "`P-PDG` int, p_pdg int"))
