@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -138,10 +138,14 @@ def deduplicated(typed: DataFrame, contract: Contract) -> DataFrame:
     return latest(typed, contract.primary_key, contract.dedupe_by)
 
 
+def null_columns(contract: Contract) -> list[Column]:
+    """The nulls of each column that must have none."""
+    return [F.count(F.when(F.col(f.name).isNull(), 1)).alias(f"null_{f.name}") for f in contract.fields if not f.nullable]
+
+
 def measure_columns(contract: Contract) -> list[Column]:
     """One pass: rows, distinct keys (without those that have a null), and the nulls of each column that must have none."""
-    nulls = [F.count(F.when(F.col(f.name).isNull(), 1)).alias(f"null_{f.name}") for f in contract.fields if not f.nullable]
-    return [F.count(F.lit(1)).alias("rows"), F.count_distinct(*[F.col(c) for c in contract.primary_key]).alias("keys"), *nulls]
+    return [F.count(F.lit(1)).alias("rows"), F.count_distinct(*[F.col(c) for c in contract.primary_key]).alias("keys"), *null_columns(contract)]
 
 
 def measures(flags: DataFrame, silver: DataFrame, contract: Contract) -> Measures:
@@ -159,10 +163,20 @@ RUNS = T.StructType([
 
 def run_log(flags: DataFrame, silver: DataFrame, contract: Contract, most: float = MAX_REJECTED) -> DataFrame:
     """A row for each resource of ``flags``, as a load of it logs: ``rows_in``, ``rows_out``, ``rows_rejected``, ``hard_failures`` and
-    ``status``. ``silver`` is what is left after deduplication. Two sums, whatever the number of resources."""
+    ``status``. ``silver`` is what is left after deduplication. Two sums, whatever the number of resources; a task sorts its rows and
+    holds no table of keys."""
     came = flags.groupBy(F.col("_resource_id").alias("resource_id")).agg(
         F.count(F.lit(1)).alias("rows_in"), F.count(F.when(F.col("reject_reason") != "", 1)).alias("rows_rejected"))
-    left = silver.groupBy(F.col("_resource_id").alias("_id")).agg(*measure_columns(contract))
+    # a key's first row stands for it, whichever that is: in the order of the deduplication, as rows that come from it need no other sort;
+    # distinct keys would be held in each task besides, twice
+    of_key = Window.partitionBy("_resource_id", *contract.primary_key)
+    of_key = of_key.orderBy(*[F.col(c).desc_nulls_last() for c in contract.dedupe_by or contract.primary_key[:1]])
+    numbered = silver.withColumn("_of_key", F.row_number().over(of_key))
+    known = F.lit(True)
+    for c in contract.primary_key:
+        known = known & F.col(c).isNotNull()
+    keys = F.count(F.when((F.col("_of_key") == 1) & known, 1)).alias("keys")
+    left = numbered.groupBy(F.col("_resource_id").alias("_id")).agg(F.count(F.lit(1)).alias("rows"), keys, *null_columns(contract))
     out = came.join(left, F.col("resource_id").eqNullSafe(F.col("_id")), "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     found = [(zero(f"null_{f.name}") > 0, F.concat(zero(f"null_{f.name}").cast("string"), F.lit(f" nulls in {f.name}"))) for f in contract.fields if not f.nullable]

@@ -1,8 +1,9 @@
 import datetime
+import re
 
 import pytest
 
-from strata.operators.contracts import Contract, Field, Measures, accepted, deduplicated, flagged, load_pending, rejected
+from strata.operators.contracts import Contract, Field, Measures, accepted, deduplicated, flagged, load_pending, rejected, run_log
 from strata.sources.sinks import Tables
 
 WELLS = Contract(
@@ -38,6 +39,19 @@ def test_dedupe_keeps_the_latest_and_null_loses(spark):
     assert [r["rate"] for r in deduplicated(accepted(flagged(rows, WELLS), WELLS), WELLS).collect()] == [3.0]
 
 
+def test_run_log_counts_keys_without_a_table_of_them(spark):
+    two = (raw(spark, ("1", "2001", "1", "a", "t", "", ""), ("1", "2002", "2", "a", "t", "", ""), ("x", "2001", "3", "a", "t", "", ""), ("x", "2001", "3", "a", "t", "", "")),
+           raw(spark, ("1", "2001", "1", "a", "t", "", ""), ("2", None, "2", "a", "t", "", ""), resource="r2"), raw(spark, ("1", "2001", "11", "a", "t", "", ""), resource="r3"))
+    flags = flagged(two[0].union(two[1]).union(two[2]), WELLS)
+    # the rows as they are, not deduplicated: of four in r1 one key is known, which repeats, and two are null
+    log = run_log(flags, accepted(flags, WELLS), WELLS)
+    found = {r["resource_id"]: (r["rows_in"], r["rows_out"], r["rows_rejected"], r["hard_failures"]) for r in log.collect()}
+    assert found == {
+        "r1": (4, 0, 0, "2 nulls in id; 3 rows repeat the key id"), "r2": (2, 0, 0, "1 nulls in year"), "r3": (1, 0, 1, "1 of 1 rows rejected"),
+    }
+    assert not re.search(r"Aggregate\(keys=\[[^\]]*\bid#", log._jdf.queryExecution().executedPlan().toString())
+
+
 @pytest.mark.parametrize("spec, match", [
     (dict(fields=(Field("a", nullable=False), Field("a"))), "twice"), (dict(fields=(Field("a", "money", nullable=False),)), "unknown types"), (dict(fields=(Field("b"),)), "primary_key"),
     (dict(fields=(Field("a"),)), "nullable key"), (dict(fields=(Field("a", nullable=False),), dedupe_by=("z",)), "dedupe_by"), (dict(fields=(Field("a", nullable=False),), primary_key=()), "no primary key"),
