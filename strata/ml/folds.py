@@ -60,9 +60,14 @@ def group_folds(rows: DataFrame, group: str, folds: int, broadcast_sizes: int =
     return placed.select(group, "n", fold.alias("fold"))
 
 
-def with_folds(rows: DataFrame, group: str, folds: int) -> DataFrame:
-    """``rows`` and ``fold``; rows without a group are one group."""
-    dealt = group_folds(rows, group, folds).select(F.col(group).alias("_group"), "fold")
+def with_folds(rows: DataFrame, group: str, folds: int, broadcast_groups: int = 100_000) -> DataFrame:
+    """``rows`` and ``fold``; rows without a group are one group.
+
+    Of the two sides only the groups are ever broadcast, and they are counted first: Spark, which doesn't know their number, would send all
+    rows to the driver where these are the smaller files.
+    """
+    dealt = stored(group_folds(rows, group, folds).select(F.col(group).alias("_group"), "fold"), "dealt")
+    dealt = F.broadcast(dealt) if dealt.count() <= broadcast_groups else dealt.hint("merge")
     return rows.join(dealt, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
 
 

@@ -8,6 +8,7 @@ from strata.functions.columns import from_target, to_target
 from strata.ml import folds, models
 from strata.operators import alarms, metrics, running
 from strata.plans.registry import Registry, table
+from strata.sources.scratch import stored
 
 query = Registry()
 
@@ -118,7 +119,9 @@ def alert_assembly(spark, d):
 
 def ml_gbt_oof(spark, d):
     """Out-of-fold metrics of boosted trees, a linear model and the median for the price of parts. No SQL: it trains."""
-    part = folds.with_folds(table(spark, d, "part").select("p_partkey", "p_brand", "p_type", F.col("p_size").cast("double").alias("p_size"), (F.col("p_partkey") % 100).cast("double").alias("serial"), "p_retailprice"), "p_brand", 3)
+    part = table(spark, d, "part").select("p_partkey", "p_brand", "p_type", F.col("p_size").cast("double").alias("p_size"), (F.col("p_partkey") % 100).cast("double").alias("serial"), "p_retailprice")
+    # each fit reads its rows many times
+    part = stored(folds.with_folds(part, "p_brand", 3), "folds")
     features = models.Features(("p_size", "serial"), ("p_type",))
     name, estimator = next(iter(models.regressors("p_retailprice", {"maxDepth": (4,), "maxIter": (5,)}).items()))
     out = None

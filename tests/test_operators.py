@@ -92,6 +92,20 @@ def test_folds_never_split_groups_and_are_balanced(spark):
     assert sorted(r["y"] for r in again.collect()) == [float(i) for i in range(600)] and again.where("y = id").count() < 30
 
 
+def test_folds_are_joined_without_sending_the_rows_to_the_driver(spark, tmp_path):
+    spark.range(2000).selectExpr("id", "id % 7 as g").coalesce(1).write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+
+    def plan(out):
+        out.collect()
+        return out._jdf.queryExecution().executedPlan().toString()
+
+    found = plan(folds.with_folds(rows, "g", 3))
+    assert "BuildRight" in found and "BuildLeft" not in found
+    beyond = folds.with_folds(rows, "g", 3, broadcast_groups=6)
+    assert "BroadcastHashJoin [coalesce(g" not in plan(beyond) and beyond.count() == 2000
+
+
 def test_weights_and_classifiers(spark):
     rows = spark.range(300).selectExpr("id", "cast(id as double) as x", "case when id < 250 then 0.0 when id < 280 then 1.0 else 2.0 end as label")
     out = folds.with_weights(rows, "label")
