@@ -1,8 +1,8 @@
 """Boosted trees on histograms: missing values learn their side, classes by softmax, categories as sets, a held-out stop.
 
-Rows are binned once. A level of a round's trees is one aggregate: gradient sums by class, node, feature and bin, which each task
-sums first. The splits are chosen on these sums in Spark; what comes to the driver is the model. Gradients are whole numbers of
-2**-20, so sums and trees don't depend on the order of rows.
+Rows are binned once, and counted by their bins, target and weight. A level of a round's trees is one aggregate: gradient sums by
+class, node, feature and bin, which each task sums first. The splits are chosen on these sums in Spark; what comes to the driver is
+the model. Gradients are whole numbers of 2**-20, so sums and trees don't depend on the order of rows.
 """
 
 from __future__ import annotations
@@ -151,12 +151,13 @@ class Boosted:
             out[k] += value * math.prod(z for _, _, z in conditions)
         return out
 
-    def attributions(self, rows: DataFrame, to: str = "attributions") -> DataFrame:
+    def attributions(self, rows: DataFrame, to: str = "attributions", bins: Column | None = None) -> DataFrame:
         """``rows`` and an array by score of arrays by feature: by how much each feature moves the score from the expected one. It is
         the Shapley value of the game in which unknown features go both ways in the shares of the nodes' rows, and sums to the score
         less the expected one.
 
-        Leaves are taken one by one for whole Arrow batches of bins.
+        Leaves are taken one by one for whole Arrow batches of bins. They are all that counts of a row, so it is enough to explain a row of
+        each; ``bins`` is where ``rows`` has them, else they follow from the features.
         """
         leaves, n_scores, n_features = list(self.leaves()), len(self.start), len(self.features)
 
@@ -171,7 +172,7 @@ class Boosted:
             return pd.Series(list(out.tolist()))
 
         udf = F.pandas_udf(explain, "array<array<double>>")
-        return rows.withColumn(to, udf(self.binned()))
+        return rows.withColumn(to, udf(self.binned() if bins is None else bins))
 
 
 def _mean_over_subsets(rest: list[tuple[np.ndarray, float]], n: int) -> np.ndarray:
@@ -210,13 +211,13 @@ def _bins(rows: DataFrame, numbers: Sequence[str], categories: Sequence[str], bi
 
 
 def histograms(rows: DataFrame, nodes: Column, n_scores: int, n_features: int) -> DataFrame:
-    """``k``, ``node``, ``f``, ``bin``, ``g``, ``h``, ``n``: sums of both derivatives and rows. ``rows`` has ``bins`` and ``ghs``, an array by score; ``nodes``
-    gives the node of each, null where it is done."""
+    """``k``, ``node``, ``f``, ``bin``, ``g``, ``h``, ``n``: sums of both derivatives and rows. ``rows`` has ``bins``, ``ghs``, an array by score, and
+    ``n``, how many rows it stands for; ``nodes`` gives the node of each, null where it is done."""
     each = F.inline(F.array(*[F.struct(F.lit(k).alias("k"), F.get(nodes, F.lit(k)).alias("node"), F.get("ghs", F.lit(k)).alias("gh")) for k in range(n_scores)]))
-    by_score = rows.select("bins", each).where("node is not null")
+    by_score = rows.select("bins", "n", each).where("node is not null")
     by_feature = F.inline(F.array(*[F.struct(F.lit(f).alias("f"), F.get("bins", F.lit(f)).alias("bin")) for f in range(n_features)]))
-    out = by_score.select("k", "node", "gh", by_feature)
-    return out.groupBy("k", "node", "f", "bin").agg(F.sum("gh.g").alias("g"), F.sum("gh.h").alias("h"), F.count(F.lit(1)).alias("n"))
+    out = by_score.select("k", "node", "gh", "n", by_feature)
+    return out.groupBy("k", "node", "f", "bin").agg(F.sum(F.col("gh.g") * F.col("n")).alias("g"), F.sum(F.col("gh.h") * F.col("n")).alias("h"), F.sum("n").alias("n"))
 
 
 def best_splits(sums: DataFrame, n_numbers: int, how: Boosting) -> DataFrame:
@@ -249,7 +250,7 @@ def best_splits(sums: DataFrame, n_numbers: int, how: Boosting) -> DataFrame:
 
 
 def _grown(rows: DataFrame, model: Boosted, how: Boosting) -> list[list[dict]]:
-    """The trees of one round, a tree a score, level by level. ``rows`` has ``bins`` and ``ghs``."""
+    """The trees of one round, a tree a score, level by level. ``rows`` has ``bins``, ``ghs`` and ``n``."""
     n_scores, n_features = len(model.start), len(model.features)
     leaf = lambda g, h, n: {"feature": None, "bin": None, "missing_left": None, "categories": None, "value": -how.rate * g / (h + how.l2 * UNIT) if h + how.l2 * UNIT > 0 else 0.0, "rows": n}
     trees: list[list[dict | None]] = [[None] * (2 ** (how.depth + 1) - 1) for _ in range(n_scores)]
@@ -311,12 +312,14 @@ def fit(
         start = [math.log(max(sums.get(k, 0.0) / every, 1e-9)) if every else 0.0 for k in range(len(labels))]
     edges = _bins(learned, numbers, categories, how.bins)
     model = Boosted(list(numbers), list(categories), edges, None if labels is None else list(labels), start, how.depth)
-    binned = known.select(F.col("_y").alias("y"), F.col("_w").alias("w"), F.col("_held").alias("held"), model.binned().alias("bins"), _literal(start, "array<double>").alias("have"))
+    binned = known.select(F.col("_y").alias("y"), F.col("_w").alias("w"), F.col("_held").alias("held"), model.binned().alias("bins"))
+    # rows that agree in all of these have one score in every round: a row stands for them
+    binned = binned.groupBy("y", "w", "held", "bins").agg(F.count(F.lit(1)).alias("n")).withColumn("have", _literal(start, "array<double>"))
     binned, since = stored(binned, "binned"), 0
     for done in itertools.count():
         scored = binned.withColumn("scores", model.scores(F.col("bins"), F.col("have"), since))
         if done and done % how.write_every == 0:
-            binned, since = stored(scored.select("y", "w", "held", "bins", F.col("scores").alias("have")), "binned"), done
+            binned, since = stored(scored.select("y", "w", "held", "bins", "n", F.col("scores").alias("have")), "binned"), done
             scored = binned.withColumn("scores", F.col("have"))
         if how.patience:
             model.losses.append(_loss(scored.where("held"), labels is not None))
@@ -346,7 +349,7 @@ def _loss(rows: DataFrame, classes: bool) -> float:
         loss = -F.log(F.greatest(F.get(softmax(F.col("scores")), F.col("y").cast("int")), F.lit(1e-300)))
     else:
         loss = F.pow(F.get("scores", F.lit(0)) - F.col("y"), 2) / 2
-    found = rows.agg(F.sum(F.col("w") * loss) / F.sum("w")).first()[0]
+    found = rows.agg(F.sum(F.col("n") * F.col("w") * loss) / F.sum(F.col("n") * F.col("w"))).first()[0]
     return math.inf if found is None else found
 
 

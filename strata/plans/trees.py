@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from strata.ml import baselines, boosting, folds
 from strata.operators import metrics
 from strata.plans.registry import Registry, table
+from strata.sources.scratch import stored
 
 query = Registry()
 
@@ -110,8 +111,10 @@ def tree_attributions(spark, d):
     """How much each feature moves the scores of the boosted trees; the SQL goes through all sets of known features."""
     rows, model = _model(spark, d)
     names = F.array(*map(F.lit, model.features))
-    each = model.attributions(rows).select(F.posexplode("attributions").alias("k", "by_feature")).select("k", F.posexplode("by_feature").alias("f", "phi"))
-    phi = each.groupBy("k", "f").agg(F.round(F.avg(F.abs("phi")), 6).alias("mean_abs"), F.round(F.max("phi"), 6).alias("most"), F.round(F.min("phi"), 6).alias("least"))
+    # stored, as Spark takes a function of grouping columns to the rows before they are grouped
+    kinds = stored(rows.groupBy(model.binned().alias("bins")).agg(F.count(F.lit(1)).alias("n")), "kinds")
+    each = model.attributions(kinds, bins=F.col("bins")).select("n", F.posexplode("attributions").alias("k", "by_feature")).select("n", "k", F.posexplode("by_feature").alias("f", "phi"))
+    phi = each.groupBy("k", "f").agg(F.round(F.sum(F.abs("phi") * F.col("n")) / F.sum("n"), 6).alias("mean_abs"), F.round(F.max("phi"), 6).alias("most"), F.round(F.min("phi"), 6).alias("least"))
     return phi.select(F.get(names, F.col("f")).alias("feature"), F.get(F.array(*map(F.lit, LABELS)), F.col("k")).alias("label"), "mean_abs", "most", "least")
 
 

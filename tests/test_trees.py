@@ -159,3 +159,23 @@ def test_quantiles_with_weights_ties_and_null_groups(spark):
         want = np.quantile(values, probabilities, method="linear" if between else "inverted_cdf")
         assert [got["a", p] for p in probabilities] == pytest.approx(list(want)) and [got[None, p] for p in probabilities] == [3.0] * 5
         assert len(got) == 10
+
+
+def test_equal_rows_are_one_row_with_a_count(spark, rows, monkeypatch):
+    how = boosting.Boosting(rounds=2, depth=2, bins=16, least_rows=1, patience=2, write_every=1)
+    many = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(9)))).withColumn("id", F.col("id") % 50)
+    sizes, store = [], boosting.stored
+
+    def counted(df, label):
+        out = store(df, label)
+        if label == "binned":
+            sizes.append((out.count(), out.agg(F.sum("n")).first()[0]))
+        return out
+
+    monkeypatch.setattr(boosting, "stored", counted)
+    model = boosting.fit(many, "y", ["x", "one"], ["c"], key="id", how=how)
+    assert sizes and all(n < 600 and every == 5400 for n, every in sizes)
+    # a whole weight does what copies do: the same trees, in other numbers of rows
+    weighted = boosting.fit(rows.withColumn("id", F.col("id") % 50).withColumn("w", F.lit(9.0)), "y", ["x", "one"], ["c"], weight="w", key="id", how=how)
+    shape = lambda m: [[(n["feature"], n["bin"], n["missing_left"], n["categories"], n["value"] and round(n["value"], 4)) for n in tree] for trees in m.trees for tree in trees]
+    assert shape(model) == shape(weighted) and model.losses == pytest.approx(weighted.losses)
