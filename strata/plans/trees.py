@@ -155,7 +155,7 @@ def ml_boosted_oof(spark, d):
     """Out-of-fold metrics of boosted trees with missing values and an early stop for the price of parts. No SQL: it trains many trees."""
     size = F.when(F.col("p_partkey") % 10 > 0, F.col("p_size").cast("double")).alias("size")
     part = table(spark, d, "part").select("p_partkey", "p_brand", "p_type", size, (F.col("p_partkey") % 100).cast("double").alias("serial"), "p_retailprice")
-    rows = folds.with_folds(part, "p_brand", 3)
+    rows = stored(folds.with_folds(part, "p_brand", 3), "folds")
     how = boosting.Boosting(rounds=4, depth=3, bins=32, patience=2)
     held = []
     for k in range(3):
