@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.functions.columns import safe_key
 from strata.plans.registry import Registry, table
-from strata.sources import catalog, files, jdbc, listing, manifest
+from strata.sources import catalog, derby, files, jdbc, listing, manifest
 from strata.sources.scratch import scratch_path, stored
 
 query = Registry()
@@ -205,18 +206,14 @@ def sparse_events(spark, d):
 
 @query(f"""select id, resource_id, finished_at from ({ATTEMPTS}) where status = 'ok' qualify row_number() over (partition by resource_id order by finished_at desc, id desc) = 1""")
 def jdbc_latest(spark, d):
-    """The attempts written to a database and the latest good ones read back in eight tasks. The database is embedded in this
-    process, so it is reached in local mode only; a server takes the same code."""
-    url = f"jdbc:derby:memory:strata{uuid.uuid4().hex}"
-    options = {"url": f"{url};create=true", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    """The attempts written to databases, each with a part of the resources and a million attempts at most as a rule, and the latest good ones
+    read back by a task a database."""
+    rows = attempts(spark, d).select("id", "resource_id", "status", "finished_at")
+    types = "id bigint, resource_id varchar(40), status varchar(20), finished_at timestamp"
+    urls = derby.packed(rows, "resource_id", "attempts", types, "resource_id, status, finished_at, id", max(8, -(-rows.count() // 1_000_000)))
+    found = [jdbc.latest_attempts(spark, {"url": u, "driver": derby.DRIVER, "preferTimestampNTZ": "true"}, "attempts", fields=("id", "resource_id", "finished_at"), tasks=1) for u in urls]
     # names that aren't quoted are upper case in this database
-    rows = attempts(spark, d).select("id", "resource_id", "status", F.col("finished_at").cast("timestamp").alias("finished_at"))
-    rows = rows.toDF(*[c.upper() for c in rows.columns])
-    rows.write.format("jdbc").options(**options, dbtable="attempts", createTableColumnTypes="RESOURCE_ID varchar(40), STATUS varchar(20)").save()
-    connection = spark.sparkContext._jvm.java.sql.DriverManager.getConnection(url)
-    connection.createStatement().execute("create index by_resource on attempts (resource_id, status)")
-    connection.close()
-    found = jdbc.latest_attempts(spark, options, "attempts", fields=("id", "resource_id", "finished_at"))
+    found = reduce(DataFrame.union, found) if found else rows.select([F.col(c).alias(c.upper()) for c in rows.columns])
     return found.select(F.col("ID").alias("id"), F.col("RESOURCE_ID").alias("resource_id"), F.col("FINISHED_AT").cast("timestamp_ntz").alias("finished_at"))
 
 

@@ -30,8 +30,10 @@ def latest_attempts(
     fields: tuple[str, ...] = FIELDS, tasks: int = 8,
 ) -> DataFrame:
     """The rows of ``latest_query`` by so many connections, each with its range of ids. ``options`` are those of Spark's JDBC source (see
-    ``session.jdbc_options``); the bounds of the ids are asked for first, one row."""
+    ``session.jdbc_options``); with several tasks the bounds of the ids are asked for first, one row."""
     reader = spark.read.format("jdbc").options(**options)
+    if tasks == 1:
+        return reader.option("dbtable", latest_query(table, dataset, status, fields)).load()
     low, high = reader.option("dbtable", f"(SELECT MIN(id) AS low, MAX(id) AS high FROM {table}) bounds").load().first()
     source = reader.option("dbtable", latest_query(table, dataset, status, fields))
     if low is None or low == high:

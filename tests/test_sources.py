@@ -1,13 +1,17 @@
 import datetime as dt
 import io
 import json
+import os
+import subprocess
+import sys
 import zipfile
 
 import pytest
+from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 from strata.session import Settings, jdbc_options
-from strata.sources import catalog, files, jdbc, listing, manifest, workbook
+from strata.sources import catalog, derby, files, jdbc, listing, manifest, workbook
 from strata.sources.sinks import Tables
 
 
@@ -129,6 +133,36 @@ def test_latest_attempts_from_a_database_in_several_tasks(spark):
         jdbc.latest_query("attempts", "x'; drop table attempts")
 
 
+def test_packed_databases_keep_odd_values_and_whole_keys(spark):
+    at = dt.datetime(2024, 1, 31, 23, 59, 59, 123456)
+    data = [(1, None, at), (2, "", None), (3, 'a "b", c\nd', at), (4, " x ", at), (None, "Ñ", at), (6, "", at)]
+    rows = spark.createDataFrame(data, "id long, name string, done timestamp_ntz")
+    urls = derby.packed(rows, "name", "odd", "id bigint, name varchar(40), done timestamp", "name", 3)
+    parts = [spark.read.format("jdbc").options(url=u, driver=derby.DRIVER, dbtable="odd", preferTimestampNTZ="true").load().collect() for u in urls]
+    assert sorted([tuple(r) for p in parts for r in p], key=str) == sorted(data, key=str)
+    assert sum(any(r["NAME"] == "" for r in p) for p in parts) == 1
+    assert derby.packed(rows.where("id > 9"), "name", "odd", "id bigint, name varchar(40), done timestamp", "name", 3) == []
+    with pytest.raises(PythonException, match="Derby failed"):
+        derby.packed(rows, "name", "odd", "id bigint, name varchar(2), done timestamp", "name", 1)
+
+
+def test_latest_attempts_where_executors_are_other_processes(tmp_path):
+    """The database was one process's own: executors didn't find its table."""
+    code = f"""
+import __spark_entry__
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local-cluster[2,1,1024]").config("spark.executor.memory", "512m").config("spark.driver.host", "127.0.0.1").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", "file://{tmp_path}/shared").getOrCreate()
+found = __spark_entry__.queries()["jdbc_latest"](spark, "/root/testdata/sf0.001").collect()
+print("rows", sorted((int(r["resource_id"]), r["id"]) for r in found))
+"""
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": repo}, capture_output=True, text=True, timeout=300)
+    import duckdb
+
+    want = duckdb.sql("select user_id, event_id from '/root/testdata/sf0.001/events.parquet' where event_type = 'purchase' qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1 order by 1").fetchall()
+    assert f"rows {want}" in done.stdout and len(want) > 5, done.stderr[-2000:]
+
+
 def test_listing_hashes_quotas_and_decisions(spark, tmp_path):
     import hashlib
 
