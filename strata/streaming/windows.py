@@ -12,65 +12,114 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from strata.operators.sliding import STATISTICS
 
-STATE = "first long, next long, times array<long>, readings array<double>"
+#: Series share a state by the hash of their key. ``first``, ``next`` and ``counts`` are 64-bit numbers a series, ``times`` and ``readings`` those of the
+#: counted rows, series by series.
+STATE = "series array<string>, first binary, next binary, counts binary, times binary, readings binary"
 
+#: The first time of a series that the watermark hasn't passed.
+OPEN = np.iinfo(np.int64).min
 
-def _statistics(y: np.ndarray, t: np.ndarray) -> list[float | None]:
-    """Mean, deviation, least, greatest, slope and last minus first; nothing with fewer than two samples, no slope at one instant."""
-    has = ~np.isnan(y)
-    y, t = y[has], t[has]
-    if len(y) < 2:
-        return [None] * len(STATISTICS)
-    spread = ((t - t.mean()) ** 2).sum()
-    slope = ((t - t.mean()) * (y - y.mean())).sum() / spread if spread > 0 else None
-    return [y.mean(), y.std(), y.min(), y.max(), slope, y[-1] - y[0]]
+#: Rows in windows that are looked at at once.
+AT_ONCE = 1 << 20
 
 
-def sliding_stream(events: DataFrame, series: str, ts: str, sensors: Sequence[str], width_s: int, step_s: int, lateness: str) -> DataFrame:
+def _runs(begin: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers of runs of so many from each beginning, one run after the other."""
+    return np.repeat(begin - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+
+
+def _statistics(t: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the rows from ``a`` to ``b`` (exclusive) of each window: samples by sensor; and mean, deviation, least, greatest, slope and last minus first of
+    each, NaN with fewer than two samples, the slope also at one instant."""
+    counts = b - a
+    rows, begin, of = _runs(a, counts), np.cumsum(counts) - counts, np.repeat(np.arange(len(a)), counts)
+    place, samples, found = np.arange(len(rows)), [], []
+    for i in range(y.shape[1]):
+        v = y[rows, i]
+        has = ~np.isnan(v)
+        total = lambda x: np.add.reduceat(np.where(has, x, 0), begin)  # noqa: B023, E731
+        n = total(1)
+        first, last = np.minimum.reduceat(np.where(has, place, len(place) - 1), begin), np.maximum.reduceat(np.where(has, place, 0), begin)
+        with np.errstate(all="ignore"):
+            mean = total(v) / n
+            off = v - mean[of]
+            # from the first sample's time: samples at one instant are exactly so
+            x = (t[rows] - t[rows[first]][of]) / 1e6
+            x = x - (total(x) / n)[of]
+            spread = total(x * x)
+            slope = np.where(spread > 0, total(x * off) / spread, np.nan)
+            least, most = (f.reduceat(np.where(has, v, e), begin) for f, e in ((np.minimum, np.inf), (np.maximum, -np.inf)))
+            stats = np.column_stack([mean, np.sqrt(total(off * off) / n), least, most, slope, v[last] - v[first]])
+        samples.append(n)
+        found.append(np.where((n >= 2)[:, None], stats, np.nan))
+    return np.column_stack(samples), np.column_stack(found)
+
+
+def sliding_stream(events: DataFrame, series: str, ts: str, sensors: Sequence[str], width_s: int, step_s: int, lateness: str, states: int = 256) -> DataFrame:
     """A row a window with a sample of some sensor: ``series``, ``k``, ``window_start`` (seconds since the series began), ``n_rows``, the statistics of
     all sensors. It equals the batch's windows that end by the watermark.
 
     The state of a series is its rows that an open window may still need: those of the last width and those ahead of the watermark. A
     series begins with its first row; rows behind the watermark are dropped by Spark. A window is open until a row of its series lies
     at its end or later, as the batch only has windows that the series fills, and the watermark has passed it.
+
+    Python is called for so many ``states`` a batch, not for each series, and goes through the rows of all series of one together. The
+    number belongs to a checkpoint, as the shuffle partitions do.
     """
     n, width, step = len(sensors), width_s * 1_000_000, step_s * 1_000_000
     kind = events.schema[series].dataType.simpleString()
-    out = f"`{series}` {kind}, k long, window_start long, n_rows long, " + ", ".join(f"`{s}_{x}` double" for s in sensors for x in STATISTICS)
+    names = ["_series", "k", "window_start", "n_rows", *[f"{s}_{x}" for s in sensors for x in STATISTICS]]
+    out = "_series string, k long, window_start long, n_rows long, " + ", ".join(f"`{c}` double" for c in names[4:])
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first, k, times, readings = state.get if state.exists else (None, 0, [], [])
-        t, y = [np.array(times, np.int64)], [np.array(readings, float).reshape(-1, n)]
-        for batch in batches:
-            t.append(batch["_at"].to_numpy(np.int64))
-            y.append(batch[list(sensors)].to_numpy(float))
-        t, y = np.concatenate(t), np.concatenate(y)
-        order = np.argsort(t, kind="stable")
-        t, y = t[order], y[order]
+        keys, *packed = state.get if state.exists else ([], b"", b"", b"", b"", b"")
+        first, k, counts, t = (np.frombuffer(x, np.int64) for x in packed[:4])
+        known, new = len(keys), list(batches)
+        t = np.concatenate([t, *[b["_at"].to_numpy(np.int64) for b in new]])
+        y = np.concatenate([np.frombuffer(packed[4]).reshape(-1, n), *[b[list(sensors)].to_numpy(float) for b in new]])
+        of, keys = pd.factorize(np.concatenate([np.array(keys, object), *[b["_series"].to_numpy(object) for b in new]]))
+        of = np.concatenate([np.repeat(np.arange(known), counts), of[known:]])
+        order = np.lexsort((t, of))
+        of, t, y = of[order], t[order], y[order]
+        first, k = (np.concatenate([x, np.full(len(keys) - known, e)]) for x, e in ((first, OPEN), (k, 0)))
+        # every series has a row, as its last one is kept
+        begin, end = (np.searchsorted(of, np.arange(len(keys)), side) for side in ("left", "right"))
         passed = state.getCurrentWatermarkMs() * 1000
-        if first is None and len(t) and t[0] < passed:
-            first = int(t[0])
-        rows = []
-        while first is not None and len(t):
-            begin = first + k * step
-            if begin + width > passed or t[-1] < begin + width:
-                break
-            a, b = np.searchsorted(t, [begin, begin + width])
-            if b > a and not np.isnan(y[a:b]).all():
-                dt = (t[a:b] - first) / 1e6
-                rows.append([key[0], k, k * step_s, b - a] + [x for i in range(n) for x in _statistics(y[a:b, i], dt)])
-            # in a gap, on to the first window that holds the next row
-            k = k + 1 if b > a else max(k + 1, (int(t[a]) - first - width) // step + 1)
-            # the last row tells how far the series has come
-            kept = min(int(np.searchsorted(t, first + k * step)), len(t) - 1)
-            t, y = t[kept:], y[kept:]
-        state.update((first, k, t.tolist(), y.ravel().tolist()))
-        until = (first + k * step + width if first is not None else int(t[0]) + 1 if len(t) else passed) // 1000 + 1
-        state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
-        if rows:
-            names = [series, "k", "window_start", "n_rows", *[f"{s}_{x}" for s in sensors for x in STATISTICS]]
-            yield pd.DataFrame(rows, columns=names)
-
-    rows = events.select(series, F.col(ts).cast("timestamp").alias(ts), F.unix_micros(F.col(ts).cast("timestamp")).alias("_at"), *sensors)
-    rows = rows.withWatermark(ts, lateness)
-    return rows.groupBy(series).applyInPandasWithState(update, out, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        first = np.where((first == OPEN) & (t[begin] < passed), t[begin], first)
+        began, last = first != OPEN, t[end - 1]
+        since = np.where(began, first, 0)
+        over = np.where(began, (np.minimum(passed, last) - width - since) // step, -1)
+        # of each row, the windows from low to high that hold it and are over now; both only grow in a series
+        at = t - since[of]
+        low, high = np.maximum((at - width) // step + 1, k[of]), np.minimum(at // step, over[of])
+        same = of[1:] == of[:-1]
+        opened = np.maximum(low, np.append(-1, np.where(same, high[:-1], -1))[: len(low)] + 1)
+        closed = np.minimum(high, np.append(np.where(same, low[1:] - 1, high[:-1]), high[-1:]))
+        n_opened, n_closed = np.maximum(high - opened + 1, 0), np.maximum(closed - low + 1, 0)
+        # windows in order by the first row of each, and in the same order by the last
+        number, a, b = _runs(opened, n_opened), np.repeat(np.arange(len(t)), n_opened), np.repeat(np.arange(1, len(t) + 1), n_closed)
+        k = np.maximum(k, over + 1)
+        kept = (t >= (since + k * step)[of]) | ~began[of]
+        # the last row tells how far the series has come
+        kept[end - 1] = True
+        counts = np.bincount(of[kept], minlength=len(keys))
+        state.update((list(keys), *[x.astype(np.int64).tobytes() for x in (first, k, counts, t[kept])], y[kept].tobytes()))
+        # without another row, only windows that the series has filled can end
+        due = np.where(began, since + k * step + width, t[begin] + 1)[~began | (last >= since + k * step + width)]
+        if len(due):
+            state.setTimeoutTimestamp(max(int(due.min()) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        cuts = np.unique(np.searchsorted(np.cumsum(b - a), np.arange(AT_ONCE, (b - a).sum(), AT_ONCE)))
+        for some in np.split(np.arange(len(a)), cuts) if len(a) else []:
+            if len(some):
+                samples, found = _statistics(t, y, a[some], b[some])
+                has = (samples > 0).any(axis=1)
+                rows = pd.DataFrame(found[has], columns=names[4:])
+                for i, x in enumerate((keys[of[a[some]]], number[some], number[some] * step_s, b[some] - a[some])):
+                    rows.insert(i, names[i], x[has])
+                yield rows
+
+    at = F.col(ts).cast("timestamp")
+    rows = events.where(F.col(series).isNotNull() & F.col(ts).isNotNull()).select(F.col(series).cast("string").alias("_series"), at.alias(ts), F.unix_micros(at).alias("_at"), *sensors)
+    rows = rows.withColumn("_state", F.pmod(F.hash("_series"), F.lit(states))).withWatermark(ts, lateness)
+    found = rows.groupBy("_state").applyInPandasWithState(update, out, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select(F.col("_series").cast(kind).alias(series), *names[1:])

@@ -117,3 +117,44 @@ def test_stream_of_sliding_windows_with_gaps_and_disorder(spark, tmp_path):
     ended = {k: v for k, v in clean(want).items() if v[2] + 10 + (5 if k[0] == "b" else 0) <= 75}
     got = clean(spark.read.parquet(str(tmp_path / "out")).select(names))
     assert got == ended and len(got) > 8
+
+
+def slide(spark, rows, folder, batches, order, sensors, width, step, lateness):
+    """The windows of a stream and of the batch, without order, and the stream's query."""
+    replay.write_batches(rows, order, batches, f"{folder}/in")
+    events = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+    out = windows.sliding_stream(events, "s", "ts", sensors, width, step, lateness)
+    query = out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/c").trigger(availableNow=True).start()
+    telemetry.finish(query)
+    names = ["s", "k", "window_start", "n_rows", *[f"{c}_{x}" for c in sensors for x in sliding.STATISTICS]]
+    want = sliding.features(sliding.windowed(rows, "s", "ts", width, step), "s", sensors).select(names)
+    clean = lambda df: {(r["s"], r["k"]): [round(x, 6) if isinstance(x, float) else x for x in r] for r in df.collect()}
+    return clean(spark.read.parquet(f"{folder}/out").select(names)), clean(want), query
+
+
+def test_a_row_that_comes_late_into_a_gap_has_its_windows(spark, tmp_path):
+    """Windows up to the row behind a gap were given up before the watermark had passed them."""
+    start = dt.datetime(2024, 1, 1)
+    at = [0, 100, 101, 102, 45, 103, 300, 301, 302, 303]
+    rows = spark.createDataFrame([("a", start + dt.timedelta(seconds=t), float(t), i) for i, t in enumerate(at)], "s string, ts timestamp, v double, place long")
+    got, want, _ = slide(spark, rows, tmp_path, 5, ["place"], ["v"], 10, 5, "60 seconds")
+    assert got == {k: v for k, v in want.items() if v[2] + 10 <= 303 - 60} and {("a", 8), ("a", 9)} <= got.keys()
+
+
+def test_many_series_share_a_bounded_number_of_states(spark, tmp_path):
+    """There was a state, and a call of Python in every batch, for each series."""
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod(F.hash("id"), F.lit(200_000)) / 1000)
+    v = F.when(F.col("id") % 7 > 0, F.col("id") % 13).cast("double")
+    some = spark.range(4000).select((F.col("id") % 400).alias("s"), at.alias("ts"), v.alias("v"), F.when(F.col("id") % 5 > 0, v).otherwise(float("nan")).alias("u"))
+    # one series with more rows in windows than are looked at at once
+    long = spark.range(30_000).select(F.lit(-1).cast("long").alias("s"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") / 150).alias("ts"), v.alias("v"), v.alias("u"))
+    odd = spark.createDataFrame([(None, dt.datetime(2023, 11, 14, 22, 15), 1.0, 1.0), (7, None, 1.0, 1.0)], some.schema)
+    got, want, query = slide(spark, some.union(long), tmp_path / "a", 4, ["ts", "s"], ["v", "u"], 50, 1, "10 seconds")
+    last = [p for p in query.recentProgress if p.stateOperators][-1]
+    assert last.stateOperators[0].numRowsTotal <= 256
+    began = {r["s"]: r["t"] for r in some.union(long).groupBy("s").agg(F.unix_micros(F.min("ts")).alias("t")).collect()}
+    until = 1_700_000_000_000_000 + 199_993_000 - 10_000_000
+    ended = {k: x for k, x in want.items() if began[k[0]] + (x[2] + 50) * 1_000_000 <= until - 1_000_000}
+    assert ended.items() <= got.items() and got.items() <= want.items() and len(ended) > 20_000
+    got, want, _ = slide(spark, some.where("s < 9").union(odd), tmp_path / "b", 2, ["ts", "s"], ["v", "u"], 50, 10, "10 seconds")
+    assert got.items() <= want.items() and len(got) > 20
