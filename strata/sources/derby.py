@@ -31,7 +31,7 @@ def _load(folder: str, statements: Sequence[str]) -> None:
     command = [java, "-Xmx256m", "-XX:+UseSerialGC", f"-Dderby.system.home={folder}", "-cp", ":".join(jars), "org.apache.derby.tools.ij", "load.sql"]
     done = subprocess.run(command, cwd=folder, capture_output=True, text=True)
     # the command goes on after an error and ends well
-    if done.returncode or "ERROR " in done.stdout or os.path.exists(f"{folder}/db/db.lck"):
+    if done.returncode or "ERROR " in done.stdout or not os.path.exists(f"{folder}/db/service.properties") or os.path.exists(f"{folder}/db/db.lck"):
         raise RuntimeError(f"Derby failed: {done.stdout[-2000:]}{done.stderr[-2000:]}")
 
 
@@ -52,7 +52,9 @@ def packed(rows: DataFrame, key: str, table: str, columns: str, index: str, part
         first = next(batches, None)
         if first is None:
             return
-        with tempfile.TemporaryDirectory() as folder:
+        with tempfile.TemporaryDirectory() as made:
+            # a temporary folder named by way of the task's own working folder is another one to the process that loads
+            folder = os.path.realpath(made)
             # null is nothing, and an empty text is quoted
             with csv.CSVWriter(f"{folder}/rows.csv", first.schema, write_options=csv.WriteOptions(include_header=False, quoting_style="all_valid")) as out:
                 out.write_batch(first)

@@ -156,7 +156,7 @@ found = __spark_entry__.queries()["jdbc_latest"](spark, "/root/testdata/sf0.001"
 print("rows", sorted((int(r["resource_id"]), r["id"]) for r in found))
 """
     repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": repo}, capture_output=True, text=True, timeout=300)
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": repo, "TMPDIR": "/proc/self/cwd/.."}, capture_output=True, text=True, timeout=300)
     import duckdb
 
     want = duckdb.sql("select user_id, event_id from '/root/testdata/sf0.001/events.parquet' where event_type = 'purchase' qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1 order by 1").fetchall()
