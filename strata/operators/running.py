@@ -52,7 +52,8 @@ def exact_quantiles(
     placed = running_sums(counts, [*by, value], ["n"]).withColumn("_from", F.col("n_sum") - F.col("n"))
     groups = placed.groupBy(*by).agg(F.min("_from").alias("_first"), F.sum("n").alias("_rows"))
     rank = (lambda p: p * (F.col("_rows") - 1)) if between else (lambda p: F.greatest(F.lit(0.0), F.ceil(p * F.col("_rows")) - 1).cast("double"))
-    asked = F.array(*[F.struct(F.lit(float(p)).alias("probability"), rank(F.lit(float(p))).alias("rank")) for p in probabilities])
+    # one expression for all of them: hundreds are too much for a method of Java
+    asked = F.transform(F.lit([float(p) for p in probabilities]), lambda p: F.struct(p.alias("probability"), rank(p).alias("rank")))
     groups = groups.withColumn("_asked", asked)
     joined = placed.alias("p").join(groups.alias("g"), same_group("p", "g", by)).select(*[f"p.{c}" for c in by], value, "_asked", (F.col("_from") - F.col("_first")).alias("_lo"), "n")
     holds = lambda r: (r >= F.col("_lo")) & (r < F.col("_lo") + F.col("n"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strata.ml import baselines, boosting, folds
 from strata.operators.running import exact_quantiles
+from strata.plans import trees
 
 
 @pytest.fixture(scope="module")
@@ -179,3 +180,36 @@ def test_equal_rows_are_one_row_with_a_count(spark, rows, monkeypatch):
     weighted = boosting.fit(rows.withColumn("id", F.col("id") % 50).withColumn("w", F.lit(9.0)), "y", ["x", "one"], ["c"], weight="w", key="id", how=how)
     shape = lambda m: [[(n["feature"], n["bin"], n["missing_left"], n["categories"], n["value"] and round(n["value"], 4)) for n in tree] for trees in m.trees for tree in trees]
     assert shape(model) == shape(weighted) and model.losses == pytest.approx(weighted.losses)
+
+
+def test_the_boosted_query_learns_until_it_stalls(spark, monkeypatch):
+    models, transform = [], boosting.Boosted.transform
+    monkeypatch.setattr(boosting.Boosted, "transform", lambda self, rows: models.append(self) or transform(self, rows))
+    assert len(trees.ml_boosted_oof(spark, "/root/testdata/sf0.001").collect()) == 3 == len(models)
+    part = spark.read.parquet("/root/testdata/sf0.001/part.parquet").toPandas()
+    for m in models:
+        # the reference's patience, by losses that no later round made better
+        assert len(m.losses) > 20 and min(m.losses[-20:]) >= m.losses[-21] - 1e-7
+        # each size and serial has a bin of its own, and each type
+        assert [len(e) for e in m.edges] > [32, 32, 0] and set(m.edges[2]) == set(part["p_type"])
+
+
+def test_models_of_all_folds_are_those_of_one_by_one(rows):
+    how = boosting.Boosting(rounds=2, rate=0.6, depth=2, bins=16, least_rows=2, patience=1, held_percent=30, write_every=1)
+    dealt = folds.with_weights(rows, "label").withColumn("fold", F.when(F.col("id") > 3, (F.col("id") % 3).cast("int")))
+    for args in (("y", ["x", "one"], ["c"]), ("label", ["x"], ["c"], ["low", "mid", "high"])):
+        together = boosting.fit_folds(dealt, 3, *args, weight="weight", key="id", how=how)
+        for k, model in enumerate(together):
+            alone = boosting.fit(dealt.where(F.col("fold") != k), *args, weight="weight", key="id", how=how)
+            assert model.trees == alone.trees and len(model.trees) > 0 and model.edges == alone.edges and model.losses == pytest.approx(alone.losses)
+
+
+def test_nodes_by_parts_are_the_same(rows, regression, monkeypatch):
+    monkeypatch.setattr(boosting, "CELLS", 1)
+    how = boosting.Boosting(rounds=1, rate=0.7, depth=3, bins=128, least_rows=5, smooth=0.0)
+    assert boosting.fit(rows, "y", ["x", "one"], ["c"], how=how).trees == regression.trees[:1]
+
+
+def test_gradients_that_are_too_large(rows):
+    with pytest.raises(Exception, match="too large"):
+        boosting.fit(rows.withColumn("y", F.col("y") * 1e13), "y", ["x"], how=boosting.Boosting(rounds=1))
